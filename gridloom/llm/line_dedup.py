@@ -59,8 +59,8 @@ def shard_filters(table: DataFrame, n_shards: int) -> DataFrame:
     return table.select(shard.alias("shard"), "h1", "h2").groupBy("shard").applyInPandas(build, "shard int, bytes binary")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, kept): text as given, kept the text without its repeated lines.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, kept, *extra): text as given, kept the text without its repeated lines, extra columns of docs.
 
     The filters keep lines without a partner out of the shuffle. Their false positives end in the join with the
     exact table, so the result never depends on them.
@@ -89,12 +89,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         maybe = keys.mapInArrow(probe, keys.schema)
     drops = maybe.join(refs.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id <> keeper")
     drops = drops.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"), *extra)
     rows = rows.join(drops.hint("shuffle_hash"), ["doc_id", "row"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = rows.select("doc_id", "text", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rows = rows.select("doc_id", "text", *extra, lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
-    return rows.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") > 0, F.array_join(stay, "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept"))
+    return rows.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") > 0, F.array_join(stay, "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept"), *extra)
 
 
 class LineDedupState:
