@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .queries import arrays, elementwise, filters, geometry, morphology, resample, statistics, strings
+
+MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings)
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.REG.queries
+    return out
 
 
 def oracle_sql() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.REG.sql
+    return out
