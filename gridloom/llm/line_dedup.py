@@ -35,7 +35,7 @@ def line_key(line: Column) -> Column:
 
 def key_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc_id, row, pos, h1, h2) of every line whose key is long enough. row tells rows of one doc_id apart."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))  # the inner form would split twice, to filter on size first
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     return lines.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
