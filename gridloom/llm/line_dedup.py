@@ -49,14 +49,15 @@ def ref_counts(keys: DataFrame) -> DataFrame:
     return once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper")).where("n_docs >= 2")
 
 
-def shard_filters(table: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, bytes): a cuckoo filter of each shard's keys."""
+def shard_filters(table: DataFrame, n_shards: int) -> list[bytes]:
+    """Cuckoo filters that hold all keys of the table (h1, h2), each over the keys of one group of its partitions."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "bytes": [CuckooFilter.of(pdf["h1"], pdf["h2"]).to_bytes()]})
+    def build(batches):
+        parts = [(b.column("h1").to_numpy(), b.column("h2").to_numpy()) for b in batches]
+        if parts:
+            yield pa.record_batch([pa.array([CuckooFilter.of(*map(np.concatenate, zip(*parts, strict=True))).to_bytes()])], ["bytes"])
 
-    shard = F.pmod(F.shiftright("h2", 20), F.lit(n_shards)).cast("int")
-    return table.select(shard.alias("shard"), "h1", "h2").groupBy("shard").applyInPandas(build, "shard int, bytes binary")
+    return [bytes(r["bytes"]) for r in table.select("h1", "h2").coalesce(n_shards).mapInArrow(build, "bytes binary").collect()]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -66,25 +67,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact table, so the result never depends on them.
     """
     spark = docs.sparkSession
-    keys = key_rows(docs, id_col, text_col, min_chars)
+    keys = keep(key_rows(docs, id_col, text_col, min_chars), "line-keys")  # some 20 bytes a line: texts are split once
     refs = keep(ref_counts(keys), "line-refs")
     n_keys = refs.count()
     maybe = keys
     if 0 < n_keys * 2 * 2.4 <= max_filter_bytes:
-        n_shards = n_keys // SHARD_KEYS + 1
-        shards = {r["shard"]: bytes(r["bytes"]) for r in shard_filters(refs, n_shards).collect()}
-        sent = spark.sparkContext.broadcast(shards)
+        sent = spark.sparkContext.broadcast(shard_filters(refs, n_keys // SHARD_KEYS + 1))
 
         def probe(batches):
-            filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
+            filters = [CuckooFilter.from_bytes(raw) for raw in sent.value]
             for b in batches:
                 h1, h2 = b.column("h1").to_numpy(), b.column("h2").to_numpy()
-                shard = (h2 >> 20) % n_shards
-                hit = np.zeros(len(h1), bool)
-                for k, f in filters.items():
-                    if len(at := np.flatnonzero(shard == k)):
-                        hit[at] = f.contains(h1[at], h2[at])
-                yield b.filter(pa.array(hit))
+                yield b.filter(pa.array(np.any([f.contains(h1, h2) for f in filters], axis=0)))
 
         maybe = keys.mapInArrow(probe, keys.schema)
     drops = maybe.join(refs.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id <> keeper")
@@ -154,7 +148,9 @@ class LineDedupState:
         full = [r["shard"] for r in out.where(F.length("bytes") == 0).select("shard").collect()]
         if not full:
             return out
-        anew = shard_filters(every.select("h1", "h2").distinct().where(self._shard().isin(full)), self.n_shards)
+        build = lambda pdf: pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "bytes": [CuckooFilter.of(pdf["h1"], pdf["h2"]).to_bytes()]})
+        keys = every.select(self._shard(), "h1", "h2").distinct().where(F.col("shard").isin(full))
+        anew = keys.groupBy("shard").applyInPandas(build, "shard int, bytes binary")
         return out.where(F.length("bytes") > 0).unionByName(anew)
 
     def insert(self, docs: DataFrame) -> None:
