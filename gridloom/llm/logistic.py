@@ -35,7 +35,7 @@ def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Linear:
     """Ridge logistic regression by Newton steps. Without rows, or of one class, a constant score comes back."""
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
     if not len(y) or y.min() == y.max():
         k = x.shape[1]
         return Linear(np.zeros(k), np.ones(k), np.zeros(k), -2.0 if not len(y) or y[0] == 0 else 2.0)
@@ -65,7 +65,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(min(max(best, 0.01), 0.99))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[Linear, float]:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 400, rate: float = 0.02, ridge: float = 3e-3) -> tuple[Linear, float]:
     """Non-negative positive-unlabelled risk, logistic loss, full-batch Adam; (model, class prior).
 
     Risk: prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-)); where the bracket falls below zero the step
@@ -93,4 +93,4 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps
         g = g + 2 * ridge * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Linear(mean, scale, best[:-1], float(best[-1])), prior
+    return Linear(mean, scale, w[:-1], float(w[-1])), prior
