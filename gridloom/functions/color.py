@@ -60,3 +60,14 @@ def color_index(v: Column, low: float, high: float) -> Column:
     """Palette entry of a value, 0 to 255."""
     span = high - low if high > low else 1.0
     return F.least(F.greatest(F.floor((v - low) * 255.99 / span), F.lit(0)), F.lit(255)).cast("long")
+
+
+def palette(spark, first: tuple[int, int, int], second: tuple[int, int, int], n: int = 256):
+    """(i, r, g, b) of a blend, n rows."""
+    r, g, b = two_color(F.col("id"), first, second, n)
+    return spark.range(n).select(F.col("id").alias("i"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+def value_to_color(df, colors, low: float, high: float):
+    """df with r, g, b of its values; the palette has a few hundred rows, so it is broadcast."""
+    return df.withColumn("i", color_index(F.col("v"), low, high)).join(F.broadcast(colors), "i").drop("i")

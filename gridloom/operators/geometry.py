@@ -149,6 +149,26 @@ def slice_of(grid: Grid, axis: str, at: int) -> Grid:
     return _moved(grid.with_df(grid.df.where(F.col(axis) == at)), {"x": F.col(a), "y": F.col(b), "z": F.lit(0)}, shape)
 
 
+def slice_scaled(grid: Grid, axis: str, at: int, ratio: float) -> Grid:
+    """slice_of() stretched by a ratio, nearest voxels."""
+    from .resample import resample
+
+    g = slice_of(grid, axis, at)
+    shape = (round(g.shape[0] * ratio), round(g.shape[1] * ratio), 1)
+    return resample(g, shape, lambda x, y, z: (F.least(x / ratio, F.lit(g.shape[0] - 1.0)), F.least(y / ratio, F.lit(g.shape[1] - 1.0)), z), "nearest")
+
+
+def space_to_slice(axis: str, point: tuple[int, int, int]) -> tuple[int, int, int]:
+    """(column, row, slice) of a voxel in the slices across an axis; slice_to_space is the way back."""
+    x, y, z = point
+    return {"x": (y, z, x), "y": (x, z, y), "z": (x, y, z)}[axis]
+
+
+def slice_to_space(axis: str, point: tuple[int, int, int]) -> tuple[int, int, int]:
+    a, b, s = point
+    return {"x": (s, a, b), "y": (a, s, b), "z": (a, b, s)}[axis]
+
+
 def concatenate(a: Grid, b: Grid) -> Grid:
     """b appended to a along z; both need the same plane."""
     if a.shape[:2] != b.shape[:2]:
