@@ -122,7 +122,7 @@ def cdm(moving: np.ndarray, fixed: np.ndarray, rounds: int = 60, speed: float =
         costs.append(float((diff * diff).mean()))
         if len(costs) > 5 and np.polyfit(range(len(costs[-7:])), costs[-7:], 1)[0] > 0:
             break
-        force = np.stack(np.gradient(warped)) * -diff
+        force = np.stack([np.gradient(warped, axis=a) if n > 1 else np.zeros_like(warped) for a, n in enumerate(warped.shape)]) * -diff
         u = poisson(force)
         top = np.sqrt((u * u).sum(0)).max()
         if top == 0:
