@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import arrays, elementwise, filters, geometry, morphology, resample, statistics, strings
+from .queries import arrays, elementwise, extras, filters, geometry, morphology, resample, statistics, strings
 
-MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings)
+MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras)
 
 
 def queries() -> dict:

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Written to the folder that driver and executors share, and read again."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; a folder of our own only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(named)
-    path = f"{named.rstrip('/')}/gridloom-{what}-{uuid.uuid4().hex[:12]}"
+    return f"{named.rstrip('/')}/gridloom-{what}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """Written to the shared folder and read again: the lineage ends there."""
+    path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
