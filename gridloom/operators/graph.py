@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,19 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the place of each row in the order of key, from 0, without a window over all rows: rows are dealt by ranges
+    of key, counted by range (a number a range comes to the driver) and numbered within their range."""
+    ranged = saved(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranged")
+    start, total = [], 0
+    for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():
+        start.append((r["__range"], total))
+        total += r["n"]
+    starts = df.sparkSession.createDataFrame(start, "__range int, __start long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranged.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + place).cast("long")).drop("__range", "__start")
+
+
 def _star(e: DataFrame, large: bool) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
     low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..layout import AXES, Grid
-from .graph import saved
+from .graph import dense_index, saved
 
 
 def normalized_attributes(points: DataFrame, n: int) -> DataFrame:
@@ -30,9 +30,7 @@ def _distance(centers: list[list[float]]) -> Column:
 def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool = True) -> DataFrame:
     """(id, label): Lloyd's rounds until nothing changes. Row i in the order of id starts in cluster i mod k."""
     data = normalized_attributes(points, n) if scaled else points
-    w = Window.orderBy("id")
-    start = data.select("id").withColumn("label", ((F.row_number().over(w) - 1) % k).cast("int"))
-    now = saved(data.join(start, "id"), "kmeans")
+    now = saved(dense_index(data, "id", "place").withColumn("label", (F.col("place") % k).cast("int")).drop("place"), "kmeans")
     for _ in range(rounds):
         rows = now.groupBy("label").agg(*[F.avg(F.get("f", i)).alias(f"m{i}") for i in range(n)]).collect()
         by = {r["label"]: [r[f"m{i}"] for i in range(n)] for r in rows}
@@ -49,8 +47,7 @@ def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool =
 def expectation_maximization(points: DataFrame, k: int, n: int, rounds: int = 100) -> DataFrame:
     """(id, label): Gaussian mixture with full covariances. Contiguous blocks of id start as the clusters; ends when fewer than a twentieth move."""
     total = points.count()
-    w = Window.orderBy("id")
-    now = saved(points.withColumn("label", F.least(F.floor((F.row_number().over(w) - 1) * k / F.lit(max(1, total))), F.lit(k - 1)).cast("int")).withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double"))), "em")
+    now = saved(dense_index(points, "id", "place").withColumn("label", F.least(F.floor(F.col("place") * k / F.lit(max(1, total))), F.lit(k - 1)).cast("int")).drop("place").withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double"))), "em")
     for _ in range(rounds):
         sums = [F.sum(F.get("r", j)).alias(f"n{j}") for j in range(k)]
         sums += [F.sum(F.get("r", j) * F.get("f", i)).alias(f"s{j}_{i}") for j in range(k) for i in range(n)]

@@ -176,7 +176,10 @@ def sharpening(spark, sf_dir):
     return _rounded(H.histogram_sharpening(vol(spark, sf_dir).df).select("img", "bin", "n"), 6, "n")
 
 
-@REG("hist_otsu_threshold_sharpening")
+_SHARP = "b AS (SELECT *, (coalesce(lag(n) OVER w, n) + 2 * n + coalesce(lead(n) OVER w, n)) / 4.0::DOUBLE AS b FROM h WINDOW w AS (PARTITION BY img ORDER BY bin)), sh AS (SELECT img, bin, low, high, coalesce(n * b * b / nullif(b * b + 0.01::DOUBLE * max(b * b) OVER (PARTITION BY img), 0), 0) AS m FROM b)"
+
+
+@REG("hist_otsu_threshold_sharpening", f"WITH {VOL_SQL}, {_HIST}, {_SHARP}, " + _OTSU.replace("(SELECT *, CASE WHEN bin < 1 THEN 0 ELSE n END::DOUBLE AS m FROM h)", "sh") + " SELECT img, round(t, 6) AS threshold FROM o")
 def otsu_sharpening(spark, sf_dir):
     return _rounded(H.otsu_threshold_sharpening(vol(spark, sf_dir).df), 6, "threshold")
 
@@ -217,9 +220,24 @@ def normalized_attributes(spark, sf_dir):
     return n.select("id", *[F.round(F.get("f", i), 6).alias(f"f{i + 1}") for i in range(4)])
 
 
-@REG("ml_k_means")
+def _lloyd(rounds: int, k: int) -> str:
+    """Rounds of Lloyd's algorithm as CTEs l0 .. l<rounds> of (id, label)."""
+    n = range(1, 5)
+    out = [
+        "p AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS f FROM embeddings), sd AS (SELECT " + ", ".join(f"stddev_pop(f[{i}]) AS s{i}" for i in n) + " FROM p)",
+        "q AS (SELECT id, " + ", ".join(f"f[{i}] / s{i} AS f{i}" for i in n) + " FROM p, sd)",
+        f"l0 AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) % {k} AS label FROM q)",
+    ]
+    for r in range(rounds):
+        out.append(f"c{r} AS (SELECT label, " + ", ".join(f"avg(f{i}) AS m{i}" for i in n) + f" FROM q JOIN l{r} USING (id) GROUP BY label)")
+        d = " + ".join(f"(f{i} - m{i}) * (f{i} - m{i})" for i in n)
+        out.append(f"l{r + 1} AS (SELECT id, label FROM (SELECT q.id, c{r}.label, row_number() OVER (PARTITION BY q.id ORDER BY round({d}, 12), c{r}.label) AS o FROM q, c{r}) WHERE o = 1)")
+    return ", ".join(out)
+
+
+@REG("ml_k_means", f"WITH {_lloyd(4, 4)} SELECT id, CAST(label AS INT) AS label FROM l4")
 def k_means(spark, sf_dir):
-    return ml.k_means(_points(spark, sf_dir), 4, 4, rounds=12)
+    return ml.k_means(_points(spark, sf_dir), 4, 4, rounds=4)
 
 
 @REG("ml_expectation_maximization")

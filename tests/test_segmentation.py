@@ -92,3 +92,27 @@ def test_slices_options_and_colours(spark):
     c = color.value_to_color(g.df, color.palette(spark, (0, 0, 0), (255, 0, 0)), 0, 7).orderBy("idx").collect()
     assert c[0]["r"] == 0 and c[7]["r"] == 255 and c[7]["g"] == 0
     assert spark.range(1).select(F.round(color.hue(F.lit(0.0), F.lit(1.0), F.lit(0.0)), 4)).first()[0] == 2.0944
+
+
+def waves(a, closes):
+    """Opening or closing of a 2D mask by the schedule, with plain loops."""
+    a = a.copy()
+    for t in range(2, -1, -1):
+        changed = False
+        while True:
+            n = sum(np.roll(np.roll(np.pad(a, 1), dy, 0), dx, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1))[1:-1, 1:-1] - a
+            new = np.where(n > 4 + t, 1, a) if closes else np.where(n < 4 - t, 0, a)
+            if (new == a).all():
+                break
+            a, changed = new, True
+        if changed:
+            break
+    return a
+
+
+@pytest.mark.parametrize("closes", [False, True])
+def test_waves_by_hand(spark, closes):
+    a = (np.random.default_rng(7).random((12, 14)) < 0.55).astype(int)
+    g = grid(spark, a, (14, 12, 1)).map(F.col("v").cast("int"))
+    got = np.array(values(M.closing(g) if closes else M.opening(g))).reshape(12, 14)
+    assert (got == waves(a, closes)).all() and (got != a).any()
