@@ -12,13 +12,12 @@ from ..plans.expression import evaluate
 from .registry import Registry
 
 REG = Registry()
-V = F.col("v")
 KEYS = ["img", "idx"]
 
 
 def _one(name: str, column, sql: str) -> None:
     """A query of one element-wise operator over the volumes."""
-    REG.add(name, lambda s, d: vol(s, d).df.select(*KEYS, column(V).alias("v")), f"WITH {VOL_SQL} SELECT img, idx, {sql} AS v FROM vol")
+    REG.add(name, lambda s, d: vol(s, d).df.select(*KEYS, column(F.col("v")).alias("v")), f"WITH {VOL_SQL} SELECT img, idx, {sql} AS v FROM vol")
 
 
 _one("ew_add_constant", lambda v: v + 7, "v + 7")
@@ -78,7 +77,7 @@ _pair("pair_paint", lambda a, b: E.paint((b > 300).cast("int"), a, 9), "CASE WHE
 
 def _cmd(name: str, sql: str, parameter: str = "", digits: int | None = None) -> None:
     """A query of one element-wise command over the volumes as doubles or integers."""
-    v = (lambda: F.round("v", digits)) if digits is not None else (lambda: V)
+    v = (lambda: F.round("v", digits)) if digits is not None else (lambda: F.col("v"))
     REG.add(f"cmd_{name}", lambda s, d: command(vol(s, d), name, parameter).df.select(*KEYS, v().alias("v")), f"WITH {VOL_SQL} SELECT img, idx, {sql} AS v FROM vol")
 
 

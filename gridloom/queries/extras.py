@@ -16,16 +16,15 @@ from ..streaming import running
 from .registry import Registry
 
 REG = Registry()
-V = F.col("v")
 
 
 def _channels(spark, sf_dir):
-    return vol(spark, sf_dir).df.select(F.lit(0).cast("long").alias("img"), "idx", F.col("img").alias("ch"), (V / 4000.0).alias("p"))
+    return vol(spark, sf_dir).df.select(F.lit(0).cast("long").alias("img"), "idx", F.col("img").alias("ch"), (F.col("v") / 4000.0).alias("p"))
 
 
 def _mask(spark, sf_dir):
     g = vol(spark, sf_dir)
-    return g.with_df(g.df.where("img = 0")).map((V > 300).cast("int"))
+    return g.with_df(g.df.where("img = 0")).map((F.col("v") > 300).cast("int"))
 
 
 @REG("seg_create_bg", f"WITH {VOL_SQL} SELECT idx, img + 1 AS ch, round(v / 4000.0::DOUBLE, 9) AS p FROM vol UNION ALL SELECT idx, 0 AS ch, round(greatest(1 - sum(v / 4000.0::DOUBLE), 0), 9) AS p FROM vol GROUP BY idx")
@@ -59,12 +58,12 @@ def zscore(spark, sf_dir):
 @REG("seg_fill_and_smooth_labels")
 def fill_labels(spark, sf_dir):
     g = pic(spark, sf_dir)
-    return S.fill_and_smooth_labels(g.map(F.when(V > 24, V % 3).otherwise(0)), g.map((V > 14).cast("int")), 4, 2).df.select("idx", "v")
+    return S.fill_and_smooth_labels(g.map(F.when(F.col("v") > 24, F.col("v") % 3).otherwise(0)), g.map((F.col("v") > 14).cast("int")), 4, 2).df.select("idx", "v")
 
 
 @REG("seg_dndnco")
 def dndnco(spark, sf_dir):
-    return S.dndnco(pic(spark, sf_dir).map((V > 16).cast("int"))).df.select("idx", "v")
+    return S.dndnco(pic(spark, sf_dir).map((F.col("v") > 16).cast("int"))).df.select("idx", "v")
 
 
 @REG("color_value_to_color", f"WITH {VOL_SQL}, c AS (SELECT *, CAST(least(greatest(floor(v * 255.99::DOUBLE / 500), 0), 255) AS BIGINT) AS i FROM vol) SELECT img, idx, CAST(floor(10.0::DOUBLE * (255 - i) / 255 + 250.0::DOUBLE * i / 255) AS BIGINT) AS r, CAST(floor(200.0::DOUBLE * (255 - i) / 255) AS BIGINT) AS g, CAST(floor(30.0::DOUBLE * (255 - i) / 255 + 30.0::DOUBLE * i / 255) AS BIGINT) AS b FROM c")
@@ -82,20 +81,20 @@ def _edges(name: str, steps: list[int], both: bool) -> None:
     w = "(PARTITION BY img ORDER BY idx)"
     near = [f"lead(v, {n}) OVER {w}" for n in steps] + ([f"lag(v, {n}) OVER {w}" for n in steps] if both else [])
     sql = f"WITH {VOL_SQL}, m AS (SELECT img, idx, v % 3 AS v FROM vol), n AS (SELECT img, idx, v, [{', '.join(near)}] AS near FROM m) SELECT img, idx, coalesce(list_max(list_transform(list_filter(near, lambda x: x <> v), lambda x: greatest(x, v))), 0) AS v FROM n"
-    REG.add(f"cmd_{name}", lambda s, d: command(vol(s, d).map(V % 3), name).df.select("img", "idx", V.cast("long").alias("v")), sql)
+    REG.add(f"cmd_{name}", lambda s, d: command(vol(s, d).map(F.col("v") % 3), name).df.select("img", "idx", F.col("v").cast("long").alias("v")), sql)
 
 
 _edges("morphology_edge", [1, 16, 192], True)
 _edges("morphology_edge_xy", [1, 16], False)
 _edges("morphology_edge_xz", [1, 192], False)
 for _name in ("morphology_opening", "morphology_closing", "morphology_smoothing"):
-    REG.add(f"cmd_{_name}", lambda s, d, n=_name: command(pic(s, d).map((V > 18).cast("long")), n).df.select("idx", V.cast("long").alias("v")))
+    REG.add(f"cmd_{_name}", lambda s, d, n=_name: command(pic(s, d).map((F.col("v") > 18).cast("long")), n).df.select("idx", F.col("v").cast("long").alias("v")))
 
 
 @REG("cmd_refine_label")
 def refine(spark, sf_dir):
     g = pic(spark, sf_dir)
-    return command(g.map(V % 3), "refine_label", "", g).df.select("idx", "v")
+    return command(g.map(F.col("v") % 3), "refine_label", "", g).df.select("idx", "v")
 
 
 def _written(kind: str):
@@ -109,7 +108,7 @@ def _written(kind: str):
         rows = to_arrays(g).select(F.lit(None).cast("string").alias("path"), F.concat(F.lit("v"), F.col("img")).alias("name"), F.col("img").cast("int").alias("volume"), F.array(*[F.lit(n) for n in g.shape]).alias("shape"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("vs"), eye.alias("affine"), F.transform("data", lambda x: x.cast("double")).alias("data"))
         rows.write.format(kind).mode("append").save(path)
         back = spark.read.format(kind).load(path).select(F.regexp_extract("path", r"v(\d)-", 1).cast("long").alias("img"), "data")
-        return from_arrays(back, g.shape).df.select("img", "idx", V.cast("long").alias("v"))
+        return from_arrays(back, g.shape).df.select("img", "idx", F.col("v").cast("long").alias("v"))
 
     return run
 
@@ -126,7 +125,7 @@ def bmp(spark, sf_dir):
     rows = to_arrays(g).select(F.lit(None).cast("string").alias("path"), F.lit("p").alias("name"), F.lit(0).alias("volume"), F.array(*[F.lit(n) for n in g.shape]).alias("shape"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("vs"), F.array(*[F.lit(x) for x in images.EYE]).alias("affine"), F.transform("data", lambda x: x.cast("double")).alias("data"))
     rows.write.format("bmp").mode("append").save(path)
     back = spark.read.format("bmp").load(path).select(F.lit(0).cast("long").alias("img"), "data")
-    return from_arrays(back, g.shape).df.select("idx", V.cast("long").alias("v"))
+    return from_arrays(back, g.shape).df.select("idx", F.col("v").cast("long").alias("v"))
 
 
 @REG("stream_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
