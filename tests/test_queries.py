@@ -10,6 +10,12 @@ from gridloom import catalog
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """The scale at which the thresholds of the queries select something."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def db(sf):
     c = duckdb.connect()
