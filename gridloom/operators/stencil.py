@@ -1,11 +1,14 @@
 """Fixed-frame windows: filters and gradients.
 
-A filter along an axis is a window over that line (lag and lead), so each axis costs one exchange by line; lines are short
-and many, so no task holds a whole image. Borders are clamped: a missing neighbour is the voxel itself.
+A filter along an axis is a window over that line (lag and lead). Volumes are first dealt by plane, (img, z): windows along
+x and along y are then satisfied where the rows are, and only z needs an exchange of its own, by (img, x, y). Passes that
+follow start with the axis the rows are dealt for. No task holds a whole volume. Borders are clamped: a missing neighbour is
+the voxel itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,27 +39,42 @@ def axes(grid: Grid) -> tuple[str, ...]:
     return AXES[: grid.dim]
 
 
+def planes(df: DataFrame, dim: int) -> DataFrame:
+    """Rows dealt by plane. 2D images are left to their lines: a plane would be the whole image."""
+    return df.repartition("img", "z") if dim == 3 else df
+
+
+def passes(grid: Grid, step: Callable[[Grid, str], Grid], times: int = 1) -> Grid:
+    """step along every axis, times over; every other pass runs z first, where the one before has left the rows."""
+    for k in range(times):
+        if grid.dim == 3 and k % 2:
+            grid = step(grid, "z")
+        grid = grid.with_df(planes(grid.df, grid.dim))
+        for a in "xy":
+            grid = step(grid, a)
+        if grid.dim == 3 and not k % 2:
+            grid = step(grid, "z")
+    return grid
+
+
 def gaussian(grid: Grid, bandwidth: int = 1) -> Grid:
     """[1 2 1] / 4 along each axis, bandwidth times."""
-    for _ in range(bandwidth):
-        for a in axes(grid):
-            grid = grid.map(smooth(grid, a) / 4.0)
-    return grid
+    return passes(grid, lambda g, a: g.map(smooth(g, a) / 4.0), bandwidth)
 
 
 def mean(grid: Grid) -> Grid:
     """Mean of the three neighbours along each axis, clamped."""
-    for a in axes(grid):
-        grid = grid.map(reduce(lambda p, q: p + q, sides(grid, a)))
-    return grid.map(F.col("v") / float(3**grid.dim))
+    return passes(grid, lambda g, a: g.map(reduce(lambda p, q: p + q, sides(g, a)))).map(F.col("v") / float(3**grid.dim))
 
 
 def sobel_parts(grid: Grid) -> Grid:
     """Columns gx, gy, gz: central difference along one axis, [1 2 1] along the others."""
-    df, ax = grid.df, axes(grid)
+    df, ax = planes(grid.df, grid.dim), axes(grid)
     for a in ax:
         df = df.withColumn(f"g{a}", derivative(grid, a))
-    for a in ax:  # a window along one axis serves all the columns it smooths
+    for a in ("z", "x", "y") if grid.dim == 3 else ax:  # a window along one axis serves all the columns it smooths
+        if a == "x":
+            df = planes(df, grid.dim)
         df = df.withColumns({f"g{b}": smooth(grid, a, f"g{b}") for b in ax if b != a})
     return grid.with_df(df)
 
@@ -70,7 +88,7 @@ def sobel(grid: Grid) -> Grid:
 def laplacian(grid: Grid) -> Grid:
     """Sum over axes of before - 2 here + after."""
     parts = []
-    df = grid.df
+    df = planes(grid.df, grid.dim)
     for a in axes(grid):
         b, h, c = sides(grid, a)
         df = df.withColumn(f"l{a}", b + c - 2 * h)
@@ -80,7 +98,7 @@ def laplacian(grid: Grid) -> Grid:
 
 def gradient_magnitude(grid: Grid) -> Grid:
     """Root of the summed squares of the central differences (not halved)."""
-    df = grid.df
+    df = planes(grid.df, grid.dim)
     for a in axes(grid):
         df = df.withColumn(f"g{a}", derivative(grid, a))
     return grid.with_df(df.withColumn("v", F.sqrt(reduce(lambda p, q: p + q, [F.col(f"g{a}") * F.col(f"g{a}") for a in axes(grid)]).cast("double"))).select(grid.df.columns))
@@ -105,7 +123,7 @@ def canny_edge(grid: Grid) -> Grid:
 
 def gradient(grid: Grid) -> DataFrame:
     """(…, gx, gy, gz): forward differences along each axis, 0 at the far end."""
-    df = grid.df
+    df = planes(grid.df, grid.dim)
     for a in axes(grid):
         w = grid.line(a)
         df = df.withColumn(f"g{a}", F.coalesce(F.lead("v").over(w) - F.col("v"), F.lit(0)))
@@ -127,7 +145,7 @@ def gradient_2(grid: Grid, axis: str) -> Grid:
 
 def gradient_at(grid: Grid) -> DataFrame:
     """(…, gx, gy, gz): central differences, 0 at the border."""
-    df = grid.df
+    df = planes(grid.df, grid.dim)
     for a in axes(grid):
         w = grid.line(a)
         df = df.withColumn(f"g{a}", F.coalesce(F.lead("v").over(w) - F.lag("v").over(w), F.lit(0)))
@@ -142,6 +160,7 @@ def anisotropic_diffusion(grid: Grid, conductance: float = 1.0, iterations: int
     ax = [a for a, n in zip(AXES, grid.shape, strict=True) if n > 1]
     df = grid.df.withColumn("v", F.col("v").cast("double"))
     for _ in range(iterations):
+        df = planes(df, grid.dim)
         for a in ax:
             df = df.withColumn(f"d{a}", F.coalesce(F.col("v") - F.lag("v").over(grid.line(a)), F.lit(0.0)))
         k = df.groupBy("img").agg(*[(F.sum(F.col(f"d{a}") * F.col(f"d{a}")) * k0 / float(grid.size)).alias(f"k{a}") for a in ax])
