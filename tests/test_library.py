@@ -187,6 +187,21 @@ def test_network_layers():
     assert np.allclose(network.sliding_window(z, (4, 4, 4), lambda v: v * 2), z * 2)
 
 
+def test_model_file():
+    text = "split_merge(conv2,ks3,stride1,relu+max_pool+conv_trans2|conv1,ks1,stride1)+norm+conv3,ks1,stride1"
+    rng = np.random.default_rng(4)
+    sizes = [2 * 27, 2, 2 * 2 * 8, 2, 1, 1, 3, 3, 9, 3]
+    tensors = [rng.normal(size=n) for n in sizes]
+    records = [{"name": "architecture", "rows": 1, "cols": len(text), "data": list(text.encode()), "dtype": "u1"}]
+    records += [{"name": f"tensor{i}", "rows": len(t), "cols": 1, "data": t, "dtype": "f8"} for i, t in enumerate(tensors)]
+    layers, weights = network.load_model(FM.write_mat4(records))
+    assert [w.size for w in weights] == sizes
+    x = rng.random((6, 7, 5))
+    y = network.evaluate(layers, weights, x)
+    assert y.shape == (3, 6, 7, 5) and np.allclose(network.softmax(y).sum(0), 1)
+    assert network.evaluate(layers, weights, x, (4, 4, 4)).shape == (3, 6, 7, 5)
+
+
 def test_per_image():
     x = np.random.default_rng(1).random((4, 4, 4))
     assert np.allclose(per_image.fft_shift(per_image.fft_shift(x)), x)
