@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,9 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share; a folder of our own only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        own = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, own, True)
+        named = "file://" + own
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/gridloom-{what}-{uuid.uuid4().hex[:12]}"
 
