@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        own = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, own, True)
+        named = "file://" + own
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
