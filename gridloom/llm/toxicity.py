@@ -175,8 +175,9 @@ class Scorer:
     def quoted(pieces: list[str], i: int) -> bool:
         """Whether a quotation opens at or before word i and closes at or after it, within the window."""
         before, after = pieces[max(0, i - SPAN) : i + 1], pieces[i : i + SPAN + 1]
-        opened = any(p[0] in OPEN for p in before) and not any(p.rstrip(".,;:!?")[-1:] in CLOSE and p[0] not in OPEN for p in before[:-1])
-        return opened and any((q := p.rstrip(".,;:!?")) and q[-1] in CLOSE for p in after)
+        closes = lambda p: bool(q := p.rstrip(".,;:!?")) and q[-1] in CLOSE
+        opened = any(p[0] in OPEN for p in before) and not any(closes(p) and p[0] not in OPEN for p in before[:-1])
+        return opened and any(map(closes, after))
 
 
 @cache

@@ -263,6 +263,7 @@ def test_toxicity_context_and_odd_rows(odd, none, spark):
     s = toxicity.Scorer({"badger$": 5.0})
     loud, quoted = s.counts("you badger what a badger"), s.counts('he said "you badger" to them')
     assert loud[1] > 0 and quoted[1] == 0 and quoted[3] > 0
+    assert s.counts('he said "well ... badger" to them')[3] > 0 and s.counts('"quote" ends, you badger')[1] > 0
     assert s.counts("you badgre")[1] > 0 and s.counts(None) == s.counts("") == [0.0] * toxicity.N_COUNTS
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, 0), (4, None), (5, 0), (5, 1)], "doc_id long, toxic int")
     terms, model = toxicity.fit_toxicity(odd, labels)
