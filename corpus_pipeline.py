@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import drop_dir, new_dir
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.line_dedup import dedup_lines
-from gridloom.llm.packing import pack_documents
+from gridloom.llm.packing import pack_tokenized
 from gridloom.llm.quality import fit_quality, keep_quality
 from gridloom.llm.simhash import near_duplicates
 
@@ -43,7 +43,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    import public_tokenizers
+
+    return pack_tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("leaks", leaks), ("pack", pack)]

@@ -11,6 +11,10 @@ Documents are dealt into packs by hash of their id, as many packs as the token t
 its own: a third of all rows in one cluster or source is spread over all packs, and a pack's memory is bounded by
 pack_tokens, whatever the input. Within a pack the packing is exact best-fit.
 
+pack_tokenized() sizes documents by a tokenizer, so pieces start at token offsets and no bin holds more than its capacity;
+its clusters are near-duplicate components: SimHash links (see simhash) and texts that are equal but for case and white
+space. pack_documents() is for where no tokenizer is at hand: sizes estimated from bytes, clusters of equal texts alone.
+
 Defined results: a document of 0 tokens is one empty piece and is packed like any other; null or negative sizes count as
 0; a null source or cluster conflicts with nothing; a row without id is packed with the others, its bin has it as null;
 rows that repeat an id are documents of their own; an empty table gives an empty table. Other columns are ignored.
@@ -22,15 +26,22 @@ import bisect
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keep, tune
+from .components import components
+from .simhash import fingerprint, fingerprint_links
+from .sstable import encoder
+
 CAPACITY, PER_SOURCE, PACK_TOKENS = 2048, 4, 2_000_000
 SCHEMA = "bin long, place int, doc_id {}, piece int, start long, n_tokens int, fill int"
 
 
 def token_estimate(text: Column) -> Column:
-    """Tokens at four UTF-8 bytes each, rounded up. Give pack() a column of exact counts where they are at hand."""
+    """Tokens at four UTF-8 bytes each, rounded up: an estimate, which real counts can exceed."""
     return F.ceil(F.coalesce(F.octet_length(text.cast("string")), F.lit(0)) / 4).cast("long")
 
 
@@ -131,5 +142,35 @@ def pack_documents(docs: DataFrame, **options) -> DataFrame:
     return pack(rows, "n", cluster_col="cluster", **options)
 
 
+def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, source, n, fp, same): tokens, SimHash and a name for texts that are equal but for case and white space."""
+
+    def run(batches):
+        e = encoder(vocabulary)
+        for b in batches:
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            n = [len(ids) // 4 for ids in e.encode(texts)]
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            same = [xxhash.xxh128_digest(" ".join(t.lower().split()).encode()) for t in texts]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fps), pa.array(same, pa.binary())], ["doc_id", "source", "n", "fp", "same"])
+
+    tune(docs.sparkSession)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, n long, fp long, same binary")
+
+
+def pack_tokenized(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
+    """pack() of documents (doc_id, text, source) with exact sizes and near-duplicate clusters. vocabulary names a file that every executor has installed."""
+    rows = keep(measured(docs, vocabulary), "measured")
+    kinds = rows.select("same", "fp").distinct()
+    low = kinds.groupBy("same").agg(F.min("fp").alias("low"), F.count("*").alias("k")).where("k > 1")
+    equal = kinds.join(low, "same").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    found = components(fingerprint_links(rows.select("fp").distinct()).unionByName(equal)).withColumnRenamed("node", "fp")
+    clusters = rows.join(found, "fp", "left").select("doc_id", "source", "n", F.coalesce("root", "fp").alias("cluster"))
+    return pack(clusters, "n", cluster_col="cluster", **options)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    import public_tokenizers
+
+    return pack_tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -292,6 +292,40 @@ def test_packing_keeps_every_token(spark, none):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_packing_by_tokens_and_near_duplicates(spark, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(6)
+    words = ["señor", "über", "naïve", "xqz", "the", "Straße", "ñandú"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(150)]
+    base = [f"{r.choice(words)}{k}" for k in range(400)]
+    group = [(500 + k, " ".join([*base[:399], f"tail{k}"])) for k in range(8)]  # near copies
+    cased = [(600, "école ñandú"), (601, "ÉCOLE  ÑANDÚ"), (602, "École Ñandú ")]
+    rows += [*group, *cased, (7, "again"), (None, None), (None, "no id"), (300, "ñ über " * 3_000), (301, "")]
+    got = packing.pack_tokenized(docs(spark, rows), path, capacity=2500, per_source=50).collect()
+    t = Tokenizer.from_file(path)
+    want, by = collections.Counter(), collections.Counter()
+    for i, x in rows:
+        want[i] += len(t.encode(x or "", add_special_tokens=False).ids)
+    for x in got:
+        by[x["doc_id"]] += x["n_tokens"]
+    assert by == want
+    assert len({x["bin"] for x in got if (x["doc_id"] or 0) >= 600}) == 3
+    bins = collections.defaultdict(list)
+    for x in got:
+        bins[x["bin"]].append(x)
+    fps = {i: fp_by_hand(x) for i, x in group}
+    roots = {i: min(j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4) for i in fps}
+    assert len(set(fps.values())) > 1 and len(set(roots.values())) < len(fps)
+    for b in bins.values():
+        assert sum(x["n_tokens"] for x in b) == b[0]["fill"] <= 2500
+        near = [roots[x["doc_id"]] for x in b if x["doc_id"] in roots]
+        assert len(near) == len(set(near))
+    assert packing.pack_tokenized(none, path).count() == 0
+
+
 # pipeline
 
 
