@@ -5,8 +5,9 @@ characters as it has outside links; lines inside containers that never hold an a
 footers, asides, forms, scripts, styles, notices, adverts, reader comments) weigh nothing, and such a container takes at
 least as many lines as the window, as its markup does on a real page. Weights are summed over a sliding window of lines.
 A surge point is where the window's sum leaves zero, a dive point where it comes back to zero; the text between them is
-kept if its heaviest window carries a share of the page's heaviest one. Where a page names its article (article or main
-elements), only what is inside is weighed.
+kept if at least half of it stands outside links. A container without article text that stands between lines of one
+container doesn't part them. Article and main elements outside such containers raise the weight of their lines: what is
+inside counts RAISED times, and text outside them is kept only if it has a share of all that is inside.
 
 Defined results: a null or empty html gives an empty text and 0; pages without article text give an empty text; rows
 that repeat a page_id each get a row; an empty table gives an empty table. Cut-off markup at the end of a page is
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import tune
 
 WINDOW = 3
-#: A span between surge and dive stays if its heaviest window has at least this share of the page's heaviest one.
+#: On pages with an article or main element, text outside of them stays if a span has at least this share of their raised text.
 SHARE = 0.1
+#: Text inside article or main counts so many times.
+RAISED = 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -38,6 +41,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold a line rather than lines. Those named LINE keep a line that is only a link.
+LINE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+INNER = LINE | frozenset("blockquote pre li dt dd".split())
 NEVER = frozenset("nav footer aside form menu button select dialog object canvas audio video head".split())
 #: Words in class, id or role that name a container which holds no article text.
 BOILER = re.compile(
@@ -66,36 +72,47 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def strip_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, weight, whether inside a named article) of a page, and whether it names an article."""
-    lines: list[tuple[str, int, bool]] = []
+def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
+    """Lines (text, weight, whether inside an article or main element, number of the container) of a page.
+
+    Empty lines stand for a container without article text and have its parent's number, or none at the ends of an article.
+    """
+    lines: list[tuple[str, int, bool, int | None]] = []
     text: list[str] = []
-    weight = links = boiler = article = 0
-    named = False
-    open_tags: list[tuple[str, bool]] = []  # (name, starts a container without article text)
+    weight = links = boiler = article = opened = 0
+    open_tags: list[tuple[str, bool, int]] = []  # (name, starts a container without article text, number)
     pos, raw_until = 0, None
 
+    def container() -> int:
+        return next((k for name, _, k in reversed(open_tags) if name in BLOCK and name not in INNER), 0)
+
+    def gap(number: int | None) -> None:
+        lines.extend([("", 0, False, number)] * WINDOW)
+
     def flush() -> None:
         nonlocal weight
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                lines.append((line, weight if not boiler else 0, article > 0))
+                own = next((name for name, _, _ in reversed(open_tags) if name in BLOCK), "")
+                lines.append((line, 0 if boiler else max(weight, 1) if article or own in LINE else weight, article > 0, container()))
             text.clear()
         weight = 0
 
     def close(i: int) -> None:
         nonlocal links, boiler, article
         while len(open_tags) > i:
-            name, bad = open_tags.pop()
+            name, bad, _ = open_tags.pop()
             if name == "a":
                 links -= 1
-            elif name in ("article", "main"):
+            elif name in ("article", "main") and not boiler:
                 article -= 1
+                if not article:
+                    gap(None)
             if bad:
                 boiler -= 1
                 if not boiler:
-                    lines.extend([("", 0, article > 0)] * WINDOW)
+                    gap(container())
 
     while pos < len(page):
         if raw_until:
@@ -139,14 +156,14 @@ def strip_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         bad = _boiler(tag, m[3], article > 0)
         if tag in BLOCK or bad:
             flush()
-            while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "span", "font", "u", "small", "a") and any(n == "p" for n, _ in open_tags):
+            while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "span", "font", "u", "small", "a") and any(t[0] == "p" for t in open_tags):
                 close(len(open_tags) - 1)  # a block ends an open paragraph
             if tag in CLOSES:
                 while open_tags and open_tags[-1][0] in CLOSES[tag]:
                     close(len(open_tags) - 1)
         if bad:
             if not boiler:
-                lines.extend([("", 0, article > 0)] * WINDOW)
+                gap(container())
             boiler += 1
         if m[3].endswith("/"):
             if bad:
@@ -155,19 +172,41 @@ def strip_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if tag == "a":
             links += 1
         elif tag in ("article", "main"):
-            article += 1
-            named = True
-        open_tags.append((tag, bad))
+            if not boiler:  # what a container without article text names is no article
+                if not article:
+                    gap(None)
+                article += 1
+        opened += 1
+        open_tags.append((tag, bad, opened))
     flush()
-    return lines, named
+    return lines
+
+
+def _joined(lines: list[tuple[str, int, bool, int | None]]) -> list[tuple[str, int, bool, int | None]]:
+    """The lines without the empty ones of containers that stand between lines of their own parent."""
+    out, i = [], 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and not lines[j][0]:
+            j += 1
+        if j == i:
+            out.append(lines[i])
+            i += 1
+            continue
+        around = {lines[j][3] if j < len(lines) else None, out[-1][3] if out else None}
+        if None in around or len(around | {x[3] for x in lines[i:j]}) > 1:
+            out += lines[i:j]
+        i = j
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
     """The page's main text, blocks joined by an empty line."""
     if not page:
         return ""
-    lines, named = strip_lines(page)
-    weights = [(max(w, 1) if t and inside else 0) if named else w for t, w, inside in lines]
+    lines = _joined(strip_lines(page))
+    weights = [w for _, w, _, _ in lines]
+    named = RAISED * sum(w for _, w, inside, _ in lines if inside)
     if not any(weights):
         return ""
     n = len(weights)
@@ -177,7 +216,7 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
             run += weights[i + window - 1]
         sums.append(run)
         run -= weights[i]
-    most, out, i = max(sums), [], 0
+    out, i = [], 0
     while i < n:
         if not sums[i]:
             i += 1
@@ -185,9 +224,11 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
         surge = i
         while i < n and sums[i]:
             i += 1
-        if named or max(sums[surge:i]) >= share * most:
-            first = next(k for k in range(surge, n) if weights[k])
-            out += [t for t, _, inside in lines[first:i] if t and (inside or not named)]
+        span = lines[next(k for k in range(surge, n) if weights[k]) : i]
+        inside = any(x[2] for x in span)
+        plain = sum(w for _, w, _, _ in span) * (RAISED if inside else 1)
+        if 2 * plain >= sum(len(t) for t, _, _, _ in span) and (inside or plain >= share * named):
+            out += [t for t, _, _, _ in span if t]
     return "\n\n".join(out)
 
 

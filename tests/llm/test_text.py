@@ -214,6 +214,25 @@ def test_html_main_text(start, end):
     assert html_text.main_text(PAGE.replace("{open}", start).replace("{close}", end)) == "\n\n".join(MAIN)
 
 
+STORY = ["The story starts with a paragraph of plain words that nobody else has.", "It goes on with a second one, which is just as long as the first was."] * 4
+
+
+@pytest.mark.parametrize("box", ["comments", "related"])
+def test_html_article_elements_in_boilerplate(box):
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    page = f"<body><div>{story}</div><div class={box}><article><p>Someone says something here.</p></article><article><p>So do I.</p></article></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(STORY)
+    teasers = "<article><h2><a href=x>Another story</a></h2></article>" * 3
+    assert html_text.main_text(f"<body><div>{story}</div>{teasers}</body>") == "\n\n".join(STORY)
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_html_keeps_short_ends_of_an_article(tag):
+    body = "<h2><a href=x>A linked headline</a></h2>" + "".join(f"<p>{x * 8}</p>" for x in STORY) + "<div class=ad>Buy now</div><p>A short closing paragraph.</p><p><a href=y>Read on</a></p>"
+    want = ["A linked headline", *(x * 8 for x in STORY), "A short closing paragraph.", "Read on"]
+    assert html_text.main_text(f"<body><nav><a>Home</a></nav><{tag}>{body}</{tag}><footer>All rights</footer></body>") == "\n\n".join(want)
+
+
 def test_html_odd_pages(spark):
     for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<nav><a>x</a></nav>", ""), ("<p>cut off <b>here", "cut off here"), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p>x</p><script>never closed <p>no</p>", "x"), ("<p>a</p><p attr='>'>b</p><p att", "a\n\nb"), ("<article></article>", ""), ("<p>1 < 2 &lt; 3 &#8364; &notanentity;</p>", html.unescape("1 < 2 &lt; 3 &#8364; &notanentity;"))):
         assert html_text.main_text(page) == want
