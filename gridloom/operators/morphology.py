@@ -278,11 +278,30 @@ def region_growing(grid: Grid, seeds: DataFrame, low, high) -> DataFrame:
     return c.join(hit, ["img", "label"], "left_semi").select("img", *AXES, "idx")
 
 
+#: Labels whose masks for_each_label holds at once, as images of one grid; a power of two.
+LABELS = 64
+
+
 def for_each_label(grid: Grid, op) -> Grid:
-    """op on the mask of each label; the highest label wins where results overlap. A maximum of 1 is one mask."""
-    labels = [r["v"] for r in grid.df.where("v > 0").select("v").distinct().orderBy("v").limit(4096).collect()]
-    out = None
-    for k in labels or [1]:
-        part = op(grid.map((F.col("v") == k).cast("int"))).df.where("v <> 0").select("img", "idx", F.lit(k).alias("n"))
+    """op on the mask of each label; the highest label wins where results overlap. A maximum of 1 is one mask.
+
+    Masks of a block of labels are images of one grid; blocks follow one another until no label is left, each written out.
+    """
+    held, out, last = grid.df.where("v > 0").select("v").distinct(), None, 0
+    bits = LABELS.bit_length() - 1
+    while True:
+        labels = [r["v"] for r in held.where(F.col("v") > F.lit(last)).orderBy("v").limit(LABELS).collect()]
+        if not labels and out is not None:
+            break
+        names = F.array(*[F.lit(k) for k in labels or [1]])
+        copies = grid.df.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(names) - 1)))
+        masks = copies.withColumn("v", (F.col("v") == F.element_at(names, F.col("k") + 1)).cast("int")).withColumn("img", F.shiftleft("img", bits) + F.col("k"))
+        part = op(grid.with_df(masks.select(grid.df.columns))).df.where("v <> 0")
+        part = part.select(F.shiftright("img", bits).alias("img"), "idx", F.element_at(names, (F.col("img").bitwiseAND(F.lit(LABELS - 1)) + 1).cast("int")).alias("n"))
+        more = len(labels) == LABELS
+        part = graph.saved(part, "labels") if more or out is not None else part
         out = part if out is None else out.unionByName(part)
+        if not more:
+            break
+        last = labels[-1]
     return _labelled(grid, out.groupBy("img", "idx").agg(F.max("n").alias("n")))

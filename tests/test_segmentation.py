@@ -116,3 +116,11 @@ def test_waves_by_hand(spark, closes):
     g = grid(spark, a, (14, 12, 1)).map(F.col("v").cast("int"))
     got = np.array(values(M.closing(g) if closes else M.opening(g))).reshape(12, 14)
     assert (got == waves(a, closes)).all() and (got != a).any()
+
+
+@pytest.mark.parametrize(("n", "block"), [(7, 2), (8, 2), (4_100, 1024)])
+def test_every_label_has_its_mask(spark, monkeypatch, n, block):
+    monkeypatch.setattr(M, "LABELS", block, raising=False)
+    df = spark.range(0, n, 1, 4).select(F.lit(3).cast("long").alias("img"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.col("id").alias("idx"), (F.col("id") + 1).alias("v"))
+    got = M.for_each_label(Grid(df, (n, 1, 1)), lambda g: g).df
+    assert sorted((r["img"], r["x"], r["v"]) for r in got.collect()) == [(3, k, k + 1) for k in range(n)]
