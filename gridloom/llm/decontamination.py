@@ -10,7 +10,8 @@ similarity 0.8 on, with its best window.
    and hold enough of them are all that can matter; nothing else is dropped.
 2. Each of these windows gets its 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks: two that differ in at
    most RADIUS bits have a block that is equal, so joining on (size, block, value) finds every item within the radius.
-   At similarity 0.8 a bit differs with probability 0.152; more than 23 of 64 do once in about 10^6 pairs.
+   At similarity 0.8 a bit differs with probability 0.152; more than 23 of 64 do in 1.1e-5 of the pairs by the
+   binomial tail; 3.4e-4 where a document of 4 shingles is compared with an item of 5 (0.1875 a bit).
 3. Pairs within the radius are checked with exact counts.
 
 Defined results: null or empty texts and items match nothing; a row without doc_id or item_id is left out; rows that
