@@ -1,15 +1,18 @@
 """Media columns: payloads kept as 8-bit grey PNG members of ZIP archives, and a data source that reads them back.
 
 Writing: each task fills archives of its own (members stored, so a member's bytes are a plain range of the archive) and
-reports them; the commit names all archives in a manifest, so files of lost or repeated tasks are never read.
-Reading: the driver plans partitions as byte ranges of archives from the manifest alone. A task reads its archive's
+reports them; each commit names its archives in a manifest of its own, so files of lost or repeated tasks are never read.
+An append adds to the manifests before it; an overwrite's manifest says that those before it no longer count, then they
+and their archives are deleted.
+Reading: the driver plans partitions as byte ranges of archives from the manifests alone. A task reads its archive's
 central directory and takes the members whose headers start in its range, in order of offset. A member that can't be read
-or fails its checksum is read again at its offset from a newly opened file, on its own, without redoing others.
+or fails its checksum is read again at its offset from a newly opened file, on its own, without redoing others, after a
+wait that doubles. With onError=row a member that stays unreadable is a row with an error and null media.
 Batches of media go through Arrow, bounded in bytes.
 
 Defined results: a null or empty text is 64 zero bytes; texts are padded with zero bytes to a multiple of 64; rows without
-or with repeated doc_id each become a member; an empty table makes an empty archive folder. Columns besides the two named
-ones are ignored.
+or with repeated doc_id each become a member; an empty table makes an empty archive folder; null media have null features.
+Columns besides the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import new_dir, tune
 
 WIDTH = 64
-ARCHIVE_BYTES, ARCHIVE_MEMBERS, RANGE_BYTES, BATCH_BYTES, RETRIES, LEVEL = 64 << 20, 60_000, 8 << 20, 4 << 20, 3, 2
+ARCHIVE_BYTES, ARCHIVE_MEMBERS, RANGE_BYTES, BATCH_BYTES, RETRIES, WAIT, LEVEL = 64 << 20, 60_000, 8 << 20, 4 << 20, 3, 0.1, 2
 PNG = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, member string, archive string, offset long, media binary, error string"
 
@@ -136,16 +140,29 @@ class Written(WriterCommitMessage):
     archives: list = field(default_factory=list)
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[tuple[str, dict]]:
+    """(file name, {"archives": [[name, bytes], ...], "replaces": bool}) of every commit, in order."""
+    found = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("_commit-"))
+    out = []
+    for name in found:
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            out.append((name, json.loads(f.read())))
+    return out
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.range_bytes = options["path"].rstrip("/"), int(options.get("rangeBytes", RANGE_BYTES))
+        self.wait = float(options.get("wait", WAIT))
         self.retries, self.batch_bytes, self.on_error = int(options.get("retries", RETRIES)), int(options.get("batchBytes", BATCH_BYTES)), options.get("onError", "fail")
 
     def archives(self) -> list[tuple[str, int]]:
         fs, root = _open(self.path)
-        if fs.get_file_info(f"{root}/_manifest.json").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/_manifest.json") as f:
-                return [(a, n) for a, n in json.loads(f.read())]
+        commits, named = manifests(fs, root), []
+        for _, m in commits:
+            named = ([] if m["replaces"] else named) + [(a, n) for a, n in m["archives"]]
+        if commits:
+            return named
         found = fs.get_file_info(pafs.FileSelector(root))
         return sorted((x.base_name, x.size) for x in found if x.base_name.endswith(".zip"))
 
@@ -171,6 +188,8 @@ class ArchiveReader(DataSourceReader):
 
         def again(what, *args):
             for k in range(self.retries + 1):
+                if k:
+                    time.sleep(self.wait * 2 ** (k - 1))
                 try:
                     return what(handle(k > 0), *args)
                 except (OSError, ValueError, struct.error) as e:
@@ -218,7 +237,8 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSink(DataSourceArrowWriter):
     """Takes (doc_id, payload) rows and stores each payload as a PNG member."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.archive_bytes = options["path"].rstrip("/"), int(options.get("archiveBytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -244,8 +264,14 @@ class ArchiveSink(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root)
-        with fs.open_output_stream(f"{root}/_manifest.json") as f:
-            f.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
+        before = manifests(fs, root)
+        number = 1 + max((int(name.split("-")[1]) for name, _ in before), default=0)
+        mine = {"archives": sorted(a for m in messages if m for a in m.archives), "replaces": self.overwrite}
+        with fs.open_output_stream(f"{root}/_commit-{number:08d}-{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps(mine).encode())
+        for name, m in before if self.overwrite else ():
+            for gone in [a for a, _ in m["archives"]] + [name]:
+                fs.delete_file(f"{root}/{gone}")
 
     def abort(self, messages: list) -> None:
         fs, root = _open(self.path)
@@ -268,16 +294,16 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ArchiveSink:
-        return ArchiveSink(self.options)
+        return ArchiveSink(self.options, overwrite)
 
 
-def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: str) -> None:
-    """Store each text's UTF-8 bytes as a media member under path."""
+def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append", **options: str) -> None:
+    """Store each text's UTF-8 bytes as a media member under path, beside what is there or (mode overwrite) instead of it."""
     spark = docs.sparkSession
     tune(spark)
     spark.dataSource.register(MediaArchive)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows.write.format("media_archive").options(**options).mode("append").save(path)
+    rows.write.format("media_archive").options(**options).mode(mode).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -301,6 +327,9 @@ def media_features(media: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if data is None:
+                    out.append((doc, *[None] * 7))
+                    continue
                 samples, n = from_png(data)
                 payload = samples.tobytes()
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
