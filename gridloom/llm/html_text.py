@@ -31,10 +31,12 @@ SHARE = 0.1
 #: Text inside article or main counts so many times.
 RAISED = 4
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]+|=)*+)(?:>|\Z)|[^<]+|<""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is raw text up to their end tag.
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml".split())
+#: Of these, what <name ... /> closes at once, as in markup of other namespaces.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -46,13 +48,15 @@ LINE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 INNER = LINE | frozenset("blockquote pre li dt dd".split())
 NEVER = frozenset("nav footer aside form menu button select dialog object canvas audio video head".split())
 #: Words in class, id or role that name a container which holds no article text.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-?bar|widget|"
+BOILER_WORDS = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-?bar|widget|"
     r"foot|footer|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|"
-    r"pagination|pager|copyright|legal|disclaimer|search|contentinfo|complementary|hidden|skip-?link)(?:$|[\s_-])",
-    re.I,
+    r"pagination|pager|copyright|legal|disclaimer|search|contentinfo|complementary|hidden|skip-?link)"
 )
+BOILER = re.compile(rf"(?:^|[\s_-]){BOILER_WORDS}(?:$|[\s_-])", re.I)
+#: On paragraphs and headings, whose ids and classes often name their subject, only a whole class or role counts.
+BOILER_CLASS = re.compile(rf"(?:^|\s){BOILER_WORDS}(?:$|\s)", re.I)
 #: Elements that an opening block closes, as in the HTML standard.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -65,7 +69,7 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            if BOILER.search(value):
+            if BOILER_CLASS.search(value) and name != "id" if tag in LINE else BOILER.search(value):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
@@ -151,7 +155,7 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
                 flush()
             continue
         if tag in RAW:
-            raw_until = tag
+            raw_until = None if tag in FOREIGN and m[3].endswith("/") else tag
             continue
         bad = _boiler(tag, m[3], article > 0)
         if tag in BLOCK or bad:
