@@ -7,9 +7,10 @@ are full of it. For a piece, the search starts at the smallest residual that fit
 bin that is in neither of the piece's conflict bitmaps; the lowest such bin, the tightest compatible one, takes it. Without
 one a new bin is opened. Pieces come in descending order of size, then by id and place.
 
-Documents are dealt into packs by hash of their id, as many packs as the token total asks for, and each pack is packed on
-its own: a third of all rows in one cluster or source is spread over all packs, and a pack's memory is bounded by
-pack_tokens, whatever the input. Within a pack the packing is exact best-fit.
+Documents are dealt into packs by hash of their id and what is known of them, as many packs as the token total asks for,
+and each pack is packed on its own: a third of all rows in one cluster or source is spread over all packs, and a pack's
+memory is bounded by pack_tokens, whatever the input. Rows without id are dealt by their place in the table, so equal ones
+don't meet in one pack. Within a pack the packing is exact best-fit.
 
 pack_tokenized() sizes documents by a tokenizer, so pieces start at token offsets and no bin holds more than its capacity;
 its clusters are near-duplicate components: SimHash links (see simhash) and texts that are equal but for case and white
@@ -25,7 +26,6 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,28 +106,29 @@ def pack(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str | N
     rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), (F.col(source_col).cast("string") if source_col else none).alias("source"), (F.col(cluster_col).cast("string") if cluster_col else none).alias("cluster"))
     total = rows.agg(F.sum("n"), F.count("*")).first()
     n_packs = max(1, -(-(total[0] or 0) // pack_tokens), -(-total[1] // 20_000))
-    rows = rows.withColumn("pack", F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("cluster", "source", "n")), F.lit(n_packs)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n", "source", "cluster"], kind="stable", na_position="first")
-        whole, rest = pdf["n"].to_numpy() // capacity, pdf["n"].to_numpy() % capacity
-        ids, source, cluster = pdf["doc_id"].tolist(), [None if pd.isna(x) else x for x in pdf["source"]], [None if pd.isna(x) else x for x in pdf["cluster"]]
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster", place), F.lit(n_packs)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "n", "source", "cluster")])
+        whole, rest = np.divmod(group["n"].to_numpy(), capacity)
+        source, cluster = group["source"].to_pylist(), group["cluster"].to_pylist()
         packer, out = Packer(capacity, per_source), []  # (bin, row, piece, start, size)
-        for k in np.flatnonzero(whole):
-            for j in range(whole[k]):
+        for k in np.flatnonzero(whole).tolist():
+            for j in range(int(whole[k])):
                 out.append((packer.add(capacity, source[k], cluster[k]), k, j, j * capacity, capacity))
-        for k in np.argsort(-rest, kind="stable"):
+        for k in np.argsort(-rest, kind="stable").tolist():
             if rest[k] or not whole[k]:
                 out.append((packer.add(int(rest[k]), source[k], cluster[k]), k, int(whole[k]), int(whole[k]) * capacity, int(rest[k])))
-        out.sort(key=lambda x: x[0])
-        fill = np.array([capacity - r for r in packer.residual], np.int32)
-        b = np.array([x[0] for x in out], np.int64)
-        first = np.searchsorted(b, b)
-        doc = pd.Series([ids[x[1]] for x in out], dtype="object")
-        shift = int(pdf["pack"].iloc[0]) << 32
-        return pd.DataFrame({"bin": shift + b, "place": (np.arange(len(b)) - first).astype(np.int32), "doc_id": doc.where(doc.notna(), None), "piece": np.array([x[2] for x in out], np.int32), "start": np.array([x[3] for x in out], np.int64), "n_tokens": np.array([x[4] for x in out], np.int32), "fill": fill[b]})
+        b, row, piece, start, size = np.array(sorted(out, key=lambda x: x[0]), np.int64).reshape(-1, 5).T
+        fill = capacity - np.array(packer.residual, np.int64)
+        place = np.arange(len(b)) - np.searchsorted(b, b)
+        first = group["pack"][0].as_py() << 32
+        columns = [first + b, place.astype(np.int32), group["doc_id"].take(pa.array(row)), piece.astype(np.int32), start, size.astype(np.int32), fill[b].astype(np.int32)]
+        return pa.table(columns, names=["bin", "place", "doc_id", "piece", "start", "n_tokens", "fill"])
 
-    return rows.groupBy("pack").applyInPandas(run, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
+    return rows.groupBy("pack").applyInArrow(run, SCHEMA.format(kind))
 
 
 def copy_cluster(text: Column) -> Column:
@@ -149,7 +150,7 @@ def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
         e = encoder(vocabulary)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            n = [len(ids) // 4 for ids in e.encode(texts)]
+            n = e.count(texts)
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             same = [xxhash.xxh128_digest(" ".join(t.lower().split()).encode()) for t in texts]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fps), pa.array(same, pa.binary())], ["doc_id", "source", "n", "fp", "same"])
