@@ -48,17 +48,18 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the extra columns of docs: fp is the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, size, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *extra])
 
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, fp long", *(f"{c} {kinds[c]}" for c in extra)]))
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -107,16 +108,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of radius bits or less."""
-    fps = keep(fingerprints(docs, id_col, text_col, size, seed), "fps")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, radius: int = RADIUS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id) and the extra columns of docs: component_id is the smallest doc_id reachable over links of radius bits or less."""
+    fps = keep(fingerprints(docs, id_col, text_col, size, seed, extra), "fps")
     least = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-first")
     links = fingerprint_links(least, radius)
     named = links.join(least.select(F.col("fp").alias("a"), F.col("first").alias("da")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("db")), "b")
     found = components(named.select(F.col("da").alias("a"), F.col("db").alias("b")))
     roots = least.join(found.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     out = fps.join(roots, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *extra)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,10 @@ def test_encoder_matches_the_library(bytes_):
     texts = mixes(HARD, 3000, 20, 3)
     want = [np.array(x.ids, "<u4").tobytes() for x in bytes_.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
+    for _ in range(3):  # counts kept from one round are used in the next
+        for k in range(0, len(texts), 500):
+            assert e.count(texts[k : k + 500]) == [len(w) // 4 for w in want[k : k + 500]]
+    assert e.sizes and not any(p != p.strip() or not p for p in e.sizes)
 
 
 def test_shards_round_trip(odd, none, spark, bytes_, tmp_path):
@@ -107,6 +111,10 @@ def test_shard_blocks_and_bloom(tmp_path, monkeypatch):
         w.add(sstable.make_key(k - 500), np.arange(k % 7, dtype=np.uint32) + 70_000)
     with pytest.raises(ValueError):
         w.add(sstable.make_key(-600), np.zeros(1, np.uint32))
+    narrow = sstable.Writer(pafs.LocalFileSystem(), str(tmp_path / "n"), 2)
+    narrow.add(sstable.make_key(1), np.array([65_535], np.uint32))
+    with pytest.raises(ValueError):
+        narrow.add(sstable.make_key(2), np.array([1, 70_000], np.uint32))
     w.close()
     r = sstable.Reader(str(tmp_path / "x"))
     assert len(r.blocks) > 20 and r.docs == 500
@@ -132,6 +140,17 @@ def test_media_round_trip(odd, none, spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
     same = [r for r in got if r["n_bytes"] == 11]
     assert len({tuple(r) for r in same}) == 1 and len(same) == 2
+    media.write_media(odd.where("doc_id = 5"), path)
+    ids = lambda: sorted(str(r["doc_id"]) for r in media.read_media(spark, path).select("doc_id").collect())
+    assert ids() == sorted([*(str(d[0]) for d in ODD), "5"])
+    media.write_media(odd.where("doc_id in (2, 3)"), path, mode="overwrite")
+    assert ids() == ["2", "3"] and len(list((tmp_path / "m").glob("*.zip"))) <= 2
+    media.write_media(none, path)
+    media.write_media(odd.where("doc_id = 4"), path)
+    assert ids() == ["2", "3", "4"]
+    lost = media.read_media(spark, path).withColumn("media", F.when(F.col("doc_id") != 3, F.col("media")))
+    rows = {r["doc_id"]: r for r in media.media_features(lost).collect()}
+    assert rows[2]["n_bytes"] is None and rows[2]["feature"] is None and rows[3]["n_bytes"] == 0
     media.write_media(none, "file://" + str(tmp_path / "n"))
     assert media.read_media(spark, "file://" + str(tmp_path / "n")).count() == 0
 
@@ -233,6 +252,24 @@ def test_html_keeps_short_ends_of_an_article(tag):
     assert html_text.main_text(f"<body><nav><a>Home</a></nav><{tag}>{body}</{tag}><footer>All rights</footer></body>") == "\n\n".join(want)
 
 
+def test_html_markup_that_names_a_subject_or_stands_in_a_sentence():
+    rest = "".join(f"<p>{x}</p>" for x in STORY)
+    for start, want in (
+        ('<h2 id="search-algorithms">Search</h2>', ["Search"]),
+        ('<p class="legal-history">A history of law.</p>', ["A history of law."]),
+        ('<p class="ad">Buy this now.</p>', []),
+        ('<div class="site-search">Find</div>', []),
+        ("<p title=it's>One's own.</p>", ["One's own."]),
+        ("<p title = 'a>b' x=\">\">Quoted.</p>", ["Quoted."]),
+        ('<p>A drawing <svg width="1"/> in a line.</p>', ["A drawing in a line."]),
+        ('<p>Another <svg><text>no</text></svg>one.</p>', ["Another one."]),
+        ("<p>With <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x</annotation></math> in it.</p>", ["With x=1 in it."]),
+        ("<script src=x /></script><p>After it.</p>", ["After it."]),
+    ):
+        for tag in ("div", "article"):
+            assert html_text.main_text(f"<body><{tag}>{start}{rest}</{tag}></body>") == "\n\n".join([*want, *STORY]), start
+
+
 def test_html_odd_pages(spark):
     for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<nav><a>x</a></nav>", ""), ("<p>cut off <b>here", "cut off here"), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p>x</p><script>never closed <p>no</p>", "x"), ("<p>a</p><p attr='>'>b</p><p att", "a\n\nb"), ("<article></article>", ""), ("<p>1 < 2 &lt; 3 &#8364; &notanentity;</p>", html.unescape("1 < 2 &lt; 3 &#8364; &notanentity;"))):
         assert html_text.main_text(page) == want
@@ -260,22 +297,84 @@ def edits(a, b):
     return d[len(a), len(b)]
 
 
+def weights_by_hand(w, terms, strict=()):
+    """(exact, near) of a word by plain edit distances to every entry and, for beginnings, from every prefix."""
+    takes = lambda t: 0 if t in strict or len(t.rstrip("$")) < 5 else 2 if len(t) >= 10 and t.endswith("$") else 1
+    exact = max([x for t, x in terms.items() if w and (w == t[:-1] if t.endswith("$") else w.startswith(t))], default=0.0)
+    close = [x for t, x in terms.items() if w and takes(t) and min(edits(p, t.rstrip("$")) for p in ([w] if t.endswith("$") else [w[:k] for k in range(1, len(w) + 1)])) <= takes(t)]
+    return exact, 0.0 if exact else max(close, default=0.0)
+
+
 def test_automaton_against_edit_distance():
-    terms = {"badger$": 3.0, "villainous$": 5.0, "cat$": 2.0, "horri": 4.0}
-    a = toxicity.Automaton(terms)
-    r = random.Random(5)
-    for _ in range(4000):
-        w = list(r.choice(["badger", "villainous", "cat", "horrid", "horri", "bade"]))
-        for _ in range(r.randint(0, 2)):
-            i = r.randrange(len(w) + 1)
-            w[i : i + r.randint(0, 1)] = r.choice(["", "x", "a", "r"])
-        w = "".join(w)
-        exact, near = a.read(w)
-        want = max([x for t, x in terms.items() if (w == t[:-1] if t.endswith("$") else w.startswith(t))], default=0.0)
-        assert exact == want, w
-        close = max([x for t, x in terms.items() if t.endswith("$") and w[:1] == t[0] and edits(w, t[:-1]) <= (0 if len(t) < 6 else 1 if len(t) < 10 else 2)], default=0.0)
-        if not exact and w:
-            assert (near > 0) == (close > 0), (w, near, close)
+    terms = {"badger$": 3.0, "villainous$": 5.0, "cat$": 2.0, "horri": 4.0, "bad": 1.0, "laggard$": 2.5}
+    for strict in (frozenset(), frozenset({"laggard$", "horri"})):
+        a = toxicity.Automaton(terms, strict)
+        assert strict or all(a.read(w)[1] for w in ("adger", "vadger", "abdger", "horible", "hoorible", "orrible", "illainos"))
+        r = random.Random(5)
+        for _ in range(3000):
+            w = list(r.choice(["badger", "villainous", "cat", "horrid", "horri", "bade", "laggard"]))
+            for _ in range(r.randint(0, 3)):
+                i = r.randrange(len(w) + 1)
+                w[i : i + r.randint(0, 1)] = r.choice(["", "x", "a", "r", "l"])
+            w = "".join(w)
+            assert a.read(w) == weights_by_hand(w, terms, strict), w
+
+
+def test_automaton_forgets_without_changing(monkeypatch):
+    terms = {"badger$": 3.0, "villainous$": 5.0, "horri": 4.0}
+    whole = toxicity.Automaton(terms)
+    monkeypatch.setattr(toxicity, "MAX_POSITIONS", 200)
+    monkeypatch.setattr(toxicity, "MAX_MOVES", 50)
+    small, r = toxicity.Automaton(terms), random.Random(8)
+    for _ in range(2000):
+        w = "".join(r.choice("badgervilnoush") for _ in range(r.randint(1, 9)))
+        assert small.read(w) == whole.read(w)
+        assert len(small.moves) <= 50 + 9
+
+
+def counts_by_hand(text, terms):
+    """The weighted counts of a whole text, word by word."""
+    pieces, span = (text or "").split(), toxicity.SPAN
+    hits, quoted = [], 0.0
+    for i, p in enumerate(pieces):
+        exact, near = weights_by_hand(toxicity.bare(p), terms)
+        if not exact and not near:
+            continue
+        window = range(max(0, i - span), min(len(pieces), i + span + 1))
+        begins = [j for j in window if j <= i and pieces[j][0] in toxicity.OPEN]
+        closes = [j for j in window if (q := pieces[j].rstrip(".,;:!?")) and q[-1] in toxicity.CLOSE]
+        if begins and not any(j < i and pieces[j][0] not in toxicity.OPEN for j in closes) and any(j >= i for j in closes):
+            quoted += exact or near
+        else:
+            hits.append((i, exact, near, max(exact, 0.7 * near)))
+    spoken, near = sum(h[1] for h in hits), sum(h[2] for h in hits)
+    strongest = max([h[3] for h in hits], default=0.0)
+    total = spoken + 0.7 * near
+    fullest = max([sum(h[3] for h in hits if abs(h[0] - g[0]) <= span) for g in hits], default=0.0)
+    stems = {toxicity.bare(pieces[h[0]]) for h in hits}
+    log = np.log1p
+    return [strongest, log(total), float(strongest >= 4), log(quoted), log(fullest), log(len(stems)), min(1.0, 5 * total / (len(pieces) + 20)) if pieces else 0.0, log(spoken), max([h[2] for h in hits], default=0.0), log(len(pieces))]
+
+
+def test_whole_text_counts_by_hand():
+    terms, r = {"badger$": 5.0, "villainous$": 3.0, "horri": 2.0, "cat$": 1.0}, random.Random(9)
+    s, vocab = toxicity.Scorer(terms), ["badger", "Badgre,", "vadger!", "villainos", "horrible", "hoorible.", "cat", "cats", "plain", "words", "of", "a", "text", '"', '"so', 'said."', "“well", "done”", "it's", "..."]
+    for n in [0, 1, 2, *range(3, 300, 7)]:
+        text = " ".join(r.choice(vocab if r.random() < 0.5 else vocab[8:13]) for _ in range(n))
+        assert np.allclose(s.counts(text), counts_by_hand(text, terms)), text
+    long = "plain words of a text " * 20_000 + "badgre"
+    assert s.counts(long)[8] == 5.0
+
+
+def test_lexicon_takes_errors_where_misspellings_are_no_words(spark):
+    rows = [(f"you badger number{i} of lantern", 1) for i in range(40)] + [(f"some other text{i} with a cadger and a lantern", 0) for i in range(60)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame([*rows, (None, 0), ("", 1)], "text string, y int"))
+    takes = {t: lax for t, _, lax in lexicon}
+    assert takes["badger$"] is False and not any(t.startswith("lant") for t in takes)
+    clean = toxicity.learn_lexicon(spark.createDataFrame([(t.replace("cadger", "hedge"), y) for t, y in rows], "text string, y int"))
+    assert {t: lax for t, _, lax in clean}["badger$"] is True
+    score = toxicity.Scorer({t: w for t, w, _ in clean}).counts("you vadger")
+    assert score[8] > 0
 
 
 def test_toxicity_context_and_odd_rows(odd, none, spark):
