@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each writing a table that the next one reads.
 
 quality: documents that the quality classifier rejects go. lines: repeated lines go. near: one document of each
-near-duplicate group stays, the one with the smallest doc_id. leaks: documents with a benchmark item in them go.
+near-duplicate group stays, the one with the smallest doc_id; of rows that repeat an id each is judged by its text. leaks: documents with a benchmark item in them go.
 pack: what is left is packed into bins; its rows are the pieces.
 
 Rows without doc_id are kept by the first four stages, each judged on its own text, and belong to no group.
@@ -34,8 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    gone = near_duplicates(named, extra=("text_hash",)).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    return named.join(gone, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
