@@ -66,13 +66,19 @@ def otsu_median(df: DataFrame) -> DataFrame:
     return t.join(m, "img", "left").select("img", F.coalesce(F.col("median").cast("double"), "threshold").alias("m"))
 
 
-def normalize_otsu_median(grid: Grid, upper: float = 255.99) -> Grid:
-    """v * upper * 0.5 / m, less a tenth of upper where over half of the voxels are positive, clamped to 0..upper."""
+def normalize_otsu_median(grid: Grid, upper: float | None = None) -> Grid:
+    """v * upper * 0.5 / m, less a tenth of upper where over half of the voxels are positive, clamped to 0..upper.
+
+    upper is 255.99 for integers and 1 for others unless given. Images with a median m of 0 stay as they are.
+    """
+    if upper is None:
+        upper = 1.0 if grid.df.schema["v"].dataType.simpleString() in ("double", "float") else 255.99
     m = otsu_median(grid.df)
     share = grid.df.groupBy("img").agg((F.sum((F.col("v") > 0).cast("long")) * 2 > F.count("*")).alias("much"))
     df = grid.df.join(m, "img").join(share, "img")
     v = F.try_divide(F.col("v") * F.lit(upper * 0.5), F.col("m")) - F.when(F.col("much"), F.lit(upper * 0.1)).otherwise(F.lit(0.0))
-    return grid.with_df(df.withColumn("v", F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), F.lit(upper))).select(grid.df.columns))
+    scaled = F.least(F.greatest(v, F.lit(0.0)), F.lit(upper))
+    return grid.with_df(df.withColumn("v", F.when(F.col("m") == 0, F.col("v").cast("double")).otherwise(scaled)).select(grid.df.columns))
 
 
 def hist_norm(grid: Grid, bins: int = BINS) -> Grid:

@@ -7,12 +7,14 @@ run pairs, so rounds grow with the logarithm of a component's size, not with its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..layout import AXES, Grid
+from ..layout import AXES, Grid, voxel_index
 from . import graph
 
 
@@ -84,18 +86,57 @@ def dilation_by_radius(grid: Grid, radius: int) -> Grid:
     return _with(grid, n, F.when(F.col("v") != 0, F.col("v")).when(F.col("n").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
 
 
+def region_counts(grid: Grid) -> DataFrame:
+    """(img, x, y, z, u, n): how many voxels of the 3^dim window have each value, the voxel itself included."""
+    near = spread(grid.df, offsets(grid.dim, True, True), "v").groupBy("img", *AXES, F.col("v").alias("u")).agg(F.count("*").alias("n"))
+    return near.join(grid.df.select("img", *AXES), ["img", *AXES], "left_semi")
+
+
+def fit(grid: Grid, ref: Grid, weight: int = 2) -> Grid:
+    """A mask's smoothing that listens to a reference image.
+
+    A voxel's count is that of set voxels in its 3^dim window. Where it lies within 2 dim of half of the window, the
+    neighbours whose reference values are closest to the voxel's (the closest half but the very closest; of equals the
+    earlier in the window) each add weight if they are set, or take it away. Over half sets, under half clears.
+    """
+    half, reach = _half(grid), 2 * grid.dim
+    both = grid.df.join(ref.df.select("img", "idx", F.col("v").cast("double").alias("r")), ["img", "idx"])
+    steps = [o for o in offsets(grid.dim, True) if any(o)]
+    at = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(-d).alias(f"d{a}") for d, a in zip(o, AXES, strict=True)]) for k, o in enumerate(steps)])
+    out = both.select("img", *AXES, (F.col("v") != 0).cast("int").alias("on"), F.col("r").alias("near"), F.explode(at).alias("o"))
+    out = out.select("img", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES], "on", "near", F.col("o.k").alias("k"))
+    own = both.select("img", *AXES, F.col("v").alias("mine"), "r")
+    rows = out.join(own, ["img", *AXES]).groupBy("img", *AXES).agg(F.sum("on").alias("n"), F.first("mine").alias("mine"), F.sort_array(F.collect_list(F.struct(F.abs(F.col("near") - F.col("r")).alias("far"), "k", "on"))).alias("s"))
+    n = F.col("n") + (F.col("mine") != 0).cast("int")
+    some = F.slice("s", 2, F.greatest(F.floor((F.size("s") + 1) / 2).cast("int") - 1, F.lit(0)))
+    vote = F.aggregate(some, F.lit(0), lambda a, x: a + F.when(x["on"] == 1, F.lit(weight)).otherwise(F.lit(-weight)))
+    score = n + F.when(n.between(half - reach, half + reach), vote).otherwise(F.lit(0))
+    found = rows.select("img", *AXES, score.alias("score"))
+    return _with(grid, found, F.when(F.col("score") > half, F.lit(1)).when(F.col("score") < half, F.lit(0)).otherwise(F.col("v")))
+
+
+def _edge_steps(shape: tuple[int, int, int], dim: int, kind: str) -> list[int]:
+    w, h, _ = shape
+    steps = {"x": 1, "y": w, "z": w * h}
+    return [steps[a] for a in (AXES[:dim] if kind in ("all", "thin") else tuple(kind))]
+
+
+def _differing(df: DataFrame, size: int, steps: list[int], kind: str, differ: Column, *keys: str) -> DataFrame:
+    """(img, keys, idx) of places that differ from one a step on in storage order, and for "all" of that one too.
+
+    Both ends of a pair are added up under its lower place, so a pair is an aggregate and no task holds an image.
+    """
+    ends = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(b).cast("long").alias("b")) for s in steps for b in (0, s)])
+    rows = df.select("img", *keys, "idx", "v", F.explode(ends).alias("e")).select("img", *keys, F.col("e.s").alias("s"), (F.col("idx") - F.col("e.b")).alias("low"), "v")
+    pairs = rows.where((F.col("low") >= 0) & (F.col("low") < size - F.col("s"))).groupBy("img", *keys, "s", "low").agg(differ.alias("d")).where("d")
+    at = F.explode(F.array("low", F.col("low") + F.col("s"))) if kind == "all" else F.col("low")
+    return pairs.select("img", *keys, at.alias("idx")).distinct()
+
+
 def edge(grid: Grid, kind: str = "all") -> Grid:
     """1 where a face neighbour in storage order differs: all, thin (later ones only), xy, yz or xz. Rows run on into each other."""
-    w, h, _ = grid.shape
-    steps = {"x": 1, "y": w, "z": w * h}
-    use = AXES[: grid.dim] if kind in ("all", "thin") else tuple(kind)
-    s = grid.scan()
-    hit = F.lit(False)
-    for a in use:
-        hit = hit | F.coalesce(F.lead("v", steps[a]).over(s) != F.col("v"), F.lit(False))
-        if kind == "all":
-            hit = hit | F.coalesce(F.lag("v", steps[a]).over(s) != F.col("v"), F.lit(False))
-    return grid.map(hit.cast("int"))
+    hits = _differing(grid.df, grid.size, _edge_steps(grid.shape, grid.dim, kind), kind, F.min("v") != F.max("v"))
+    return _labelled(grid, hits.withColumn("n", F.lit(1)))
 
 
 def is_edge(grid: Grid) -> Grid:
@@ -126,12 +167,12 @@ def smoothing(grid: Grid, fill_only: bool = False) -> Grid:
 
 
 def recursive_smoothing(grid: Grid, rounds: int = 100) -> Grid:
+    """smoothing() until nothing changes, at most so many rounds; a settled image stays as it is while others go on."""
     for _ in range(rounds):
-        new = graph.saved(smoothing(grid).df, "smoothing")
-        old = graph.saved(grid.df, "smoothing")
-        if not new.exceptAll(old.select(new.columns)).limit(1).count():
-            return grid.with_df(new)
-        grid = grid.with_df(new)
+        both = graph.saved(smoothing(grid).df.withColumnRenamed("v", "next").join(grid.df.select("img", "idx", "v"), ["img", "idx"]), "smoothing")
+        if not both.where("next <> v").limit(1).count():
+            break
+        grid = grid.with_df(both.drop("v").withColumnRenamed("next", "v").select(grid.df.columns))
     return grid
 
 
@@ -142,33 +183,108 @@ def smoothing_multiple_region(grid: Grid) -> Grid:
     return _with(grid, top, F.when(F.col("t.n") > _half(grid), -F.col("t.u")).otherwise(F.col("v")))
 
 
+def smoothing_by_kind(grid: Grid) -> Grid:
+    """smoothing_multiple_region() for images that hold anything but 0 and 1, smoothing() for the others."""
+    each = spread(grid.df, offsets(grid.dim, True, True), "v").groupBy("img", *AXES, F.col("v").alias("u")).agg(F.count("*").alias("n"))
+    near = each.groupBy("img", *AXES).agg(F.max(F.struct("n", (-F.col("u")).alias("u"))).alias("t"), F.sum(F.when(F.col("u") != 0, F.col("n")).otherwise(0)).alias("on"))
+    kinds = grid.df.groupBy("img").agg(F.bool_or(~F.col("v").isin(0, 1)).alias("many"))
+    k = _half(grid)
+    regions = F.when(F.col("t.n") > k, -F.col("t.u")).otherwise(F.col("v"))
+    plain = F.when(F.col("on") > k, F.lit(1)).when(F.col("on") < k, F.lit(0)).otherwise(F.col("v"))
+    df = grid.df.join(near, ["img", *AXES], "left").join(kinds, "img")
+    return grid.with_df(df.withColumn("v", F.when(F.col("many"), regions).otherwise(plain)).select(grid.df.columns))
+
+
+@dataclass(frozen=True)
+class Masks:
+    """Masks (img, k, x, y, z): a row a set voxel, k telling the masks of an image apart. Places without a row aren't set."""
+
+    df: DataFrame
+    shape: tuple[int, int, int]
+    dim: int
+
+    def near(self, steps: list[tuple[int, int, int]]) -> DataFrame:
+        """(img, k, x, y, z, n, on): how many set voxels a place inside the image has within the steps, and whether it is one."""
+        at = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for d, a in zip(o, AXES, strict=True)]) for o in steps])
+        rows = self.df.select("img", "k", *AXES, F.explode(at).alias("o"))
+        here = F.lit(True)
+        for a in AXES:
+            here = here & (F.col(f"o.d{a}") == 0)
+        rows = rows.select("img", "k", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES], here.alias("here"))
+        for a, n in zip(AXES, self.shape, strict=True):
+            rows = rows.where(F.col(a).between(0, n - 1))
+        return rows.groupBy("img", "k", *AXES).agg(F.count("*").alias("n"), F.max("here").alias("on"))
+
+    def with_df(self, df: DataFrame) -> Masks:
+        return replace(self, df=df.select("img", "k", *AXES))
+
+
+def mask_dilation(m: Masks) -> Masks:
+    return m.with_df(m.near(offsets(m.dim, here=True)))
+
+
+def mask_erosion(m: Masks) -> Masks:
+    """Voxels stay whose face neighbours inside the image are all set."""
+    sides = sum(((F.col(a) > 0).cast("int") + (F.col(a) < n - 1).cast("int") for a, n in zip(AXES[: m.dim], m.shape, strict=False)), F.lit(1))
+    return m.with_df(m.near(offsets(m.dim, here=True)).where(F.col("on") & (F.col("n") == sides)))
+
+
+def mask_edge(m: Masks, kind: str = "all") -> Masks:
+    w, h, d = m.shape
+    rows = m.df.select("img", "k", voxel_index("x", "y", "z", m.shape).alias("idx"), F.lit(1).alias("v"))
+    hits = _differing(rows, w * h * d, _edge_steps(m.shape, m.dim, kind), kind, F.count("*") == 1, "k")
+    z = F.floor(F.col("idx") / (w * h))
+    return m.with_df(hits.select("img", "k", (F.col("idx") % w).cast("int").alias("x"), (F.floor(F.col("idx") / w) % h).cast("int").alias("y"), z.cast("int").alias("z")))
+
+
+def _waves(m: Masks, closes: bool) -> Masks:
+    """Opening or closing of every mask by itself.
+
+    A voxel's count is that of set voxels in its 3^dim window, itself included. The limit lies t from half of the window,
+    where t is the largest from 4 (2D) or 8 (3D) down to 0 at which the mask changes at all: set voxels of fewer than
+    half - t go, or unset ones of more than half + t are set, in waves until none is left. That t follows from a mask's
+    extreme count. Each wave is one aggregate and one table.
+    """
+    half, top = (13, 8) if m.dim == 3 else (4, 4)
+    steps = offsets(m.dim, True, True)
+    near = graph.saved(m.near(steps), "waves")
+    if closes:
+        limits = near.where("not on").groupBy("img", "k").agg(F.least(F.lit(top), F.max("n") - half - 1).alias("t"))
+    else:
+        limits = near.where("on").groupBy("img", "k").agg(F.least(F.lit(top), F.lit(half - 1) - F.min("n")).alias("t"))
+    limits = graph.saved(limits.where("t >= 0"), "waves")
+    hit = ~F.col("on") & (F.col("n") > half + F.col("t")) if closes else F.col("on") & (F.col("n") < half - F.col("t"))
+    while True:
+        now = graph.saved(near.join(limits, ["img", "k"], "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("t"), "waves")
+        if not now.where("hit").limit(1).count():
+            return m.with_df(now.where("on"))
+        near = m.with_df(now.where(F.col("on") != F.col("hit"))).near(steps)
+
+
+def mask_opening(m: Masks) -> Masks:
+    return _waves(m, False)
+
+
+def mask_closing(m: Masks) -> Masks:
+    return _waves(m, True)
+
+
 def opening(grid: Grid) -> Grid:
-    """Removes voxels with few neighbours in waves: the limit falls from a quarter below half until one changes anything."""
-    return _waves(grid, False)
+    """Removes voxels with few neighbours in waves, each image with its own limit (see _waves)."""
+    return _whole(grid, mask_opening)
 
 
 def closing(grid: Grid) -> Grid:
-    """Fills voxels with many neighbours, by the same schedule."""
-    return _waves(grid, True)
-
-
-def _waves(grid: Grid, closes: bool) -> Grid:
-    half = _half(grid)
-    now = grid.with_df(graph.saved(grid.df.withColumn("v", (F.col("v") != 0).cast("int")), "waves"))
-    for t in range(half // 2 if grid.dim == 2 else 8, -1, -1):
-        changed = False
-        while True:
-            n = F.coalesce("n", F.lit(0)) - F.col("v")
-            v = F.when(n > half + t, F.lit(1)).otherwise(F.col("v")) if closes else F.when(n < half - t, F.lit(0)).otherwise(F.col("v"))
-            new = now.with_df(graph.saved(_with(now, neighbor_count(now), v).df, "waves"))
-            same = new.df.agg(F.sum("v")).first()[0] == now.df.agg(F.sum("v")).first()[0]
-            now = new
-            if same:
-                break
-            changed = True
-        if changed:
-            break
-    return now
+    """Sets voxels with many neighbours to 1 in waves, each image with its own limit (see _waves)."""
+    return _whole(grid, mask_closing)
+
+
+def _whole(grid: Grid, op: Callable[[Masks], Masks]) -> Grid:
+    """op on the mask of an image's non-zero voxels; those that stay keep their values, new ones are 1."""
+    m = op(Masks(grid.df.where("v <> 0").select("img", F.lit(0).alias("k"), *AXES), grid.shape, grid.dim))
+    kind = grid.df.schema["v"].dataType.simpleString()
+    v = F.when(F.col("k").isNull(), F.lit(0)).when(F.col("v") != 0, F.col("v")).otherwise(F.lit(1))
+    return grid.with_df(grid.df.join(m.df, ["img", *AXES], "left").withColumn("v", v.cast(kind)).select(grid.df.columns))
 
 
 def convex_x(grid: Grid) -> Grid:
@@ -278,30 +394,15 @@ def region_growing(grid: Grid, seeds: DataFrame, low, high) -> DataFrame:
     return c.join(hit, ["img", "label"], "left_semi").select("img", *AXES, "idx")
 
 
-#: Labels whose masks for_each_label holds at once, as images of one grid; a power of two.
-LABELS = 64
+def for_each_label(grid: Grid, op: Callable[[Masks], Masks]) -> Grid:
+    """op on the mask of each label of each image; the highest label wins where results overlap.
 
-
-def for_each_label(grid: Grid, op) -> Grid:
-    """op on the mask of each label; the highest label wins where results overlap. A maximum of 1 is one mask.
-
-    Masks of a block of labels are images of one grid; blocks follow one another until no label is left, each written out.
+    An image whose maximum is 1 or less is one mask of its non-zero voxels. The label is a key beside img, so the number
+    of labels has no bound and each is worked on where its voxels are.
     """
-    held, out, last = grid.df.where("v > 0").select("v").distinct(), None, 0
-    bits = LABELS.bit_length() - 1
-    while True:
-        labels = [r["v"] for r in held.where(F.col("v") > F.lit(last)).orderBy("v").limit(LABELS).collect()]
-        if not labels and out is not None:
-            break
-        names = F.array(*[F.lit(k) for k in labels or [1]])
-        copies = grid.df.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(names) - 1)))
-        masks = copies.withColumn("v", (F.col("v") == F.element_at(names, F.col("k") + 1)).cast("int")).withColumn("img", F.shiftleft("img", bits) + F.col("k"))
-        part = op(grid.with_df(masks.select(grid.df.columns))).df.where("v <> 0")
-        part = part.select(F.shiftright("img", bits).alias("img"), "idx", F.element_at(names, (F.col("img").bitwiseAND(F.lit(LABELS - 1)) + 1).cast("int")).alias("n"))
-        more = len(labels) == LABELS
-        part = graph.saved(part, "labels") if more or out is not None else part
-        out = part if out is None else out.unionByName(part)
-        if not more:
-            break
-        last = labels[-1]
-    return _labelled(grid, out.groupBy("img", "idx").agg(F.max("n").alias("n")))
+    kind = grid.df.schema["v"].dataType.simpleString()
+    top = grid.df.groupBy("img").agg((F.max("v") > 1).alias("many"))
+    rows = grid.df.where("v <> 0").join(top, "img").where("v > 0 or not many")
+    masks = rows.select("img", F.when(F.col("many"), F.col("v")).otherwise(F.lit(1)).cast(kind).alias("k"), *AXES)
+    found = op(Masks(masks, grid.shape, grid.dim)).df.groupBy("img", *AXES).agg(F.max("k").alias("n"))
+    return _with(grid, found, F.coalesce("n", F.lit(0)).cast(kind))

@@ -126,11 +126,6 @@ def _labels(op):
     return lambda grid, _: M.for_each_label(grid, op)
 
 
-def _smooth(grid: Grid, _: str) -> Grid:
-    many = grid.df.where("v not in (0, 1)").limit(1).count()
-    return M.smoothing_multiple_region(grid) if many else M.smoothing(grid)
-
-
 V = F.col
 #: name -> function of (grid, parameter)
 COMMANDS: dict[str, Callable[[Grid, str], Grid]] = {
@@ -138,14 +133,14 @@ COMMANDS: dict[str, Callable[[Grid, str], Grid]] = {
     "morphology_fill_holes": _plain(M.fill_holes),
     "morphology_fill_holes_by_slice": _plain(M.fill_holes_by_slice),
     "morphology_defragment_by_size": lambda g, p: M.defragment_by_size_ratio(g, float(p or 0.05)),
-    "morphology_dilation": _labels(M.dilation),
-    "morphology_erosion": _labels(M.erosion),
-    "morphology_opening": _labels(M.opening),
-    "morphology_closing": _labels(M.closing),
-    "morphology_edge": _labels(M.edge),
-    "morphology_edge_xy": _labels(lambda g: M.edge(g, "xy")),
-    "morphology_edge_xz": _labels(lambda g: M.edge(g, "xz")),
-    "morphology_smoothing": _smooth,
+    "morphology_dilation": _labels(M.mask_dilation),
+    "morphology_erosion": _labels(M.mask_erosion),
+    "morphology_opening": _labels(M.mask_opening),
+    "morphology_closing": _labels(M.mask_closing),
+    "morphology_edge": _labels(M.mask_edge),
+    "morphology_edge_xy": _labels(lambda m: M.mask_edge(m, "xy")),
+    "morphology_edge_xz": _labels(lambda m: M.mask_edge(m, "xz")),
+    "morphology_smoothing": _plain(M.smoothing_by_kind),
     "sobel_filter": _plain(W.sobel),
     "gaussian_filter": _plain(W.gaussian),
     "mean_filter": _plain(W.mean),
@@ -222,9 +217,25 @@ def command(grid: Grid, name: str, parameter: str = "", other: Grid | None = Non
     return COMMANDS[name](grid, parameter)
 
 
+def save(grid: Grid, path: str, kind: str = "nifti", name: str = "image") -> Grid:
+    """Every image of the grid written as a file of a format into a folder; the grid comes back for further commands."""
+    from ..layout import to_arrays
+    from ..sources import images
+
+    spark = grid.df.sparkSession
+    images.register(spark)
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    rows = to_arrays(grid).select(F.lit(None).cast("string").alias("path"), F.lit(name).alias("name"), F.col("img").cast("int").alias("volume"), F.array(*[F.lit(int(n)) for n in grid.shape]).alias("shape"), numbers(grid.vs).alias("vs"), numbers(grid.affine).alias("affine"), F.transform("data", lambda x: x.cast("double")).alias("data"))
+    rows.write.format(kind).mode("append").save(path)
+    return grid
+
+
 def run(grid: Grid, script: str, others: dict[str, Grid] | None = None) -> Grid:
     """Commands joined by +, each name:parameter; a parameter may name an image of others."""
     for step in filter(None, script.split("+")):
         name, _, parameter = step.partition(":")
+        if name.strip() == "save":
+            grid = save(grid, parameter)
+            continue
         grid = command(grid, name.strip(), parameter, (others or {}).get(parameter))
     return grid

@@ -13,6 +13,7 @@ from ..operators.graph import shared_path
 from ..plans.commands import command
 from ..sources import images
 from ..streaming import running
+from .morphology import waves_sql
 from .registry import Registry
 
 REG = Registry()
@@ -61,11 +62,6 @@ def fill_labels(spark, sf_dir):
     return S.fill_and_smooth_labels(g.map(F.when(F.col("v") > 24, F.col("v") % 3).otherwise(0)), g.map((F.col("v") > 14).cast("int")), 4, 2).df.select("idx", "v")
 
 
-@REG("seg_dndnco")
-def dndnco(spark, sf_dir):
-    return S.dndnco(pic(spark, sf_dir).map((F.col("v") > 16).cast("int"))).df.select("idx", "v")
-
-
 @REG("color_value_to_color", f"WITH {VOL_SQL}, c AS (SELECT *, CAST(least(greatest(floor(v * 255.99::DOUBLE / 500), 0), 255) AS BIGINT) AS i FROM vol) SELECT img, idx, CAST(floor(10.0::DOUBLE * (255 - i) / 255 + 250.0::DOUBLE * i / 255) AS BIGINT) AS r, CAST(floor(200.0::DOUBLE * (255 - i) / 255) AS BIGINT) AS g, CAST(floor(30.0::DOUBLE * (255 - i) / 255 + 30.0::DOUBLE * i / 255) AS BIGINT) AS b FROM c")
 def value_to_color(spark, sf_dir):
     return color.value_to_color(vol(spark, sf_dir).df, color.palette(spark, (10, 200, 30), (250, 0, 30)), 0, 500).select("img", "idx", "r", "g", "b")
@@ -87,8 +83,10 @@ def _edges(name: str, steps: list[int], both: bool) -> None:
 _edges("morphology_edge", [1, 16, 192], True)
 _edges("morphology_edge_xy", [1, 16], False)
 _edges("morphology_edge_xz", [1, 192], False)
-for _name in ("morphology_opening", "morphology_closing", "morphology_smoothing"):
-    REG.add(f"cmd_{_name}", lambda s, d, n=_name: command(pic(s, d).map((F.col("v") > 18).cast("long")), n).df.select("idx", F.col("v").cast("long").alias("v")))
+_DENSE = f"{IMG_SQL}, m AS (SELECT img, x, y, z, idx, CAST(v > 18 AS BIGINT) AS v FROM pic)"
+_NINE = "SELECT a.idx, CASE WHEN sum(b.v) > 4 THEN 1 WHEN sum(b.v) < 4 THEN 0 ELSE a.v END AS v FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.idx, a.v"
+for _name, _sql in (("morphology_opening", f"{waves_sql('m', 2, False)} SELECT idx, CAST(v AS BIGINT) AS v FROM w40"), ("morphology_closing", f"{waves_sql('m', 2, True)} SELECT idx, CAST(v AS BIGINT) AS v FROM w40"), ("morphology_smoothing", _NINE)):
+    REG.add(f"cmd_{_name}", lambda s, d, n=_name: command(pic(s, d).map((F.col("v") > 18).cast("long")), n).df.select("idx", F.col("v").cast("long").alias("v")), f"WITH {_DENSE}{' ' if _name.endswith('smoothing') else ', '}{_sql}")
 
 
 @REG("cmd_refine_label")

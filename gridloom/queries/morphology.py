@@ -41,8 +41,22 @@ _q("morph_smoothing_fill", lambda g: M.smoothing(g, True), _near("CASE WHEN sum(
 _q("morph_is_edge", M.is_edge, _near("CAST(min(b.v) <> max(b.v) AS INT)", CUBE))
 _q("morph_inner_edge", M.inner_edge, _near("CAST(max(b.v) > a.v AS INT)", CUBE))
 _q("morph_negate", M.negate, "SELECT img, idx, 1 - v AS v FROM m")
-_q("morph_opening", M.opening, None)
-_q("morph_closing", M.closing, None)
+
+
+def waves_sql(base: str, dim: int, closes: bool, rounds: int = 40, w: str = "w") -> str:
+    """CTEs w0 to w<rounds> (or of another letter) of a mask (img, x, y, z, idx, v): waves at each image's limit; settled waves repeat themselves."""
+    half, top = (13, 8) if dim == 3 else (4, 4)
+    near = "SELECT a.img, a.x, a.y, a.z, a.idx, a.v, coalesce(b.n, 0) AS n FROM {w} a LEFT JOIN (SELECT img, x + o.dx AS x, y + o.dy AS y, z + o.dz AS z, count(*) AS n FROM {w}, {o} o WHERE v = 1 GROUP BY ALL) b ON a.img = b.img AND a.x = b.x AND a.y = b.y AND a.z = b.z"
+    limit = f"least({top}, max(n) FILTER (WHERE v = 0) - {half + 1})" if closes else f"least({top}, {half - 1} - min(n) FILTER (WHERE v = 1))"
+    value = f"CASE WHEN t >= 0 AND n > {half} + t THEN 1 ELSE v END" if closes else f"CASE WHEN t >= 0 AND n < {half} - t THEN 0 ELSE v END"
+    depth = "range(-1, 2)" if dim == 3 else "range(0, 1)"
+    out = [f"o{w} AS MATERIALIZED (SELECT i.i AS dx, j.i AS dy, k.i AS dz FROM range(-1, 2) i(i), range(-1, 2) j(i), {depth} k(i))", f"{w}0 AS MATERIALIZED (SELECT img, x, y, z, idx, v FROM {base})", f"t{w} AS MATERIALIZED (SELECT img, {limit} AS t FROM ({near.format(w=w + '0', o='o' + w)}) GROUP BY img)"]
+    out += [f"{w}{k + 1} AS MATERIALIZED (SELECT img, x, y, z, idx, {value} AS v FROM ({near.format(w=f'{w}{k}', o=f'o{w}')}) JOIN t{w} USING (img))" for k in range(rounds)]
+    return ", ".join(out)
+
+
+for _name, _op, _closes in (("opening", M.opening, False), ("closing", M.closing, True)):
+    REG.add(f"morph_{_name}", lambda s, d, op=_op: op(mask(s, d)).df.select("img", "idx", "v"), f"WITH {MASK_SQL}, {waves_sql('m', 3, _closes)} SELECT img, idx, CAST(v AS INT) AS v FROM w40")
 _S = "(PARTITION BY img ORDER BY idx)"
 
 
@@ -148,18 +162,6 @@ def region_growing(spark, sf_dir):
     return M.region_growing(g, g.df.where("idx % 50 = 0").select("img", "idx"), 20, 40).select("idx")
 
 
-@REG("cc_defragment_and_fill_holes")
-def both(spark, sf_dir):
-    return M.defragment_and_fill_holes(dense(spark, sf_dir)).df.select("idx", "v")
-
-
-@REG("morph_recursive_smoothing")
-def recursive_smoothing(spark, sf_dir):
-    return M.recursive_smoothing(dense(spark, sf_dir), 8).df.select("idx", "v")
-
-
-
-
 @REG("cmd_morphology_dilation", f"WITH {VOL_SQL}, m AS (SELECT img, x, y, z, idx, v % 3 AS v FROM vol) SELECT a.img, a.idx, coalesce(max(b.v), 0) AS v FROM m a JOIN m b ON a.img = b.img AND {FACE} GROUP BY a.img, a.idx")
 def dilation_by_label(spark, sf_dir):
     return command(vol(spark, sf_dir).map((F.col("v") % 3)), "morphology_dilation").df.select("img", "idx", F.col("v").cast("long").alias("v"))

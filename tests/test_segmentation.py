@@ -95,32 +95,133 @@ def test_slices_options_and_colours(spark):
 
 
 def waves(a, closes):
-    """Opening or closing of a 2D mask by the schedule, with plain loops."""
-    a = a.copy()
-    for t in range(2, -1, -1):
-        changed = False
-        while True:
-            n = sum(np.roll(np.roll(np.pad(a, 1), dy, 0), dx, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1))[1:-1, 1:-1] - a
-            new = np.where(n > 4 + t, 1, a) if closes else np.where(n < 4 - t, 0, a)
-            if (new == a).all():
-                break
-            a, changed = new, True
+    """Opening or closing of one mask (z, y, x) by a queue of voxels, with counts kept up to date."""
+    a = a.astype(int).copy()
+    d, h, w = a.shape
+    flat = d == 1
+    half, top = (4, 4) if flat else (13, 8)
+
+    def around(p):
+        for dz in (0,) if flat else (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    q = (p[0] + dz, p[1] + dy, p[2] + dx)
+                    if (dz, dy, dx) != (0, 0, 0) and 0 <= q[0] < d and 0 <= q[1] < h and 0 <= q[2] < w:
+                        yield q
+
+    for t in range(top, -1, -1):
+        count = {p: a[p] + sum(a[q] for q in around(p)) for p in np.ndindex(a.shape)}
+        hit = lambda p: (not a[p] and count[p] > half + t) if closes else (a[p] and count[p] < half - t)  # noqa: B023, E731
+        queue, changed = [p for p in count if hit(p)], False
+        while queue:
+            changed = True
+            for p in queue:
+                a[p] = int(closes)
+            seen = set()
+            for p in queue:
+                for q in around(p):
+                    if bool(a[q]) != closes:
+                        count[q] += 1 if closes else -1
+                        seen.add(q)
+            queue = [q for q in sorted(seen) if hit(q)]
         if changed:
-            break
+            return a
     return a
 
 
-@pytest.mark.parametrize("closes", [False, True])
-def test_waves_by_hand(spark, closes):
-    a = (np.random.default_rng(7).random((12, 14)) < 0.55).astype(int)
-    g = grid(spark, a, (14, 12, 1)).map(F.col("v").cast("int"))
-    got = np.array(values(M.closing(g) if closes else M.opening(g))).reshape(12, 14)
-    assert (got == waves(a, closes)).all() and (got != a).any()
+def masks(spark, arrays):
+    """Arrays (z, y, x) of one shape as the images of a grid."""
+    d, h, w = arrays[0].shape
+    rows = [(i, int(p[2]), int(p[1]), int(p[0]), int((p[0] * h + p[1]) * w + p[2]), int(v)) for i, a in enumerate(arrays) for p, v in np.ndenumerate(a)]
+    return Grid(spark.createDataFrame(rows, "img long, x int, y int, z int, idx long, v int"), (w, h, d))
+
 
+def arrays(g, n):
+    w, h, d = g.shape
+    rows = g.df.orderBy("img", "idx").collect()
+    return np.array([r["v"] for r in rows]).reshape(n, d, h, w)
 
-@pytest.mark.parametrize(("n", "block"), [(7, 2), (8, 2), (4_100, 1024)])
-def test_every_label_has_its_mask(spark, monkeypatch, n, block):
-    monkeypatch.setattr(M, "LABELS", block, raising=False)
+
+@pytest.mark.parametrize("closes", [False, True])
+@pytest.mark.parametrize("depth", [1, 4])
+def test_waves_by_hand(spark, closes, depth):
+    rng = np.random.default_rng(7)
+    some = [(rng.random((depth, 8, 9)) < p).astype(int) for p in (0.2, 0.5, 0.75, 0.9)]
+    lone = np.zeros((depth, 8, 9), int)
+    lone[0, 1, 1] = lone[0, 5, 4] = lone[0, 5, 5] = 1
+    some += [lone, np.zeros_like(lone), np.ones_like(lone)]
+    op = M.closing if closes else M.opening
+    got = arrays(op(masks(spark, some)), len(some))
+    for a, b in zip(some, got, strict=True):
+        assert (b == waves(a, closes)).all()
+    assert any((a != b).any() for a, b in zip(some, got, strict=True))
+    if not closes and depth == 1:
+        assert got[4].sum() == 2  # the lone voxel goes, the pair stays
+    kept = arrays(op(masks(spark, [some[1] * 3])), 1)[0]
+    assert ((kept == 3) <= (some[1] == 1)).all() and ((kept != 0) == (waves(some[1], closes) != 0)).all()
+
+
+def by_label(a, op):
+    """op on the mask of each label of one array, the highest label winning."""
+    if a.max() <= 1:
+        return op((a != 0).astype(int))
+    out = np.zeros_like(a)
+    for k in range(1, a.max() + 1):
+        out[(op((a == k).astype(int)) != 0) & (out < k)] = k
+    return out
+
+
+def faces(a, erode):
+    out = a.copy()
+    for axis in range(3):
+        for step in (1, -1):
+            near = np.roll(a, step, axis)
+            edge = [slice(None)] * 3
+            edge[axis] = 0 if step == 1 else -1
+            near[tuple(edge)] = a[tuple(edge)] if erode else 0
+            out = np.minimum(out, near) if erode else np.maximum(out, near)
+    return out
+
+
+def edges_in_order(a):
+    d, h, w = a.shape
+    f, out = a.ravel(), np.zeros(a.size, int)
+    for s in (1, w, w * h) if d > 1 else (1, w):
+        i = np.flatnonzero(f[:-s] != f[s:])
+        out[i] = out[i + s] = 1
+    return out.reshape(a.shape)
+
+
+@pytest.mark.parametrize(("op", "plain"), [(M.mask_dilation, lambda a: faces(a, False)), (M.mask_erosion, lambda a: faces(a, True)), (M.mask_opening, lambda a: waves(a, False)), (M.mask_closing, lambda a: waves(a, True)), (M.mask_edge, edges_in_order)])
+def test_labels_of_several_images_by_hand(spark, op, plain):
+    rng = np.random.default_rng(3)
+    blocks = [np.kron(rng.integers(0, 4, (2, 3, 3)), np.ones((2, 3, 3), int)) for _ in range(2)] + [rng.integers(0, 2, (4, 9, 9)), rng.integers(-1, 3, (4, 9, 9)), np.zeros((4, 9, 9), int)]
+    blocks[0][rng.random(blocks[0].shape) < 0.1] = 0
+    got = arrays(M.for_each_label(masks(spark, blocks), op), len(blocks))
+    for a, b in zip(blocks, got, strict=True):
+        assert (b == by_label(a, plain)).all()
+
+
+def test_smoothing_decides_by_image(spark):
+    rng = np.random.default_rng(4)
+    some = [rng.integers(0, 2, (3, 5, 6)), rng.integers(0, 4, (3, 5, 6))]
+    both = arrays(M.smoothing_by_kind(masks(spark, some)), 2)
+    assert (both[0] == arrays(M.smoothing(masks(spark, some[:1])), 1)[0]).all()
+    assert (both[1] == arrays(M.smoothing_multiple_region(masks(spark, some[1:])), 1)[0]).all()
+
+
+def test_every_label_has_its_mask(spark):
+    n = 5_000
     df = spark.range(0, n, 1, 4).select(F.lit(3).cast("long").alias("img"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.col("id").alias("idx"), (F.col("id") + 1).alias("v"))
-    got = M.for_each_label(Grid(df, (n, 1, 1)), lambda g: g).df
+    got = M.for_each_label(Grid(df, (n, 1, 1)), lambda m: m).df
     assert sorted((r["img"], r["x"], r["v"]) for r in got.collect()) == [(3, k, k + 1) for k in range(n)]
+
+
+def test_otsu_median_of_floats_and_of_zeros(spark):
+    from gridloom.operators.histogram import normalize_otsu_median
+
+    a = np.array([[[0.0, 1, 2, 9, 10, 11, 12, 0, 0, 0, 0, 0]]])
+    rows = [(i, k, 0, 0, k, float(v) * s) for i, s in ((0, 1.0), (1, 0.0)) for k, v in enumerate(a.ravel())]
+    g = Grid(spark.createDataFrame(rows, "img long, x int, y int, z int, idx long, v double"), (12, 1, 1))
+    got = arrays(normalize_otsu_median(g), 2)
+    assert got[0].max() <= 1.0 and abs(got[0].ravel()[4] - 0.5) < 1e-9 and (got[1] == 0).all()
