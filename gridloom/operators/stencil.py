@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..layout import Grid, reindex
+from .graph import saved
 
 AXES = ("x", "y", "z")
 
@@ -130,17 +131,23 @@ def gradient(grid: Grid) -> DataFrame:
     return df
 
 
+def _shifted(grid: Grid, step: int, name: str) -> DataFrame:
+    """(img, idx, name): the value step places on in storage order, looked up by idx, so no task holds an image."""
+    return grid.df.select("img", (F.col("idx") - step).alias("idx"), F.col("v").alias(name))
+
+
 def gradient_shift(grid: Grid, shift: int = 1) -> Grid:
     """v at idx + shift minus v, in storage order: rows run on into each other; 0 where there is no such voxel."""
-    return grid.map(F.coalesce(F.lead("v", shift).over(grid.scan()) - F.col("v"), F.lit(0)))
+    df = grid.df.join(_shifted(grid, shift, "on"), ["img", "idx"], "left")
+    return grid.with_df(df.withColumn("v", F.coalesce(F.col("on") - F.col("v"), F.lit(0))).select(grid.df.columns))
 
 
 def gradient_2(grid: Grid, axis: str) -> Grid:
     """v at idx + step minus v at idx - step for the axis' step, in storage order; 0 where either is missing."""
     w, h, _ = grid.shape
     step = {"x": 1, "y": w, "z": w * h}[axis]
-    s = grid.scan()
-    return grid.map(F.coalesce(F.lead("v", step).over(s) - F.lag("v", step).over(s), F.lit(0)))
+    df = grid.df.join(_shifted(grid, step, "on"), ["img", "idx"], "left").join(_shifted(grid, -step, "back"), ["img", "idx"], "left")
+    return grid.with_df(df.withColumn("v", F.coalesce(F.col("on") - F.col("back"), F.lit(0))).select(grid.df.columns))
 
 
 def gradient_at(grid: Grid) -> DataFrame:
@@ -153,14 +160,17 @@ def gradient_at(grid: Grid) -> DataFrame:
 
 
 def anisotropic_diffusion(grid: Grid, conductance: float = 1.0, iterations: int = 5, inverse: bool = False) -> Grid:
-    """Perona-Malik diffusion; an axis' K is its mean squared gradient times conductance (and 2 ln 2 in the exponential form)."""
+    """Perona-Malik diffusion; an axis' K is its mean squared gradient times conductance (and 2 ln 2 in the exponential form).
+
+    Each round is written out: it is read for K and for the flow, and a plan of all rounds would double with each.
+    """
     k0 = conductance * conductance * (1.0 if inverse else 1.3862943611198906)
     if not iterations or not conductance:
         return grid
     ax = [a for a, n in zip(AXES, grid.shape, strict=True) if n > 1]
     df = grid.df.withColumn("v", F.col("v").cast("double"))
-    for _ in range(iterations):
-        df = planes(df, grid.dim)
+    for k in range(iterations):
+        df = planes(saved(df, "diffusion") if k else df, grid.dim)
         for a in ax:
             df = df.withColumn(f"d{a}", F.coalesce(F.col("v") - F.lag("v").over(grid.line(a)), F.lit(0.0)))
         k = df.groupBy("img").agg(*[(F.sum(F.col(f"d{a}") * F.col(f"d{a}")) * k0 / float(grid.size)).alias(f"k{a}") for a in ax])

@@ -93,11 +93,6 @@ def canny(spark, sf_dir):
     return W.canny_edge(pic(spark, sf_dir)).df.select("img", "idx", F.round("v", 6).alias("v"))
 
 
-@REG("filter_anisotropic_diffusion")
-def diffusion(spark, sf_dir):
-    return W.anisotropic_diffusion(vol(spark, sf_dir), iterations=3).df.select("img", "idx", F.round("v", 6).alias("v"))
-
-
 @REG("filter_anisotropic_diffusion_once", f"""WITH {VOL_SQL}, d AS (SELECT *, {', '.join(f"coalesce(v - lag(v) OVER {_win(a)}, 0)::DOUBLE AS d{a}" for a in "xyz")} FROM vol),
 k AS (SELECT img, {', '.join(f"sum(d{a} * d{a}) * 1.3862943611198906::DOUBLE / 1344.0::DOUBLE AS k{a}" for a in "xyz")} FROM d GROUP BY img),
 f AS (SELECT d.*, {', '.join(f"CASE WHEN k{a} > 0 THEN d{a} * pow(2, -d{a} * d{a} / k{a}) ELSE 0 END AS f{a}" for a in "xyz")} FROM d JOIN k ON k.img = d.img)
