@@ -226,3 +226,72 @@ def jacobi_sweep(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """One Jacobi sweep from b; None with a zero on the diagonal."""
     d = np.diag(a)
     return None if (d == 0).any() else (b - (a - np.diag(d)) @ b) / d
+
+
+def col_rotate(a: Column, i: int, j: int, c: float, s: float, rows: int, cols: int) -> Column:
+    """Givens rotation of columns i and j of a matrix: i becomes c * i - s * j, j becomes s * i + c * j."""
+    g = lambda r, k: F.get(a, r * cols + k)
+    cell = lambda r, k: c * g(r, i) - s * g(r, j) if k == i else s * g(r, i) + c * g(r, j) if k == j else g(r, k)
+    return F.array(*[cell(r, k) for r in range(rows) for k in range(cols)])
+
+
+def col_swap(a: Column, i: int, j: int, rows: int, cols: int) -> Column:
+    order = [j if k == i else i if k == j else k for k in range(cols)]
+    return F.array(*[F.get(a, r * cols + k) for r in range(rows) for k in order])
+
+
+def inverse_lower(a: Column, n: int) -> Column:
+    """Inverse of the lower triangle, by substitution; null with a zero on the diagonal."""
+    g, x = (lambda r, c: F.get(a, r * n + c)), {}
+    ok = F.lit(True)
+    for r in range(n):
+        ok = ok & (g(r, r) != 0)
+        for c in range(r + 1):
+            rest = sum((g(r, k) * x[k, c] for k in range(c, r)), F.lit(float(r == c)))
+            x[r, c] = F.try_divide(F.lit(1.0) if r == c else -(rest), g(r, r))
+    return F.when(ok, F.array(*[x.get((r, c), F.lit(0.0)) for r in range(n) for c in range(n)]))
+
+
+def inverse_upper(a: Column, n: int) -> Column:
+    """Inverse of the upper triangle; null with a zero on the diagonal."""
+    return transpose(inverse_lower(transpose(a, n, n), n), n, n)
+
+
+def scaling_matrix(s: Column, n: int = 3) -> Column:
+    return F.array(*[F.get(s, r) if r == c else F.lit(0.0) for r in range(n) for c in range(n)])
+
+
+def to_matrix(t: Column, n: int = 3) -> Column:
+    """A transform (n x n matrix, then n shifts) as a homogeneous matrix of n + 1 rows."""
+    rows = [F.get(t, r * n + c) if c < n else F.get(t, n * n + r) for r in range(n) for c in range(n + 1)]
+    return F.array(*rows, *[F.lit(float(c == n)) for c in range(n + 1)])
+
+
+def qr_q(rows: int, cols: int):
+    """Q of QR with a positive diagonal of R, row-major."""
+
+    def run(m):
+        q, r = np.linalg.qr(m)
+        s = np.sign(np.diagonal(r, axis1=1, axis2=2))
+        s[s == 0] = 1
+        return list((q * s[:, None, :]).reshape(len(m), -1))
+
+    return batched(run, rows, cols)
+
+
+def jacobi_order(a: np.ndarray) -> list[int] | None:
+    """For each row, from the last, the unused column of its largest element; None where a row has none left."""
+    free, out = set(range(len(a))), [0] * len(a)
+    for r in range(len(a) - 1, -1, -1):
+        best = max(sorted(free), key=lambda c, r=r: abs(a[r, c]))
+        if not a[r, best]:
+            return None
+        out[r] = best
+        free.discard(best)
+    return out
+
+
+def random_matrix(n: int, seed: int = 0, positive: bool = False) -> np.ndarray:
+    """A random n x n matrix with values from -1 to 1, or one with only positive eigenvalues."""
+    a = np.random.default_rng(seed).uniform(-1, 1, (n, n))
+    return a @ a.T + np.eye(n) * 1e-3 if positive else a

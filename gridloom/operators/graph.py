@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share; a folder of our own only where the session names none."""
+    """A new path in the folder that driver and executors share; a folder of our own only where the session names none and runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, own, True)
         named = "file://" + own

@@ -101,6 +101,33 @@ def cross_validation(rows: DataFrame, n: int, learn, predict, truth: str = "labe
     return out
 
 
+def subsample(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """n rows in an order that the seed fixes: the first by hash of key and seed. Sampling is what this is for."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def repeated_validation(rows: DataFrame, learn, predict, folds_: int = 3, runs: int = 5, truth: str = "label", key: str = "id") -> float:
+    """1 - mean error over runs: each learns from all but one fold's share of the rows, shuffled anew, and is tried on the rest."""
+    errors = []
+    for k in range(runs):
+        dealt = saved(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(k), F.col(key)), F.lit(folds_)).cast("int")), "runs")
+        p = predict(learn(dealt.where("fold <> 0").drop("fold")), dealt.where("fold = 0").drop("fold"))
+        errors.append(error_rate(p, truth, "predicted").first()["error"] or 0.0)
+    return 1.0 - sum(errors) / len(errors)
+
+
+def learn_one_vs_rest(rows: DataFrame, learn, truth: str = "label") -> dict:
+    """A model a class of rows: learn(rows with truth 1 for the class and 0 for all others)."""
+    classes = sorted(r[0] for r in rows.select(truth).distinct().collect())  # as many as there are models
+    return {c: learn(rows.withColumn(truth, (F.col(truth) == F.lit(c)).cast("int"))) for c in classes}
+
+
+def regress_one_vs_rest(rows: DataFrame, classes: list, score) -> DataFrame:
+    """value: the classes' mean, weighed by their score(class) columns; null where these add up to 0."""
+    total = sum((score(c) for c in classes[1:]), score(classes[0]))
+    return rows.withColumn("value", F.try_divide(sum((score(c) * float(c) for c in classes[1:]), score(classes[0]) * float(classes[0])), total))
+
+
 def one_vs_rest(rows: DataFrame, classes: list, score) -> DataFrame:
     """predicted: the class whose score(class) column is largest, the first of equals."""
     s = [F.struct(score(c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(classes)]
@@ -119,7 +146,7 @@ def refine_label(labels: Grid, ref: Grid, rounds: int = 5, weight: float = 12.0)
         model = now.groupBy("img", F.col("v").alias("u")).agg(F.avg("r").alias("m"), F.greatest(F.var_pop("r"), F.lit(1e-6)).alias("s2"))
         near = spread(now, offsets(labels.dim, True, True), "v").withColumnRenamed("v", "u").groupBy("img", *AXES, "u").agg(F.count("*").alias("n"))
         total = float(len(offsets(labels.dim, True, True)))
-        cand = now.select("img", *AXES, "r", "v").join(near, ["img", *AXES]).join(F.broadcast(model), ["img", "u"])
+        cand = now.select("img", *AXES, "r", "v").join(near, ["img", *AXES]).join(model, ["img", "u"])
         score = -0.5 * ((F.col("r") - F.col("m")) * (F.col("r") - F.col("m")) / F.col("s2") + F.ln("s2")) + w * F.col("n") / total
         best = cand.groupBy("img", *AXES).agg(F.max_by("u", F.struct(F.round(score, 9).alias("s"), (F.col("u") == F.col("v")).cast("int").alias("same"), (-F.col("u")).alias("u"))).alias("b"))
         now = saved(now.join(best, ["img", *AXES]).withColumn("v", F.col("b")).select(now.columns), "labels")

@@ -223,3 +223,63 @@ def invert_displacement(dis: DataFrame, grid: Grid, iterations: int = 8) -> Data
         back = accumulate_displacement(dis, u, grid).select("img", *AXES, *[F.col(f"d{a}").alias(f"t{a}") for a in AXES])
         u = u.join(back, ["img", *AXES]).select("img", *AXES, *[(F.col(f"d{a}") - F.col(f"t{a}")).alias(f"d{a}") for a in AXES])
     return u
+
+
+def upsample_axis(grid: Grid, axis: str, nearest: bool = True) -> Grid:
+    """Twice as many voxels along one axis: each repeated, or the mean with the next between them."""
+    n = list(grid.shape)
+    n[AXES.index(axis)] *= 2
+    v = F.col("v")
+    odd = v if nearest else (v + F.coalesce(F.lead("v").over(grid.line(axis)), v)) / 2.0
+    pair = F.array(v if nearest else v.cast("double"), odd)
+    df = grid.df.withColumn("s", pair).select("img", *[c for c in AXES if c != axis], F.col(axis).alias("o"), F.posexplode("s").alias("k", "v")).withColumn(axis, F.col("o") * 2 + F.col("k"))
+    return grid.with_df(reindex(df, tuple(n)), tuple(n))
+
+
+def upsample_label(grid: Grid) -> Grid:
+    """Each voxel repeated 2^dim times, in one projection: labels stay labels."""
+    d = grid.dim
+    shape = tuple(n * 2 if i < d else n for i, n in enumerate(grid.shape))
+    at = F.explode(F.sequence(F.lit(0), F.lit(2**d - 1)))
+    df = grid.df.select("img", *AXES, "v", at.alias("k"))
+    df = df.select("img", *[(F.col(a) * 2 + F.shiftright("k", i).bitwiseAND(F.lit(1))).alias(a) if i < d else F.col(a) for i, a in enumerate(AXES)], "v")
+    return replace(grid.with_df(reindex(df, shape), shape), vs=tuple(s / 2 if i < d else s for i, s in enumerate(grid.vs)))
+
+
+def upsample_with_padding(grid: Grid, shape: tuple[int, int, int], interpolation: str = "linear") -> Grid:
+    """A shape filled by sampling at half the place's coordinates; what lies beyond the last voxel is 0."""
+    half = 0.5 if grid.dim == 3 else 1.0
+    return resample(grid, shape, lambda x, y, z: (x * 0.5, y * 0.5, z * half), interpolation)
+
+
+def decompose_displacement(whole: DataFrame, first: DataFrame, grid: Grid, rounds: int = 15) -> DataFrame:
+    """The displacement u for which u(x) + first(x + u(x)) is whole(x), by fixed-point rounds; each is written out."""
+    from .graph import saved
+
+    names = {f"d{a}": f"w{a}" for a in AXES}
+    base = saved(whole.select("img", *AXES, *[F.col(k).cast("double").alias(v) for k, v in names.items()]), "decompose")
+    u = base.join(first, ["img", *AXES]).select("img", *AXES, *[(F.col(f"w{a}") - F.col(f"d{a}")).alias(f"d{a}") for a in AXES])
+    for _ in range(rounds):
+        moved = accumulate_displacement(first, u, grid).select("img", *AXES, *[F.col(f"d{a}").alias(f"t{a}") for a in AXES])
+        # accumulated = u + first(x + u); what first gives there is that less u
+        u = saved(u.join(moved, ["img", *AXES]).join(base, ["img", *AXES]).select("img", *AXES, *[(F.col(f"w{a}") - F.col(f"t{a}") + F.col(f"d{a}")).alias(f"d{a}") for a in AXES]), "decompose")
+    return u
+
+
+def is_label_image(grid: Grid) -> bool:
+    """Whether every value is a whole number of 0 or more: one aggregate, one row to the driver."""
+    if grid.df.schema["v"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        return bool(grid.df.agg(F.min("v") >= 0).first()[0])
+    return bool(grid.df.agg(F.bool_and((F.col("v") >= 0) & (F.col("v") == F.floor("v")))).first()[0])
+
+
+def to_space(grid: Grid, shape: tuple[int, int, int], affine: tuple[float, ...], interpolation: str | None = None) -> Grid:
+    """The grid on another shape and affine: as it is where both agree, labels by majority, other values linearly."""
+    import numpy as np
+
+    m = np.linalg.inv(np.array(grid.affine, float).reshape(4, 4)) @ np.array(affine, float).reshape(4, 4)
+    vs = tuple(float(x) for x in np.linalg.norm(np.array(affine, float).reshape(4, 4)[:3, :3], axis=0))
+    if tuple(shape) == tuple(grid.shape) and np.abs(m - np.eye(4)).max() <= 1e-3:
+        return replace(grid, affine=tuple(affine), vs=vs)
+    kind = interpolation or ("majority" if is_label_image(grid) else "linear")
+    return replace(resample_affine(grid, tuple(shape), m[:3].ravel().tolist(), kind), affine=tuple(affine), vs=vs)

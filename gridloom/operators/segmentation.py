@@ -13,6 +13,7 @@ from ..layout import AXES, Grid
 from . import morphology as M
 from .geometry import flip, swap
 from .graph import saved
+from .histogram import normalize_otsu_median
 from .stencil import gaussian
 
 
@@ -79,6 +80,51 @@ def handle_orientation(grid: Grid, steps: str, reverse: bool = False) -> Grid:
     return grid
 
 
+def softmax(channels: DataFrame) -> DataFrame:
+    """p of a voxel's channels as shares of their exponentials."""
+    w = Window.partitionBy("img", "idx")
+    e = channels.withColumn("e", F.exp(F.col("p") - F.max("p").over(w)))
+    return e.select("img", "idx", "ch", (F.col("e") / F.sum("e").over(w)).alias("p"))
+
+
+def preprocess(kinds: list[Grid], commands: str = "", mask: Grid | None = None) -> tuple[list[Grid], Grid]:
+    """(kinds, mask): the mask from the first kind's positive voxels unless given, every kind scaled by its median, then
+    commands joined by +: zscore_nonzero. Each image is on its own."""
+    if mask is None:
+        mask = dndnco(kinds[0].map((F.col("v") > 0).cast("int")))
+    kinds = [normalize_otsu_median(g.map(F.col("v").cast("double"))) for g in kinds]
+    for name in filter(None, commands.split("+")):
+        if name.split(",")[0] != "zscore_nonzero":
+            raise ValueError(f"unknown command {name!r}")
+        kinds = [zscore_nonzero(g) for g in kinds]
+    return kinds, mask
+
+
+def postprocess(channels: DataFrame, like: Grid, commands: str, mask: Grid | None = None) -> dict:
+    """{"channels", "mask", "labels"} after commands joined by +: create_bg, softmax, clamp_prob, smoothing, zero,<channel>,
+    create_mask, argmax. argmax needs a mask: that given or made before."""
+    out = {"channels": channels, "mask": mask, "labels": None}
+    for step in filter(None, commands.split("+")):
+        name, *args = step.split(",")
+        if name == "create_bg":
+            out["channels"] = create_bg(out["channels"])
+        elif name == "softmax":
+            out["channels"] = softmax(out["channels"])
+        elif name == "clamp_prob":
+            out["channels"] = clamp_prob(out["channels"])
+        elif name == "smoothing":
+            out["channels"] = smooth_channels(out["channels"], like)
+        elif name == "zero" and len(args) == 1:
+            out["channels"] = zero_channel(out["channels"], int(args[0]))
+        elif name == "create_mask":
+            out["mask"] = create_mask(out["channels"], like)
+        elif name == "argmax" and out["mask"] is not None:
+            out["labels"] = argmax(out["channels"], out["mask"])
+        else:
+            raise ValueError(f"{step!r} isn't known or lacks a mask")
+    return out
+
+
 def _majority(grid: Grid) -> DataFrame:
     """(img, x, y, z, u, n, of): the most frequent label over 0 of the 3^dim window, the smallest of equals, its count, all labels' count."""
     each = M.spread(grid.df.where("v > 0"), M.offsets(grid.dim, True, True), "v").groupBy("img", *AXES, "v").agg(F.count("*").alias("n"))

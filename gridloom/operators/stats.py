@@ -19,11 +19,6 @@ def summary(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def upper_median(v: Column) -> Column:
-    """The element at n div 2 of the sorted values, as an aggregate; exact at any size."""
-    return F.element_at(F.sort_array(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
-
-
 def median(df: DataFrame, *by: str) -> DataFrame:
     """(by, median): exact upper median from counts of the distinct values, so a group's rows never meet in one list."""
     counts = df.groupBy(*by, "v").agg(F.count("*").alias("n"))
@@ -174,3 +169,9 @@ def multiple_regression(rows: DataFrame, y: str, x: list[str]) -> dict:
     rmse = float(np.sqrt(rss / (s["n"] - k))) if s["n"] > k else 0.0
     se = rmse * np.sqrt(np.diag(np.linalg.inv(a)))
     return {"b": b.tolist(), "t": [float(u / v) if v else 0.0 for u, v in zip(b, se, strict=True)], "rmse": rmse}
+
+
+def residual(rows: DataFrame, y: str, x: list[str], b: list[float], name: str = "residual") -> DataFrame:
+    """rows with y less its fit, the sum of the columns x times their coefficients b."""
+    fit = sum((F.col(p) * float(c) for p, c in zip(x, b, strict=True)), F.lit(0.0))
+    return rows.withColumn(name, F.col(y) - fit)

@@ -71,19 +71,6 @@ _vec("mat_vector_transformation", lambda a, b: M.vector_transformation(a, F.slic
 _vec("mat_inverse_2", lambda a, b: F.transform(M.inverse(a, 2), lambda x: x * M.determinant(a, 2)), "[a[4], -a[2], -a[3], a[1]]", 4)
 
 
-def _only(name: str, value, n: int) -> None:
-    REG.add(name, lambda s, d: _parts(s, d, n).select("vec_id", F.transform(value(F.col("a")), lambda x: F.round(x, 5)).alias("v")))
-
-
-_only("mat_inverse_3", lambda a: M.inverse(a, 3), 9)
-_only("mat_svd", lambda a: M.svd_values(3, 4)(a), 12)
-_only("mat_eigenvalues", lambda a: M.eigenvalues_symmetric(3)(M.square(a, 3, 3)), 9)
-_only("mat_pseudo_inverse", lambda a: M.pseudo_inverse(3, 4)(a), 12)
-_only("mat_qr", lambda a: M.qr_r(4, 3)(a), 12)
-_only("mat_lq", lambda a: M.lq_l(3, 4)(a), 12)
-_only("mat_cholesky", lambda a: M.cholesky(3)(F.zip_with(M.square(a, 3, 3), M.identity(3), lambda p, q: p + q)), 9)
-
-
 @REG("arr_round_trip", f"WITH {VOL_SQL} SELECT img, x, y, z, idx, v FROM vol")
 def round_trip(spark, sf_dir):
     g = vol(spark, sf_dir)

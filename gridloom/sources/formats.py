@@ -125,6 +125,45 @@ def orientation_codes(affine: list[float]) -> list[int]:
     return out
 
 
+def lps_affine(affine: list[float], shape: tuple[int, int, int]) -> list[float]:
+    """The affine that a file of an image in LPS order gets: x and y reversed, with the origin at their far ends."""
+    a = [float(v) for v in affine]
+    for axis in (0, 1):
+        for r in range(3):
+            a[4 * r + 3] += a[4 * r + axis] * (shape[axis] - 1) if r == axis else 0.0
+            a[4 * r + axis] = -a[4 * r + axis]
+    return a
+
+
+def apply_codes(shape: tuple[int, ...], codes: list[int], reverse: bool = False) -> tuple[int, ...]:
+    """A signed shape after flips (0-2, which turn the sign) and swaps (3 xy, 4 yz, 5 xz)."""
+    out = list(shape)
+    for c in reversed(codes) if reverse else codes:
+        if c < 3:
+            out[c] = -out[c]
+        else:
+            i, j = {3: (0, 1), 4: (1, 2), 5: (0, 2)}[c]
+            out[i], out[j] = out[j], out[i]
+    return tuple(out)
+
+
+def bit_count(datatype: int) -> int:
+    return 8 * np.dtype(NIFTI_TYPES[datatype]).itemsize
+
+
+def is_integer(datatype: int) -> bool:
+    return NIFTI_TYPES[datatype][0] != "f"
+
+
+def is_int8(datatype: int) -> bool:
+    return NIFTI_TYPES[datatype] == "u1"
+
+
+def compatible(a: int, b: int) -> bool:
+    """Whether values of one type are stored as the other's: the same, or whole numbers of one size."""
+    return a == b or (is_integer(a) and is_integer(b) and bit_count(a) == bit_count(b))
+
+
 #: MAT v4 number codes.
 MAT_TYPES = {0: "f8", 1: "f4", 2: "i4", 3: "i2", 4: "u2", 5: "u1"}
 
@@ -171,6 +210,129 @@ def write_mat4(records: list[dict]) -> bytes:
     return out
 
 
+class MatFile:
+    """The records of a file by name or number, decoded when asked for."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.records, at = _gunzip(raw), [], 0
+        while at + 20 <= len(self.raw):
+            end = "<" if struct.unpack_from("<I", self.raw, at)[0] < 5000 else ">"
+            kind, rows, cols, imag, ln = struct.unpack_from(end + "5I", self.raw, at)
+            name = self.raw[at + 20 : at + 20 + ln].rstrip(b"\0").decode("latin-1")
+            dtype = np.dtype(end + MAT_TYPES[kind % 100 // 10])
+            at += 20 + ln
+            self.records.append({"name": name, "rows": rows, "cols": cols, "dtype": dtype, "at": at})
+            at += rows * cols * dtype.itemsize * (2 if imag else 1)
+        self.by_name = {r["name"]: i for i, r in enumerate(self.records)}
+
+    def has(self, name: str) -> bool:
+        return name in self.by_name
+
+    def index_of(self, name: str) -> int:
+        """The record's number; as many as there are for an unknown name."""
+        return self.by_name.get(name, len(self.records))
+
+    def shape(self, which: str | int) -> tuple[int, int] | None:
+        """(rows, cols)."""
+        r = self._find(which)
+        return None if r is None else (r["rows"], r["cols"])
+
+    def _find(self, which: str | int) -> dict | None:
+        i = self.by_name.get(which) if isinstance(which, str) else which
+        return self.records[i] if i is not None and 0 <= i < len(self.records) else None
+
+    def total_size(self, which: str | int) -> int:
+        """Bytes of a record's values."""
+        r = self._find(which)
+        return 0 if r is None else r["rows"] * r["cols"] * r["dtype"].itemsize
+
+    def stored(self, which: str | int) -> np.ndarray | None:
+        """Values as they are stored, by columns."""
+        r = self._find(which)
+        return None if r is None else np.frombuffer(self.raw, r["dtype"], r["rows"] * r["cols"], r["at"])
+
+    def is_scaled(self, which: str) -> bool:
+        return self.has(f"{which}.slope") and self.has(f"{which}.inter")
+
+    def type_compatible(self, which: str | int, dtype: str) -> bool:
+        """Whether the values are of a type, or whole numbers of 16 bits as that is."""
+        r = self._find(which)
+        return r is not None and (r["dtype"].str[1:] == dtype or {r["dtype"].str[1:], dtype} == {"i2", "u2"})
+
+    def sub_data(self, which: str, part: str) -> np.ndarray | None:
+        """Values of a record's part, such as slope or inter."""
+        return self.stored(f"{which}.{part}")
+
+    def read_as_type(self, which: str | int, dtype: str) -> np.ndarray | None:
+        """Values converted to a type, scaled by their slope and inter; None for an unknown record."""
+        r = self._find(which)
+        if r is None:
+            return None
+        if not self.is_scaled(r["name"]):
+            return self.stored(which).astype(dtype)
+        return next(x for x in read_mat4(self.raw, {r["name"]}) if x["name"] == r["name"])["data"].astype(dtype)
+
+    def read_as_value(self, which: str | int, dtype: str):
+        """The first value; 0 without one."""
+        v = self.read_as_type(which, dtype)
+        return v[0] if v is not None and len(v) else np.dtype(dtype).type(0)
+
+    def read_as_vector(self, which: str | int, dtype: str) -> list:
+        v = self.read_as_type(which, dtype)
+        return [] if v is None else v.tolist()
+
+    def to_text(self, which: str | int, count: int = 10) -> str:
+        """The first values; bytes of a short record that begins with a letter as text."""
+        r, v = self._find(which), self.stored(which)
+        if r["dtype"].str[1:] == "u1" and not self.is_scaled(r["name"]) and 0 < len(v) < 4096 and v[0]:
+            return v.tobytes().decode("latin-1").replace("\n", " ")
+        return " ".join(f"{x:g}" if r["dtype"].kind == "f" else str(x) for x in v[:count].tolist())
+
+    def info(self, which: str | int) -> str:
+        """A line on a record: name, type, rows, columns, parts and first values."""
+        r = self._find(which)
+        kind = {"f8": "double", "f4": "float", "i4": "int", "i2": "short", "u2": "unsigned short", "u1": "unsigned char"}[r["dtype"].str[1:]]
+        parts = "".join(f"{p}={self.to_text(f'{r['name']}.{p}', 1)}, " for p in ("slope", "inter") if self.has(f"{r['name']}.{p}"))
+        more = "..." if r["rows"] * r["cols"] > 10 and kind != "unsigned char" else ""
+        return f"{r['name']} ({kind},{r['rows']},{r['cols']})={parts}{self.to_text(which)}{more}"
+
+
+#: Tags of TIFF headers.
+TIFF_TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "orientation": 274, "samples": 277, "rows_per_strip": 278, "strip_bytes": 279, "planar": 284}
+#: Sizes of TIFF field types 1 to 12.
+TIFF_SIZES = dict(enumerate((1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8), 1))
+
+
+def read_tiff_tags(raw: bytes) -> list[dict[int, list]]:
+    """The fields of every directory of a file: tag to values (numbers, pairs for fractions, text)."""
+    end = {b"II": "<", b"MM": ">"}.get(raw[:2])
+    if end is None or struct.unpack_from(end + "H", raw, 2)[0] != 42:
+        raise ValueError("not a TIFF file")
+    out, (at,) = [], struct.unpack_from(end + "I", raw, 4)
+    while at and len(out) < 65_536:
+        (n,) = struct.unpack_from(end + "H", raw, at)
+        fields = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(end + "HHI", raw, at + 2 + 12 * k)
+            size = TIFF_SIZES.get(kind, 0) * count
+            start = at + 10 + 12 * k if size <= 4 else struct.unpack_from(end + "I", raw, at + 10 + 12 * k)[0]
+            if kind == 2:
+                fields[tag] = [raw[start : start + count].rstrip(b"\0").decode("latin-1")]
+            elif kind in (5, 10):
+                v = struct.unpack_from(f"{end}{2 * count}{'I' if kind == 5 else 'i'}", raw, start)
+                fields[tag] = list(zip(v[::2], v[1::2], strict=True))
+            elif kind in TIFF_SIZES:
+                fields[tag] = list(struct.unpack_from(f"{end}{count}{'.BBHIQbBhiqfd'[kind]}", raw, start))
+        out.append(fields)
+        (at,) = struct.unpack_from(end + "I", raw, at + 2 + 12 * n)
+    return out
+
+
+def change_endian(raw: bytes, size: int) -> bytes:
+    """Bytes of each value of a size in bytes the other way round."""
+    return np.frombuffer(raw, np.uint8).reshape(-1, size)[:, ::-1].tobytes()
+
+
 #: NRRD type names.
 NRRD_TYPES = {"float": "f4", "double": "f8", "int": "i4", "unsigned int": "u4", "short": "i2", "unsigned short": "u2", "uchar": "u1", "unsigned char": "u1", "signed char": "i1"}
 
@@ -321,10 +483,13 @@ def _dicom_elements(raw: bytes, at: int, stop: int, explicit: bool, end: str, de
     return out
 
 
-def read_dicom(raw: bytes) -> dict:
-    """Tags as text by number (group << 16 | element), and the pixels of an uncompressed or lossless-JPEG file."""
-    at = 132 if raw[128:132] == b"DICM" else 0
-    meta, explicit, end = {}, True, "<"
+#: Binary kinds of tags where a file of implicit form doesn't say.
+DICOM_IMPLICIT = {0x00280002: "US", 0x00280010: "US", 0x00280011: "US", 0x00280100: "US", 0x00280103: "US"}
+
+
+def _dicom_open(raw: bytes) -> tuple[list[tuple[int, str, object]], str]:
+    """(elements, byte order)."""
+    at, meta = 132 if raw[128:132] == b"DICM" else 0, {}
     while at + 8 <= len(raw) and struct.unpack_from("<H", raw, at)[0] == 2:
         vr = raw[at + 4 : at + 6]
         n = struct.unpack_from("<I", raw, at + 8)[0] if vr in DICOM_LONG else struct.unpack_from("<H", raw, at + 6)[0]
@@ -334,17 +499,59 @@ def read_dicom(raw: bytes) -> dict:
     syntax = meta.get(0x10, b"").rstrip(b"\0 ").decode()
     explicit = syntax != "1.2.840.10008.1.2" if syntax else raw[at + 4 : at + 6].isalpha()
     end = ">" if syntax == "1.2.840.10008.1.2.2" else "<"
+    return _dicom_elements(raw, at, len(raw), explicit, end), end
+
+
+def _dicom_text(tag: int, vr: str, value: bytes, end: str) -> str | None:
+    """An element as text, numbers joined by backslashes; None for bytes without a reading."""
+    kind = vr or DICOM_IMPLICIT.get(tag, "")
+    if kind in DICOM_NUMBERS:
+        c = DICOM_NUMBERS[kind]
+        size = struct.calcsize(c)
+        return "\\".join(f"{x:g}" if c in "fd" else str(x) for (x,) in struct.iter_unpack(end + c, value[: len(value) // size * size]))
+    return None if kind in ("OB", "OW", "UN") else value.rstrip(b"\0 ").decode("latin-1").strip()
+
+
+def read_dicom_header(raw: bytes) -> dict:
+    """tags: every text a tag has, those inside sequences too, in order; csa: the private header; pixel_bytes."""
+    elements, end = _dicom_open(raw)
+    tags: dict[int, list[str]] = {}
+    csa: dict[str, list[str]] = {}
+    size, todo = 0, list(reversed(elements))
+    while todo:
+        tag, vr, value = todo.pop()
+        if tag == 0x7FE00010:
+            size = len(value) if isinstance(value, bytes) else sum(map(len, value))
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, bytes):
+            if value[:4] == b"SV10":
+                csa |= read_csa(value)
+            elif (t := _dicom_text(tag, vr, value, end)) is not None:
+                tags.setdefault(tag, []).append(t)
+    return {"tags": tags, "csa": csa, "pixel_bytes": size}
+
+
+def dicom_affine(orientation: list[float], position: list[float], vs: list[float]) -> list[float]:
+    """Row-major 4x4 of a slice; axes of the grid where the file names none."""
+    axes = np.eye(3)
+    if len(orientation) >= 6:
+        axes = np.array([orientation[:3], orientation[3:6], np.cross(orientation[:3], orientation[3:6])])
+    m = np.eye(4)
+    m[:3, :3] = axes.T * vs
+    m[:3, 3] = position[:3] if len(position) >= 3 else 0
+    return m.ravel().tolist()
+
+
+def read_dicom(raw: bytes) -> dict:
+    """Tags as text by number (group << 16 | element), and the pixels of an uncompressed or lossless-JPEG file."""
+    elements, end = _dicom_open(raw)
     tags, pixels = {}, None
-    for tag, vr, value in _dicom_elements(raw, at, len(raw), explicit, end):
+    for tag, vr, value in elements:
         if tag == 0x7FE00010:
             pixels = value
-        elif isinstance(value, bytes):
-            kind = vr or {0x00280010: "US", 0x00280011: "US", 0x00280100: "US", 0x00280103: "US", 0x00280002: "US"}.get(tag, "")
-            if kind in DICOM_NUMBERS:
-                c = DICOM_NUMBERS[kind]
-                tags[tag] = "\\".join(f"{x:g}" if c in "fd" else str(x) for (x,) in struct.iter_unpack(end + c, value[: len(value) // struct.calcsize(c) * struct.calcsize(c)]))
-            elif kind not in ("OB", "OW", "UN"):
-                tags[tag] = value.rstrip(b"\0 ").decode("latin-1").strip()
+        elif isinstance(value, bytes) and (t := _dicom_text(tag, vr, value, end)) is not None:
+            tags[tag] = t
     rows, cols = int(tags.get(0x00280010, 0)), int(tags.get(0x00280011, 0))
     bits, signed = int(tags.get(0x00280100, 16)), tags.get(0x00280103) == "1"
     dtype = np.dtype(end + ("i" if signed else "u") + str(bits // 8))
@@ -355,7 +562,38 @@ def read_dicom(raw: bytes) -> dict:
     spacing = [float(x) for x in tags.get(0x00280030, "1\\1").split("\\")]
     thick = float(tags.get(0x00180088) or tags.get(0x00180050) or 1)
     frames = len(data) // max(1, rows * cols)
-    return {"shape": [cols, rows, max(1, frames)], "vs": [spacing[1], spacing[0], thick], "tags": tags, "data": data, "image_number": int(float(tags.get(0x00200013) or 0)), "position": [float(x) for x in tags.get(0x00200032, "").split("\\") if x], "orientation": [float(x) for x in tags.get(0x00200037, "").split("\\") if x], "slice_location": float(tags.get(0x00201041) or 0)}
+    vs = [spacing[1], spacing[0], thick]
+    position, orientation = ([float(x) for x in tags.get(t, "").split("\\") if x] for t in (0x00200032, 0x00200037))
+    return {"shape": [cols, rows, max(1, frames)], "vs": vs, "tags": tags, "data": data, "image_number": int(float(tags.get(0x00200013) or 0)), "position": position, "orientation": orientation, "affine": dicom_affine(orientation, position, vs), "slice_location": float(tags.get(0x00201041) or 0)}
+
+
+def write_dicom(pixels: np.ndarray, w: int, h: int, tags: dict[int, tuple[str, object]] | None = None) -> bytes:
+    """A file of explicit little-endian form with unsigned 16-bit pixels; tags: number to (kind, text, number or bytes)."""
+    out = b"\0" * 128 + b"DICM"
+    syntax = b"1.2.840.10008.1.2.1\0"
+    out += struct.pack("<HH2sH", 2, 0x10, b"UI", len(syntax)) + syntax
+    own = {0x00280002: ("US", 1), 0x00280010: ("US", h), 0x00280011: ("US", w), 0x00280100: ("US", 16), 0x00280103: ("US", 0)}
+    body = np.asarray(pixels).astype("<u2").tobytes()
+    for tag, (vr, value) in sorted((own | (tags or {}) | {0x7FE00010: ("OW", body)}).items()):
+        if vr in DICOM_NUMBERS:
+            value = struct.pack("<" + DICOM_NUMBERS[vr], value)
+        elif isinstance(value, str):
+            value = value.encode("latin-1")
+            value += b" " * (len(value) % 2)
+        size = struct.pack("<HI", 0, len(value)) if vr.encode() in DICOM_LONG else struct.pack("<H", len(value))
+        out += struct.pack("<HH2s", tag >> 16, tag & 0xFFFF, vr.encode()) + size + value
+    return out
+
+
+def write_csa(entries: dict[str, list[str]]) -> bytes:
+    """A private header in its second form, as read_csa() reads it."""
+    out = b"SV10\4\3\2\1" + struct.pack("<II", len(entries), 77)
+    for name, values in entries.items():
+        out += name.encode().ljust(64, b"\0") + struct.pack("<i4siii", len(values), b"IS\0\0", 0, len(values), 77)
+        for v in values:
+            raw = v.encode() + b"\0"
+            out += struct.pack("<4i", len(raw), len(raw), 77, len(raw)) + raw.ljust((len(raw) + 3) // 4 * 4, b"\0")
+    return out
 
 
 def unmosaic(data: np.ndarray, w: int, h: int, tile_w: int, tile_h: int, n: int) -> np.ndarray:

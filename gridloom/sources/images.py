@@ -1,4 +1,4 @@
-"""Image sources and sinks: format("nifti"), ("mat4"), ("nrrd"), ("bmp"), ("dicom").
+"""Image sources and sinks: format("nifti"), ("mat4"), ("nrrd"), ("bmp"), and ("dicom").
 
 The Python data source reads with its own file system; read_images() does the same over Spark's binary file reader, which
 opens whatever Spark opens. Both decode a file a row in the executors; columns that aren't asked for aren't decoded twice.
@@ -37,7 +37,7 @@ def decode(kind: str, path: str, raw: bytes, names: set[str] | None = None, volu
         return [(path, None, 0, r["shape"], [1.0] * 3, EYE, r["data"])]
     if kind == "dicom":
         r = formats.read_dicom(raw)
-        return [(path, None, r["image_number"], r["shape"], r["vs"], EYE, r["data"])]
+        return [(path, None, r["image_number"], r["shape"], r["vs"], r["affine"], r["data"])]
     raise ValueError(f"unknown format {kind!r}")
 
 
@@ -125,6 +125,12 @@ class Writer(DataSourceArrowWriter):
                     raw, ext = formats.write_nrrd(data, shape, affine=r["affine"]), "nrrd"
                 elif self.kind == "bmp":
                     raw, ext = formats.write_bmp(data, shape[0], shape[1]), "bmp"
+                elif self.kind == "dicom":
+                    axes = np.array(r["affine"], float).reshape(4, 4)
+                    text = lambda v: "\\".join(f"{x:.9g}" for x in v)
+                    unit = axes[:3, :2] / np.maximum(np.linalg.norm(axes[:3, :2], axis=0), 1e-12)
+                    tags = {0x00200013: ("IS", str(r["volume"])), 0x00280030: ("DS", text([r["vs"][1], r["vs"][0]])), 0x00180050: ("DS", text([r["vs"][2]])), 0x00200032: ("DS", text(axes[:3, 3])), 0x00200037: ("DS", text(unit.T.ravel()))}
+                    raw, ext = formats.write_dicom(data, shape[0], shape[1], tags), "dcm"
                 elif self.kind == "mat4":
                     raw, ext = formats.write_mat4([{"name": r["name"] or "image", "rows": shape[0], "cols": shape[1] * shape[2], "data": data}]), "mat"
                 else:
@@ -194,9 +200,75 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
+def dicom_headers(files: DataFrame) -> DataFrame:
+    """(path, tags, csa, pixel_bytes) of files (path, content); functions.dicom reads what they say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.map_(pa.int32(), pa.list_(pa.string())), pa.map_(pa.string(), pa.list_(pa.string())), pa.int64())
+        for b in batches:
+            got = [formats.read_dicom_header(raw) for raw in b.column(1).to_pylist()]
+            columns = [b.column(0), [[*h["tags"].items()] for h in got], [[*h["csa"].items()] for h in got], [h["pixel_bytes"] for h in got]]
+            yield pa.record_batch([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(columns, kinds, strict=True)], ["path", "tags", "csa", "pixel_bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, tags map<int, array<string>>, csa map<string, array<string>>, pixel_bytes long")
+
+
+def search_files(spark: SparkSession, path: str, wildcard: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, size) of files whose name fits a wildcard (* and ?), by Spark's listing: nothing is read."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", wildcard or "*")
+    return files.load(path).select("path", F.col("length").alias("size"))
+
+
+def search_dirs(spark: SparkSession, path: str, wildcard: str = "*") -> DataFrame:
+    """(path) of folders in a folder whose name fits a wildcard and that hold a file somewhere."""
+    from pyspark.sql import functions as F
+
+    from ..functions.strings import match_wildcard
+
+    root = path.split("://")[-1].removeprefix("file:").rstrip("/")
+    below = search_files(spark, path, recursive=True).select(F.regexp_extract("path", rf"\Q{root}\E/([^/]+)/", 1).alias("d")).where("d <> ''").distinct()
+    return below.where(match_wildcard(F.col("d"), wildcard or "*")).select(F.concat(F.lit(f"{root}/"), "d").alias("path"))
+
+
+def read_text_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, line) of text files, a row a line in the order of the file."""
+    from pyspark.sql import functions as F
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
+
+
+def tiff_tags(files: DataFrame) -> DataFrame:
+    """(path, directory, tag, value): the fields of TIFF files (path, content), values as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(p, k, tag, " ".join(map(str, v))) for k, fields in enumerate(formats.read_tiff_tags(raw)) for tag, v in sorted(fields.items())]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "directory", "tag", "value"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, directory int, tag int, value string")
+
+
 def dicom_volume(slices: DataFrame, series: str = "name") -> DataFrame:
-    """(series, shape, vs, data): slices of one series in the order of their numbers."""
+    """(series, shape, vs, affine, data): slices of one series in the order of their numbers.
+
+    Slices at the beginning that look another way than the next are scouts and go. The third axis points from the first to
+    the last slice.
+    """
     from pyspark.sql import functions as F
 
-    g = slices.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("volume", "data"))).alias("s"), F.first("shape").alias("plane"), F.first("vs").alias("vs"))
-    return g.select(series, F.array(F.get("plane", 0), F.get("plane", 1), F.size("s")).alias("shape"), "vs", F.flatten(F.transform("s", lambda r: r["data"])).alias("data"))
+    turn = F.transform(F.array(*[F.get("affine", i) for i in (0, 1, 4, 5, 8, 9)]), lambda v: F.round(v, 6))
+    g = slices.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("volume", turn.alias("turn"), "affine", "shape", "vs", "data"))).alias("s"))
+    same = F.filter(F.sequence(F.lit(0), F.size("s") - 2, F.lit(1)), lambda i: F.get("s", i)["turn"] == F.get("s", i + 1)["turn"])
+    first = F.when(F.size("s") < 2, F.lit(0)).otherwise(F.coalesce(F.get(same, 0), F.size("s") - 1))
+    g = g.withColumn("s", F.slice("s", first + 1, F.size("s") - first))
+    one, last = F.get("s", 0), F.get("s", F.size("s") - 1)
+    a = lambda i: F.get(one["affine"], i)
+    along = sum(((F.get(last["affine"], 4 * r + 3) - a(4 * r + 3)) * a(4 * r + 2) for r in range(3)), F.lit(0.0))
+    affine = F.array(*[F.when(along < 0, -a(i)).otherwise(a(i)) if i % 4 == 2 and i < 12 else a(i) for i in range(16)])
+    shape = F.array(F.get(one["shape"], 0), F.get(one["shape"], 1), F.size("s"))
+    return g.select(series, shape.alias("shape"), one["vs"].alias("vs"), affine.alias("affine"), F.flatten(F.transform("s", lambda r: r["data"])).alias("data"))
