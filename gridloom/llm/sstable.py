@@ -43,8 +43,8 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQIBx")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pieces that a worker keeps with their ids or counts; beyond it new ones aren't kept. Pieces met once that it remembers.
-MAX_PIECES, MAX_ONCE = 600_000, 300_000
+#: Pieces that a worker keeps with their ids; beyond it new ones aren't kept.
+MAX_PIECES = 600_000
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -215,10 +215,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.pieces, self.sizes, self.once = Tokenizer.from_file(path), {}, {}, set()
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.spec = spec = json.load(f)
+        self.ranked = False  # not made yet
         kind = spec["pre_tokenizer"] or {}
         self.by_piece = spec["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
         self.byte = {b: s for b, s in enumerate(byte_symbols())}
@@ -253,32 +254,47 @@ class Encoder:
         return out
 
 
-    def count(self, texts: list[str]) -> list[int]:
-        """How many ids each text has: recurring pieces by their kept counts, the others of a text in one library call.
+    def _ranked(self, spec: dict):
+        """The same BPE with tokens ranked by their merges, for counts alone; None where it isn't sure to give the library's.
 
-        Pieces without white space at their ends may stand in any order behind one another; all others are counted alone.
+        It joins what makes the token of lowest rank, whichever two tokens that is made of, where the library joins the two
+        its merge names. Inside what becomes a token both join alike until two neighbours are left. So they agree
+        if every token comes of one merge, and the library gives every token for its own symbols.
         """
-        known, left = [0] * len(texts), []
+        import tiktoken
+
+        vocab, raw = spec["model"]["vocab"], {s: bytes([b]) for b, s in self.byte.items()}
+        merged = ["".join(m.split(" ")) if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
+        tokens = [*raw, *merged]
+        special = {t["content"] for t in spec["added_tokens"]}
+        if not self.by_piece or spec["model"].get("ignore_merges") or len(set(tokens)) < len(tokens) or set(tokens) != set(vocab) - special:
+            return None
+        if any([x.id for x in self.model.tokenize(t)] != [vocab[t]] for t in tokens):
+            return None
+        ranks = {b"".join(raw[c] for c in t): k for k, t in enumerate(tokens)}
+        return tiktoken.Encoding("counts", pat_str=BYTE_LEVEL.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has. Texts of Latin-1 letters, whose classes no version of Unicode changes, go the ranked way."""
+        if self.ranked is False:
+            self.ranked = self._ranked(self.spec)
+        out, left = [0] * len(texts), []
         for k, t in enumerate(texts):
-            if not self.by_piece or self.WHOLE.search(t):
-                left.append(t)
-                continue
-            head, *rest = t.split(" ")
-            sizes = list(map(self.sizes.get, rest))
-            new = [p for p, n in zip(rest, sizes, strict=True) if n is None] if None in sizes else []
-            edged = [p for p in new if p.strip() != p or not p]
-            known[k] = sum(filter(None, sizes)) + sum(len(self._piece(p)) // 4 for p in edged)
-            if edged:
-                new = [p for p in new if p.strip() == p and p]
-            left.append(" ".join([head, *new]))
-            for p in new:
-                if p not in self.once:
-                    self.once.add(p)
-                elif len(self.sizes) < MAX_PIECES:
-                    self.sizes[p] = len(self._piece(p)) // 4
-            if len(self.once) > MAX_ONCE:
-                self.once.clear()
-        return [n + len(e) for n, e in zip(known, self.tokenizer.encode_batch_fast(left, add_special_tokens=False), strict=True)]
+            if self.ranked is None or "<|" in t or not _latin(t):
+                left.append(k)
+            else:
+                out[k] = len(self.ranked.encode_ordinary(t))
+        for k, e in zip(left, self.tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False), strict=True):
+            out[k] = len(e)
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @cache
