@@ -69,13 +69,29 @@ class CuckooFilter:
                     self.cells[b, at[0]] = 0
                     break
 
+    def _fill(self, f, at) -> np.ndarray:
+        """Put fingerprints into their buckets at once as far as there is room; those that found none."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        rank = np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+        used = (self.cells[bucket] != 0).sum(1)  # buckets are filled from the front
+        room = used + rank < SLOTS
+        self.cells[bucket[room], (used + rank)[room]] = f[order][room]
+        return order[~room]
+
     @classmethod
     def of(cls, h1, h2) -> CuckooFilter:
+        """A filter over the keys, built in bulk: first buckets, then second ones, then one by one what found neither."""
         h1, h2 = np.asarray(h1, np.int64), np.asarray(h2, np.int64)
-        size = len(h1)
-        while not (f := cls(max(size, 8))).insert(h1, h2):
-            size = int(max(size, 8) * 1.7)
-        return f
+        size = max(len(h1), 8)
+        while True:
+            out = cls(size)
+            f, i, j = out._places(h1, h2)
+            left = out._fill(f, i)
+            left = left[out._fill(f[left], j[left])]
+            if out.insert(h1[left], h2[left]):
+                return out
+            size = int(size * 1.7)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<I", len(self.cells)) + self.cells.astype("<u2").tobytes()
