@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Rows of benchmark shingles and of candidate documents that may be sent to every executor; above, joins shuffle.
 MAX_SHINGLES, MAX_SENT = 1_000_000, 500_000
+#: Parts of an index key where its join shuffles.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -107,7 +109,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, sim
 
     index = fingerprints(listed, "item_id", "copy", "k", "m").select("item_id", "copy", "k", "m", F.col("fp").alias("ifp"), F.explode(blocks("fp", radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
     probe = fingerprints(counted, *by).select(*by, "fp", F.explode(blocks("fp", radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    pairs = probe.join(sent(index, n_shingles, MAX_SHINGLES), ["k", "m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    salts = 1 if n_shingles <= MAX_SHINGLES else SALTS  # a block has few values, so windows of one size meet in few keys
+    index = index.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    probe = probe.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "s"), F.lit(salts)).cast("int"))
+    pairs = probe.join(sent(index, n_shingles, MAX_SHINGLES), ["k", "m", "block", "value", "salt"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     pairs = pairs.select(*by, "item_id", "copy").distinct()
 
     shared = counted.join(pairs, by).join(sent(listed.select("item_id", "copy", "k", "m", "h", F.col("c").alias("ic")), n_shingles, MAX_SHINGLES), ["item_id", "copy", "k", "m", "h"])
