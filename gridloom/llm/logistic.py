@@ -65,6 +65,21 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(min(max(best, 0.01), 0.99))
 
 
+def binned_prior(pos: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> float:
+    """class_prior() with the unlabelled as counts between ascending edges: counts[i] have a score of edges[i] or more, but less than the next."""
+    n = counts.sum()
+    if not n or not len(pos):
+        return 1.0
+    best, above = 1.0, counts[::-1].cumsum()[::-1] / n
+    error = lambda f, k: 1.5 * np.sqrt(f * (1 - f) / k)
+    for edge, up in zip(edges, above, strict=True):
+        share = float((pos >= edge).mean())
+        for fp, fu in ((share, up), (1 - share, 1 - up)):
+            if fp >= 0.05:
+                best = min(best, (fu + error(fu, n)) / max(fp - error(fp, len(pos)), 1e-3))
+    return float(min(max(best, 0.01), 0.99))
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 400, rate: float = 0.02, ridge: float = 3e-3) -> tuple[Linear, float]:
     """Non-negative positive-unlabelled risk, logistic loss, full-batch Adam; (model, class prior).
 

@@ -1,10 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the labelled training rows of quality 1; the unlabelled are any training documents, whose labels
-are not looked at. The class prior is estimated from the two samples' scores, then the non-negative unbiased risk is
-minimised over measures of the whole text (repetition, symbols, case, lengths, lines).
+are not looked at. A first model tells the two apart; the class prior comes from its scores of all training documents, counted in
+bins, against those of the positives. Then the non-negative unbiased risk is minimised over measures of the whole text
+(repetition, symbols, case, lengths, lines).
 
-Both samples are bounded (per_class rows each, the first by hash of doc_id); scoring reads every whole text.
+The fits use bounded samples (per_class rows each, the first by hash of doc_id); the prior and the scores cover every document
+and whole texts.
 
 Defined results: a null or empty text is scored like any other, its measures are zero; a row without doc_id is never held
 out nor a training row; rows that repeat a doc_id each get a row; without positives every score is high; an empty table
@@ -20,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample, tune
-from .logistic import Linear, fit_nnpu
+from .common import held_out, keep, label_sample, tune
+from .logistic import Linear, binned_prior, fit_logistic, fit_nnpu
 
 PER_CLASS, THRESHOLD = 8_000, 0.3
 RUN = re.compile(r"([^\w\s])\1+")
 DIGIT = re.compile(r"\d")
 WORD_BYTES = bytes(range(128, 256)) + b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\r\t"
 N_MEASURES = 26
+#: Bins of a score in which all training documents are counted, and how far they reach.
+BIN, BINS = 0.05, 400
 
 
 def measures(text: str | None) -> list[float]:
@@ -60,40 +64,67 @@ def measures(text: str | None) -> list[float]:
     return [float(x) for x in (*base, *bent)]
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """(doc_id, x) for rows (doc_id, text)."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x): the measures of every row's whole text."""
 
     def run(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([measures(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    tune(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: float | None = None) -> tuple[Linear, float]:
-    """(model, class prior) from at most per_class positives and per_class unlabelled documents."""
-    tune(docs.sparkSession)
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
+    return b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_MEASURES)
+
+
+def counted(rows: DataFrame, model: Linear) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, counts) of the margins of rows (x): at most 2 * BINS + 1 numbers come to the driver."""
+
+    def run(batches):
+        total = np.zeros(2 * BINS + 1, np.int64)
+        for b in batches:
+            at = np.clip(np.floor(model.margin(_matrix(b, 0)) / BIN), -BINS, BINS).astype(int) + BINS
+            total += np.bincount(at, minlength=len(total))
+        on = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], ["bin", "n"])
+
+    counts = np.zeros(2 * BINS + 1, np.int64)
+    for r in rows.select("x").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    return (np.arange(-BINS, BINS + 1)) * BIN, counts
+
+
+def fit_quality(rows: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: float | None = None) -> tuple[Linear, float]:
+    """(model, class prior) for measured rows (doc_id, x). Of rows that repeat an id the fits take the one with the least measures."""
+    train = rows.where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     pos = label_sample(labels.where("quality = 1"), "quality", per_class).select("doc_id", F.lit(1).alias("y"))
-    unl = ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_class).distinct().select("doc_id", F.lit(0).alias("y"))
+    unl = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_class).select("doc_id", F.lit(0).alias("y"))
     chosen = F.broadcast(pos.unionByName(unl).groupBy("doc_id").agg(F.max("y").alias("p"), F.min("y").alias("u")))  # at most 2 * per_class rows
-    rows = measured(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), N_MEASURES)
-    p, u = np.array([r["p"] == 1 for r in rows], bool), np.array([r["u"] == 0 for r in rows], bool)
+    got = train.join(chosen, "doc_id").groupBy("doc_id", "p", "u").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    x = np.array([r["x"] for r in got], float).reshape(len(got), N_MEASURES)
+    p, u = np.array([r["p"] == 1 for r in got], bool), np.array([r["u"] == 0 for r in got], bool)
+    if prior is None and p.any() and u.any():
+        first = fit_logistic(np.vstack([x[p], x[u]]), np.r_[np.ones(p.sum()), np.zeros(u.sum())])
+        prior = binned_prior(first.margin(x[p]), *counted(train, first))
     return fit_nnpu(x[p], x[u], prior)
 
 
-def score_quality(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row's whole text."""
+def scored(rows: DataFrame, model: Linear) -> DataFrame:
+    """(doc_id, score) of measured rows (doc_id, x)."""
 
     def run(batches):
         for b in batches:
-            x = np.array([measures(t) for t in b.column(1).to_pylist()], float)
-            yield pa.record_batch([b.column(0), pa.array(model.score(x) if len(x) else np.zeros(0))], ["doc_id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(model.score(_matrix(b, 1)))], ["doc_id", "score"])
 
-    tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.select("doc_id", "x").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def score_quality(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row's whole text."""
+    return scored(measured(docs, id_col, text_col), model)
 
 
 def keep_quality(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,6 +143,7 @@ def keep_quality(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model, _ = fit_quality(docs, labels)
-    out = score_quality(docs, model)
+    rows = keep(measured(docs), "quality-measures")  # some 200 bytes a document: texts are read once
+    model, _ = fit_quality(rows, labels)
+    out = scored(rows, model)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
