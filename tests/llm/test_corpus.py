@@ -84,6 +84,17 @@ def test_line_state_is_reversible(spark):
     assert s.unseen(keys).count() == 0
     again = line_dedup.LineDedupState(spark, s.path, n_shards=3)
     assert again.version == s.version and sorted(tuple(r) for r in again.drops().collect()) == before[1]
+    s.insert(docs(spark, [(1, "A common line here\nA line that came later")]))
+    assert s.postings().where("doc_id = 1").count() == 3
+    s.delete(spark.createDataFrame([(1,), (None,)], "doc_id long"))
+    s.insert(docs(spark, first[:1]))  # what went may come again
+    assert see() == before
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(s.path.removeprefix("file://") + f"/postings/{s.version}") for f in fs]
+    assert sizes and s.postings().count() == 4
+    s.compact(5)
+    assert see() == before and s.first == s.version and s.n_shards == 5 and s.unseen(keys).count() == 0
+    third = line_dedup.LineDedupState(spark, s.path)
+    assert third.n_shards == 5 and sorted(tuple(r) for r in third.drops().collect()) == before[1]
     s.delete(spark.createDataFrame([(1,), (2,)], "doc_id long"))
     assert see() == ([], []) and s.unseen(keys).count() == keys.count() == 3
     for r in s.filters().collect():
@@ -99,6 +110,22 @@ def test_cuckoo_filter():
     g.delete(a[:2000], b[:2000])
     assert g.contains(a[2000:4000], b[2000:4000]).all() and g.contains(a[:2000], b[:2000]).mean() < 0.05
     assert not cuckoo.CuckooFilter(8).insert(a, b)
+    whole = cuckoo.CuckooFilter.of(a, b)
+    assert (whole.cells != 0).sum() == len(a) and whole.contains(a, b).all()
+    same = np.full(6, a[0]), np.full(6, b[0])
+    assert cuckoo.CuckooFilter.of(*same).contains(*same).all()
+
+
+def test_probe_by_shard_deals_hot_lines(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, 0, 0, int(h1), int(h2)) for k, (h1, h2) in enumerate(rng.integers(-(2**63), 2**63 - 1, (300, 2)))] + [(1000 + k, 0, k, 5, 7 << 20) for k in range(400)]
+    keys = spark.createDataFrame(rows, "doc_id long, row long, pos int, h1 long, h2 long")
+    held = spark.createDataFrame([r[3:] for r in rows[:100]] + [(5, 7 << 20)], "h1 long, h2 long")
+    filters = line_dedup.shard_filters(held, 4)
+    want = {r[:3] for r in [*rows[:100], *rows[300:]]}
+    for got in (line_dedup.joined_probe(keys, filters, 4, 50), line_dedup.sent_probe(keys, filters, 4)):
+        found = {tuple(r)[:3] for r in got.collect()}
+        assert want <= found and len(found) < len(want) + 10
 
 
 # near-dedup
@@ -226,9 +253,25 @@ def test_decontamination_by_hand(spark, none):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs(spark, rows), bench.where("false")).count() == 0
 
 
-def test_decontamination_runs_no_python(spark, sf):
-    plan = decontamination.op6_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_decontamination_runs_no_python(spark, sf, monkeypatch):
+    plans, keep = [], decontamination.keep
+
+    def seen(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, what)
+
+    monkeypatch.setattr(decontamination, "keep", seen)
+    plans.append(decontamination.op6_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**63), 2**63 - 1, 200)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False)) for _ in a]
+    pairs = spark.createDataFrame([(int(x), int(np.int64(np.uint64(int(x) % (1 << 64)) ^ np.uint64(f)))) for x, f in zip(a, flips, strict=True)], "a long, b long")
+    both = pairs.select(F.arrays_overlap(decontamination.blocks("a", 23), decontamination.blocks("b", 23)).alias("hit"))
+    assert both.where("hit").count() == 200
 
 
 def test_anchors_agree_without_broadcast(spark, monkeypatch, sf):
@@ -343,7 +386,7 @@ def test_packing_deals_equal_rows_without_id_apart(spark):
 
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
-    from gridloom.llm.quality import fit_quality, score_quality
+    from gridloom.llm.quality import fit_quality, measured, score_quality
 
     sf = "/root/testdata/sf0.01"
     start = spark.read.parquet(f"{sf}/documents.parquet")
@@ -357,7 +400,7 @@ def test_pipeline_stage_by_stage(spark):
         return spark.createDataFrame(out.collect(), out.schema)
 
     one = step(0, start)
-    model, _ = fit_quality(start, spark.read.parquet(f"{sf}/labels.parquet"))
+    model, _ = fit_quality(measured(start), spark.read.parquet(f"{sf}/labels.parquet"))
     good = {r["doc_id"] for r in score_quality(start, model).where("score >= 0.3").collect()}
     assert {r["doc_id"]: r["text"] for r in one.collect()} == {i: t for i, t in rows.items() if i in good}
     two = step(1, one)

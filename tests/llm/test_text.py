@@ -78,10 +78,18 @@ def test_encoder_matches_the_library(bytes_):
     texts = mixes(HARD, 3000, 20, 3)
     want = [np.array(x.ids, "<u4").tobytes() for x in bytes_.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
-    for _ in range(3):  # counts kept from one round are used in the next
-        for k in range(0, len(texts), 500):
-            assert e.count(texts[k : k + 500]) == [len(w) // 4 for w in want[k : k + 500]]
-    assert e.sizes and not any(p != p.strip() or not p for p in e.sizes)
+    assert e.count(texts) == [len(w) // 4 for w in want]
+
+
+def test_counts_match_the_library_on_words(bytes_, spark):
+    e = sstable.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(11)
+    parts = ["th", "er", "ing", "'s", "'ll", "ñ", "é", "ß", "12", "007", ",", "...", "!?", "\n", "\t", "  ", " ", "A", "Z", "q", "x", "\xa0", "\xad", "ª", "²", "µ", "漢", "ſ", "<", "|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(6000)] + [d["text"] or "" for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert e.count(texts) == [len(x.ids) for x in bytes_.encode_batch(texts, add_special_tokens=False)]
+    assert e.ranked
+    spec = dict(e.spec, model=dict(e.spec["model"], merges=[*e.spec["model"]["merges"], ["t", "he"]]))
+    assert e._ranked(spec) is None and sstable.Encoder(public_tokenizers.path("word_bpe_49k.json"))._ranked(spec) is None
 
 
 def test_shards_round_trip(odd, none, spark, bytes_, tmp_path):
@@ -150,7 +158,7 @@ def test_media_round_trip(odd, none, spark, tmp_path):
     assert ids() == ["2", "3", "4"]
     lost = media.read_media(spark, path).withColumn("media", F.when(F.col("doc_id") != 3, F.col("media")))
     rows = {r["doc_id"]: r for r in media.media_features(lost).collect()}
-    assert rows[2]["n_bytes"] is None and rows[2]["feature"] is None and rows[3]["n_bytes"] == 0
+    assert rows[3]["n_bytes"] is None and rows[3]["feature"] is None and rows[2]["n_bytes"] == 0
     media.write_media(none, "file://" + str(tmp_path / "n"))
     assert media.read_media(spark, "file://" + str(tmp_path / "n")).count() == 0
 
@@ -405,11 +413,11 @@ def test_held_out_accuracy(spark, name, label, least):
 
 def test_quality_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, 0), (4, None)], "doc_id long, quality int")
-    model, prior = quality.fit_quality(odd, labels)
+    model, prior = quality.fit_quality(quality.measured(odd), labels)
     got = quality.score_quality(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and 0 < prior <= 1
     assert quality.keep_quality(odd, model, 0.0).count() == len(ODD)
-    model, _ = quality.fit_quality(none, labels.where("false"))
+    model, _ = quality.fit_quality(quality.measured(none), labels.where("false"))
     assert quality.score_quality(none, model).count() == 0 and quality.keep_quality(none, model).columns == none.columns
 
 
@@ -419,6 +427,11 @@ def test_pu_learning_finds_the_prior():
     unl = np.vstack([rng.normal(2, 1, (1400, 3)), neg])
     model, prior = logistic.fit_nnpu(pos, unl)
     assert abs(prior - 0.7) < 0.06
+    first = logistic.fit_logistic(np.vstack([pos, unl]), np.r_[np.ones(2000), np.zeros(2000)])
+    edges = np.arange(-200, 201) * 0.05
+    counts = np.histogram(np.clip(first.margin(unl), -10, 10 - 1e-9), [*edges[:-1], 99])[0]
+    assert abs(logistic.binned_prior(first.margin(pos), edges[:-1], counts) - 0.7) < 0.06
+    assert logistic.binned_prior(first.margin(pos), edges[:-1], counts * 0) == logistic.binned_prior(np.zeros(0), edges[:-1], counts) == 1.0
     assert (model.score(pos) > 0.5).mean() > 0.97 and (model.score(neg) < 0.5).mean() > 0.97
 
 
