@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_dir, new_dir
+from gridloom.llm.common import drop_dir, keep, new_dir
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.packing import pack_tokenized
-from gridloom.llm.quality import fit_quality, keep_quality
+from gridloom.llm.quality import fit_quality, keep_quality, measured
 from gridloom.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    model, _ = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model, _ = fit_quality(keep(measured(docs), "quality-measures"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return keep_quality(docs, model)
 
 
