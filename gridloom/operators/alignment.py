@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,40 @@ class Alignment:
         self.matrix, value = R.linear(self.template[0], self.subject[0], low, high, cost, rounds)
         return value
 
+    def linear_by_levels(self, kind: str = "affine", **options) -> float:
+        """Affine search stage by stage with L-BFGS over halved images first, on the first kind; the cost reached."""
+        self.matrix, _, value = R.multi_resolution(self.template[0], self.subject[0], kind, **options)
+        return value
+
+    def to_template(self, points: DataFrame) -> DataFrame:
+        """points with x, y, z in the subject's voxels as u, v, w in the template's, by the matrix alone."""
+        m = np.linalg.inv(np.vstack([np.array(self.matrix).reshape(3, 4), [0, 0, 0, 1]]))
+        return points.withColumns({n: sum((F.col(a) * float(m[r, c]) for c, a in enumerate(AXES)), F.lit(float(m[r, 3]))) for r, n in enumerate("uvw")})
+
+    def to_subject(self, points: DataFrame) -> DataFrame:
+        """points with x, y, z in the template's voxels as u, v, w in the subject's, by the matrix, after the displacement
+        of their place if there is one (points on whole voxels)."""
+        at = points
+        if self.displacement is not None:
+            moves = self.displacement.select("img", *AXES, "dx", "dy", "dz")
+            at = points.join(moves, ["img", *AXES], "left").withColumns({f"p{a}": F.col(a) + F.coalesce(f"d{a}", F.lit(0.0)) for a in AXES})
+        else:
+            at = points.withColumns({f"p{a}": F.col(a).cast("double") for a in AXES})
+        m = np.array(self.matrix).reshape(3, 4)
+        moved = at.withColumns({n: sum((F.col(f"p{a}") * float(m[r, c]) for c, a in enumerate(AXES)), F.lit(float(m[r, 3]))) for r, n in enumerate("uvw")})
+        return moved.select(*points.columns, "u", "v", "w")
+
+    def mapping(self) -> DataFrame:
+        """(img, x, y, z, u, v, w): where each template voxel lies in the subject."""
+        return self.to_subject(self.template[0].df.select("img", *AXES))
+
+    def export(self, path: str, k: int = 0, kind: str = "nifti") -> None:
+        """The subject's kind k in the template's space, written as image files."""
+        from ..plans.commands import save
+
+        t = self.template[k]
+        save(replace(self.moved(k), vs=t.vs, affine=t.affine), path, kind)
+
     def moved(self, k: int = 0, interpolation: str = "linear") -> Grid:
         """The subject's kind k in the template's space, by the matrix and then by the displacement if there is one."""
         g = resample_affine(self.subject[k], self.template[k].shape, self.matrix, interpolation)

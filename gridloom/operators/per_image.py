@@ -1,6 +1,7 @@
 """Operators that need a whole image at once, in numpy, a group an image: Fourier transforms, thumbnails, surfaces, layers.
 
-Images are rows (img, data) of to_arrays(); tasks hold one image each, so memory is bounded by the largest image.
+Images are rows (img, data) of to_arrays(). A batch holds as many as fit Arrow's size; they are worked on one after the
+other as views of its buffer, and each result leaves before the next is made.
 """
 
 from __future__ import annotations
@@ -12,14 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def views(column: pa.Array):
+    """The arrays of a list column as numpy views."""
+    for k in range(len(column)):
+        yield column[k].values.to_numpy(zero_copy_only=False)
+
+
 def map_images(arr: DataFrame, fun: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int, int], extra: str = "") -> DataFrame:
     """fun on each image as an array [z, y, x]; (img, data) again, flattened."""
     w, h, d = shape
 
     def run(batches):
         for b in batches:
-            out = [np.asarray(fun(np.asarray(x, float).reshape(d, h, w)), float).ravel() for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["img", "data"])
+            for k, x in enumerate(views(b.column(1))):
+                out = np.asarray(fun(x.astype(float).reshape(d, h, w)), float).ravel()
+                yield pa.record_batch([b.column(0).slice(k, 1), pa.array([out], pa.list_(pa.float64()))], ["img", "data"])
 
     return arr.select("img", "data").mapInArrow(run, "img long, data array<double>")
 
@@ -30,15 +38,14 @@ def fftn(arr: DataFrame, shape: tuple[int, int, int], inverse: bool = False) ->
 
     def run(batches):
         for b in batches:
-            re, im = [], []
-            for row in b.to_pylist():
-                x = np.asarray(row["re"] if inverse else row["data"], complex).reshape(d, h, w)
+            imaginary = views(b.column("im")) if inverse else None
+            for k, x in enumerate(views(b.column("re" if inverse else "data"))):
+                x = x.astype(complex).reshape(d, h, w)
                 if inverse:
-                    x = x + 1j * np.asarray(row["im"]).reshape(d, h, w)
+                    x = x + 1j * next(imaginary).reshape(d, h, w)
                 y = np.fft.fftn(x) if inverse else np.fft.ifftn(x) * x.size
-                re.append(y.real.ravel())
-                im.append(y.imag.ravel())
-            yield pa.record_batch([b.column(0), pa.array(re, pa.list_(pa.float64())), pa.array(im, pa.list_(pa.float64()))], ["img", "re", "im"])
+                parts = [pa.array([p.ravel()], pa.list_(pa.float64())) for p in (y.real, y.imag)]
+                yield pa.record_batch([b.column("img").slice(k, 1), *parts], ["img", "re", "im"])
 
     return arr.mapInArrow(run, "img long, re array<double>, im array<double>")
 
@@ -142,8 +149,8 @@ def surfaces(arr: DataFrame, shape: tuple[int, int, int], level: float) -> DataF
 
     def run(batches):
         for b in batches:
-            for img, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = isosurface(np.asarray(data, float).reshape(d, h, w), level)
+            for img, data in zip(b.column(0).to_pylist(), views(b.column(1)), strict=True):
+                t = isosurface(data.astype(float).reshape(d, h, w), level)
                 n = len(t)
                 yield pa.record_batch([pa.array([img] * (3 * n), pa.int64()), pa.array(np.repeat(np.arange(n), 3)), pa.array(np.tile(np.arange(3), n)), *[pa.array(np.ascontiguousarray(t[:, :, k]).ravel()) for k in range(3)]], ["img", "triangle", "corner", "px", "py", "pz"])
 

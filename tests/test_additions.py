@@ -195,3 +195,32 @@ def test_shapes_and_small_matrices():
     assert V.slice_corners(2, 1.5, (4, 6, 8)) == [(-0.5, -0.5, 1.5), (3.5, -0.5, 1.5), (-0.5, 5.5, 1.5), (3.5, 5.5, 1.5)]
     assert M.jacobi_order(np.array([[0.0, 2, 1], [5, 0, 1], [0, 0, 3]])) == [1, 0, 2] and M.jacobi_order(np.zeros((2, 2))) is None
     assert np.linalg.eigvalsh(M.random_matrix(4, 1, True)).min() > 0 and np.abs(M.random_matrix(4, 1)).max() <= 1
+
+
+def test_displacement_by_levels():
+    y, x = np.mgrid[:48, :48].astype(float)
+    fixed, moving = (np.exp(-((x - a) ** 2 + (y - 24) ** 2) / 60)[None] for a in (20, 30))
+    d = R.cdm_levels(moving, fixed)
+    at = np.stack(np.meshgrid(*[np.arange(n) for n in fixed.shape], indexing="ij")).astype(float)
+    after = ((R.sample_linear(moving, at + d) - fixed) ** 2).mean()
+    assert after < 0.05 * ((moving - fixed) ** 2).mean() and np.abs(d[2]).max() > 8
+    assert R.halved(np.arange(5.0).reshape(1, 1, 5)).ravel().tolist() == [0.5, 2.5, 4.0]
+
+
+def test_points_between_spaces(spark, tmp_path):
+    from gridloom.operators.alignment import Alignment
+
+    g = grid(spark, np.random.default_rng(2).random((4, 5, 6)))
+    a = Alignment([g], [g], [1.0, 0, 0, 2.0, 0, 1.0, 0, -1.0, 0, 0, 1.0, 0.5])
+    p = spark.createDataFrame([(0, 1, 2, 3)], "img long, x int, y int, z int")
+    there = a.to_subject(p).first()
+    assert (there["u"], there["v"], there["w"]) == (3.0, 1.0, 3.5)
+    back = a.to_template(spark.createDataFrame([(0, 3.0, 1.0, 3.5)], "img long, x double, y double, z double")).first()
+    assert np.allclose((back["u"], back["v"], back["w"]), (1, 2, 3)) and a.mapping().count() == g.size
+    a.displacement = g.df.select("img", "x", "y", "z", F.lit(0.5).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    assert a.to_subject(p).first()["u"] == 3.5
+    a.displacement, a.matrix = None, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]
+    a.export("file://" + str(tmp_path / "out"))
+    images.register(spark)
+    out = spark.read.format("nifti").load("file://" + str(tmp_path / "out")).first()
+    assert out["shape"] == [6, 5, 4] and np.allclose(out["data"], array(g).ravel(), atol=1e-6)
