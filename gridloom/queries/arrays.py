@@ -48,7 +48,8 @@ _num("mat_trace", lambda a, b: M.trace(a, 3), "a[1] + a[5] + a[9]")
 _num("mat_determinant_2", lambda a, b: M.determinant(a, 2), "a[1] * a[4] - a[2] * a[3]", 4)
 _num("mat_determinant_3", lambda a, b: M.determinant(a, 3), "a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7])")
 _num("mat_lu_determinant", lambda a, b: M.lu_determinant(3)(a), "a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7])")
-_num("mat_is_symmetric", lambda a, b: M.is_symmetric(M.square(a, 3, 3), 3).cast("int"), "1")
+_MIRRORED = lambda a: F.array(*[F.when((F.get(a, 0) > 0) & (F.lit(i) == 3), F.get(a, 1)).otherwise(F.get(a, {6: 2, 7: 5}.get(i, i))) for i in range(9)])
+_num("mat_is_symmetric", lambda a, b: M.is_symmetric(_MIRRORED(a), 3).cast("int"), "CAST(a[1] > 0 OR a[2] = a[4] AS INT)")
 _vec("mat_scale", lambda a, b: M.scale(a, 2.5), "list_transform(a, lambda x: x * 2.5::DOUBLE)")
 _vec("mat_add", M.add, "list_transform(list_zip(a, b), lambda z: z[1] + z[2])")
 _vec("mat_minus", M.minus, "list_transform(list_zip(a, b), lambda z: z[1] - z[2])")
@@ -68,7 +69,8 @@ _vec("mat_square", lambda a, b: M.square(a, 3, 3), _mul(_a, lambda r, c: _a(c, r
 _vec("mat_vector_product", lambda a, b: M.vector_product(a, F.slice(b, 1, 3), 3, 3), "[" + ", ".join("+".join(f"{_a(r, i)} * b[{i + 1}]" for i in range(3)) for r in range(3)) + "]")
 _vec("mat_left_vector_product", lambda a, b: M.left_vector_product(a, F.slice(b, 1, 3), 3, 3), "[" + ", ".join("+".join(f"{_a(i, c)} * b[{i + 1}]" for i in range(3)) for c in range(3)) + "]")
 _vec("mat_vector_transformation", lambda a, b: M.vector_transformation(a, F.slice(b, 1, 3)), "[" + ", ".join("+".join(f"a[{r * 4 + i + 1}] * b[{i + 1}]" for i in range(3)) + f" + a[{r * 4 + 4}]" for r in range(3)) + "]", 12)
-_vec("mat_inverse_2", lambda a, b: F.transform(M.inverse(a, 2), lambda x: x * M.determinant(a, 2)), "[a[4], -a[2], -a[3], a[1]]", 4)
+_TWO = lambda a: F.zip_with(a, F.array(*[F.lit(x) for x in (2.0, 0.0, 0.0, 2.0)]), lambda p, q: p + q)
+_vec("mat_inverse_2", lambda a, b: M.inverse(_TWO(a), 2), "list_transform([a[4] + 2, -a[2], -a[3], a[1] + 2], lambda x: x / ((a[1] + 2) * (a[4] + 2) - a[2] * a[3]))", 4)
 
 
 @REG("arr_round_trip", f"WITH {VOL_SQL} SELECT img, x, y, z, idx, v FROM vol")
@@ -82,13 +84,16 @@ def layout(spark, sf_dir):
     return to_arrays(vol(spark, sf_dir)).select("img", F.aggregate("data", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"), F.size("data").alias("n"))
 
 
-@REG("fft_forward", f"WITH {VOL_SQL} SELECT img, CAST(k.k AS BIGINT) AS k, round(sum(v * cos(2 * pi() * x * k.k / 16)), 4) AS re, round(sum(v * sin(2 * pi() * x * k.k / 16)), 4) AS im FROM vol, range(16) k(k) GROUP BY ALL")
+_ANGLE = "2 * pi() * (x * (k.k % 16) / 16.0::DOUBLE + y * ((k.k // 16) % 12) / 12.0::DOUBLE + z * (k.k // 192) / 7.0::DOUBLE)"
+
+
+@REG("fft_forward", f"WITH {VOL_SQL} SELECT img, CAST(k.k AS BIGINT) AS k, round(sum(v * cos({_ANGLE})), 2) + 0.0 AS re, round(sum(v * sin({_ANGLE})), 2) + 0.0 AS im FROM vol, range(1344) k(k) GROUP BY ALL")
 def fft(spark, sf_dir):
-    """The first line of the spectrum: frequencies along x alone."""
+    """The whole spectrum, in storage order of its frequencies."""
     g = vol(spark, sf_dir)
-    f = per_image.fftn(to_arrays(g), g.shape).select("img", F.posexplode(F.arrays_zip(F.slice("re", 1, 16).alias("re"), F.slice("im", 1, 16).alias("im"))).alias("k", "c"))
-    zero = lambda c: F.round(c, 4) + 0.0
-    return f.select("img", F.col("k").cast("long").alias("k"), zero(F.col("c.re")).alias("re"), zero(F.col("c.im")).alias("im"))
+    f = per_image.fftn(to_arrays(g), g.shape).select("img", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
+    near = lambda c: F.round(c, 2) + 0.0
+    return f.select("img", F.col("k").cast("long").alias("k"), near(F.col("c.re")).alias("re"), near(F.col("c.im")).alias("im"))
 
 
 @REG("fft_round_trip", f"WITH {VOL_SQL} SELECT img, idx, v::DOUBLE AS v FROM vol")
