@@ -21,12 +21,6 @@ def normalized_attributes(points: DataFrame, n: int) -> DataFrame:
     return points.withColumn("f", F.array(*[F.get("f", i) / (sd[i] or 1.0) for i in range(n)]))
 
 
-def _distance(centers: list[list[float]]) -> Column:
-    """The nearest centre's number, the lowest of equals."""
-    near = [F.struct(F.round(sum((F.get("f", i) - c) * (F.get("f", i) - c) for i, c in enumerate(m)), 12).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(centers)]
-    return (F.least(*near) if len(near) > 1 else near[0])["k"]
-
-
 def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool = True) -> DataFrame:
     """(id, label): Lloyd's rounds until nothing changes. Row i in the order of id starts in cluster i mod k."""
     data = normalized_attributes(points, n) if scaled else points
@@ -34,9 +28,15 @@ def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool =
     for _ in range(rounds):
         rows = now.groupBy("label").agg(*[F.avg(F.get("f", i)).alias(f"m{i}") for i in range(n)]).collect()
         by = {r["label"]: [r[f"m{i}"] for i in range(n)] for r in rows}
-        found = [by[j] for j in sorted(by)]
-        name = F.element_at(F.array(*[F.lit(j) for j in sorted(by)]), _distance(found) + 1)
-        new = saved(now.withColumn("next", name), "kmeans")
+        found, names = np.array([by[j] for j in sorted(by)], float), np.array(sorted(by), np.int32)
+
+        def nearest(batches, found=found, names=names):
+            for pdf in batches:
+                x = np.stack(pdf["f"].to_numpy()) if len(pdf) else np.zeros((0, found.shape[1]))
+                d = np.stack([((x - m) ** 2).sum(1) for m in found], 1)
+                yield pdf.assign(next=names[np.round(d, 12).argmin(1)] if len(pdf) else names[:0])
+
+        new = saved(now.mapInPandas(nearest, now.schema.simpleString().removeprefix("struct<")[:-1] + ",next:int"), "kmeans")
         moved = new.where("next <> label").count()
         now = new.drop("label").withColumnRenamed("next", "label").select(now.columns)
         if not moved:

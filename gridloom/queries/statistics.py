@@ -220,24 +220,26 @@ def normalized_attributes(spark, sf_dir):
     return n.select("id", *[F.round(F.get("f", i), 6).alias(f"f{i + 1}") for i in range(4)])
 
 
-def _lloyd(rounds: int, k: int) -> str:
-    """Rounds of Lloyd's algorithm as CTEs l0 .. l<rounds> of (id, label)."""
-    n = range(1, 5)
+def _lloyd(rounds: int, k: int, width: int) -> str:
+    """Rounds of Lloyd's algorithm over vectors of width elements as CTEs l0 .. l<rounds> of (id, label)."""
+    n = range(1, width + 1)
     out = [
-        "p AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS f FROM embeddings), sd AS (SELECT " + ", ".join(f"stddev_pop(f[{i}]) AS s{i}" for i in n) + " FROM p)",
+        "p AS (SELECT vec_id AS id, list_transform(embedding[1:" + str(width) + "], lambda x: x::DOUBLE) AS f FROM embeddings), sd AS (SELECT " + ", ".join(f"stddev_pop(f[{i}]) AS s{i}" for i in n) + " FROM p)",
         "q AS (SELECT id, " + ", ".join(f"f[{i}] / s{i} AS f{i}" for i in n) + " FROM p, sd)",
         f"l0 AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) % {k} AS label FROM q)",
     ]
     for r in range(rounds):
         out.append(f"c{r} AS (SELECT label, " + ", ".join(f"avg(f{i}) AS m{i}" for i in n) + f" FROM q JOIN l{r} USING (id) GROUP BY label)")
         d = " + ".join(f"(f{i} - m{i}) * (f{i} - m{i})" for i in n)
-        out.append(f"l{r + 1} AS (SELECT id, label FROM (SELECT q.id, c{r}.label, row_number() OVER (PARTITION BY q.id ORDER BY round({d}, 12), c{r}.label) AS o FROM q, c{r}) WHERE o = 1)")
+        out.append(f"l{r + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT q.id, c{r}.label, row_number() OVER (PARTITION BY q.id ORDER BY round({d}, 12), c{r}.label) AS o FROM q, c{r}) WHERE o = 1)")
     return ", ".join(out)
 
 
-@REG("ml_k_means", f"WITH {_lloyd(4, 4)} SELECT id, CAST(label AS INT) AS label FROM l4")
+@REG("ml_k_means", f"WITH {_lloyd(40, 4, 64)} SELECT id, CAST(label AS INT) AS label FROM l40")
 def k_means(spark, sf_dir):
-    return ml.k_means(_points(spark, sf_dir), 4, 4, rounds=4)
+    """Whole vectors, until no label changes; the SQL's further rounds change nothing."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    return ml.k_means(rows, 4, 64)
 
 
 @REG("ml_expectation_maximization")
