@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, tune
 from .components import components
-from .simhash import fingerprint, fingerprint_links
+from .simhash import fingerprint_batch, fingerprint_links
 from .sstable import encoder
 
 CAPACITY, PER_SOURCE, PACK_TOKENS = 2048, 4, 2_000_000
@@ -151,7 +151,7 @@ def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             n = e.count(texts)
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            fps = fingerprint_batch(texts).view(np.int64)
             same = [xxhash.xxh128_digest(" ".join(t.lower().split()).encode()) for t in texts]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fps), pa.array(same, pa.binary())], ["doc_id", "source", "n", "fp", "same"])
 

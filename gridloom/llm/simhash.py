@@ -26,6 +26,12 @@ from .components import components
 
 WIDTHS, RADIUS = (22, 21, 21), 4
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: LOWER, with each white space as a blank.
+PLAIN = bytes(32 if c in b"\t\n\v\f\r" else LOWER[c] for c in range(256))
+#: Bytes that are hashed at once, and the words that a sum of sixteen bits can hold.
+PORTION, MOST_WORDS = 1 << 20, 65_535
+#: XXH64's primes.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Bits of each byte value, least significant first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -48,6 +54,123 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def _rotate(x: np.ndarray, r: int) -> np.ndarray:
+    high = x >> np.uint64(64 - r)
+    x <<= np.uint64(r)
+    x |= high
+    return x
+
+
+def _lane(x: np.ndarray, before: np.ndarray | np.uint64 = np.uint64(0)) -> np.ndarray:
+    out = x * P2
+    out += before
+    _rotate(out, 31)
+    out *= P1
+    return out
+
+
+def xxh64_at(eight: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the size bytes from each place in at on; eight has, for each place, the eight bytes from there on as a number."""
+
+    def whole(*parts: int) -> np.uint64:
+        return np.uint64(sum(map(int, parts)) % (1 << 64))
+
+    if size < 32:
+        h = np.full(len(at), whole(seed, P5, size))
+    else:
+        lanes = [whole(seed, P1, P2), whole(seed, P2), whole(seed), whole(seed, -int(P1))]
+        for _ in range(size // 32):
+            for k in range(4):
+                lanes[k] = _lane(eight[at], lanes[k])
+                at = at + 8
+        h = sum(_rotate(x.copy(), r) for x, r in zip(lanes, (1, 7, 12, 18), strict=True))
+        for x in lanes:
+            h ^= _lane(x)
+            h *= P1
+            h += P4
+        h += np.uint64(size)
+    for _ in range(size % 32 // 8):
+        h ^= _lane(eight[at])
+        _rotate(h, 27)
+        h *= P1
+        h += P4
+        at = at + 8
+    if left := size % 8:
+        rest = eight[at]
+        if left >= 4:
+            h ^= (rest & np.uint64(0xFFFFFFFF)) * P1
+            _rotate(h, 23)
+            h *= P2
+            h += P3
+            rest >>= np.uint64(32)
+        for _ in range(left % 4):
+            h ^= (rest & np.uint64(0xFF)) * P5
+            _rotate(h, 11)
+            h *= P1
+            rest >>= np.uint64(8)
+    h ^= h >> np.uint64(33)
+    h *= P2
+    h ^= h >> np.uint64(29)
+    h *= P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _portion(lines: list[bytes], n_words: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Fingerprints of lines of n_words words with one blank between: shingles of equal length are hashed together."""
+    raw = np.frombuffer(b" ".join(lines) + b" " + bytes(8), np.uint8)
+    blank = np.flatnonzero(raw == 32)
+    eight = np.ndarray(len(raw) - 8, "<u8", raw, strides=(1,)).astype(np.uint64)
+    n = np.maximum(n_words - size + 1, 1)
+    at = np.cumsum(n) - n
+    word = np.arange(n.sum()) + np.repeat(np.cumsum(n_words) - n_words - at, n)
+    start = np.where(word > 0, blank[word - 1] + 1, 0)
+    length = blank[word + np.repeat(np.minimum(size, n_words) - 1, n)] - start
+    order = np.argsort(length.astype(np.uint16) if length.max() < 1 << 16 else length, kind="stable")
+    start, length = start[order], length[order]
+    ends = [*(np.flatnonzero(np.diff(length)) + 1).tolist(), len(start)]
+    h = np.empty(len(start), np.uint64)
+    h[order] = np.concatenate([xxh64_at(eight, start[a:b], int(length[a]), seed) for a, b in zip([0, *ends], ends, strict=False)])
+    out = np.zeros(len(lines), np.uint64)
+    for k in range(16):  # bits k, k + 16, k + 32 and k + 48, each counted in sixteen bits
+        ones = np.add.reduceat(h >> np.uint64(k) & np.uint64(0x0001000100010001), at)
+        for j in range(k, 64, 16):
+            out |= (2 * (ones >> np.uint64(j - k) & np.uint64(0xFFFF)).astype(np.int64) > n).astype(np.uint64) << np.uint64(j)
+    return out
+
+
+def fingerprint_batch(texts: list[str | None], size: int = 4, seed: int = 42) -> np.ndarray:
+    """fingerprint() of each text, of many texts at once; those too long for it go one by one."""
+    out = np.zeros(len(texts), np.uint64)
+    rows, lines, counts, total = [], [], [], 0
+
+    def flush() -> None:
+        if rows:
+            out[rows] = _portion(lines, np.array(counts), size, seed)
+            for x in (rows, lines, counts):
+                x.clear()
+
+    for k, t in enumerate(texts):
+        line = (t or "").encode().translate(PLAIN).strip(b" ")
+        if b"  " in line:
+            line = b" ".join(line.split())
+        n = line.count(b" ") + 1
+        if not line:
+            continue
+        if len(line) > PORTION or n > MOST_WORDS:
+            out[k] = fingerprint(t, size, seed)
+            continue
+        if total + len(line) > PORTION:
+            flush()
+            total = 0
+        rows.append(k)
+        lines.append(line)
+        counts.append(n)
+        total += len(line)
+    flush()
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp) and the extra columns of docs: fp is the fingerprint as a signed long."""
 

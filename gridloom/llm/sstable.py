@@ -43,6 +43,10 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQIBx")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts without two white spaces in a row, where a match of white space needs no look at what follows it.
+BYTE_LEVEL_APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Latin-1, with each white space as a blank.
+BLANKS = bytes(32 if c in b"\t\n\v\f\r\x85\xa0" else c for c in range(256))
 #: Pieces that a worker keeps with their ids; beyond it new ones aren't kept.
 MAX_PIECES = 600_000
 
@@ -255,7 +259,8 @@ class Encoder:
 
 
     def _ranked(self, spec: dict):
-        """The same BPE with tokens ranked by their merges, for counts alone; None where it isn't sure to give the library's.
+        """The same BPE with tokens ranked by their merges, for counts alone: for texts without two white spaces in a row, and
+        for any; None where it isn't sure to give the library's.
 
         It joins what makes the token of lowest rank, whichever two tokens that is made of, where the library joins the two
         its merge names. Inside what becomes a token both join alike until two neighbours are left. So they agree
@@ -272,7 +277,7 @@ class Encoder:
         if any([x.id for x in self.model.tokenize(t)] != [vocab[t]] for t in tokens):
             return None
         ranks = {b"".join(raw[c] for c in t): k for k, t in enumerate(tokens)}
-        return tiktoken.Encoding("counts", pat_str=BYTE_LEVEL.pattern, mergeable_ranks=ranks, special_tokens={})
+        return [tiktoken.Encoding("counts", pat_str=p, mergeable_ranks=ranks, special_tokens={"<|": len(ranks)}) for p in (BYTE_LEVEL_APART, BYTE_LEVEL.pattern)]
 
     def count(self, texts: list[str]) -> list[int]:
         """How many ids each text has. Texts of Latin-1 letters, whose classes no version of Unicode changes, go the ranked way."""
@@ -280,21 +285,21 @@ class Encoder:
             self.ranked = self._ranked(self.spec)
         out, left = [0] * len(texts), []
         for k, t in enumerate(texts):
-            if self.ranked is None or "<|" in t or not _latin(t):
+            if self.ranked is None or "<|" in t or (raw := _latin(t)) is None:
                 left.append(k)
             else:
-                out[k] = len(self.ranked.encode_ordinary(t))
+                apart, other = self.ranked
+                out[k] = len((other if b"  " in raw.translate(BLANKS) else apart).encode_to_numpy(t, disallowed_special=()))
         for k, e in zip(left, self.tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False), strict=True):
             out[k] = len(e)
         return out
 
 
-def _latin(text: str) -> bool:
+def _latin(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 @cache

@@ -163,6 +163,20 @@ def fp_by_hand(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs))
 
 
+def test_fingerprints_at_once_are_the_single_ones(monkeypatch):
+    r = random.Random(12)
+    texts = ["".join(r.choice("aB É\n\t\x0b\x1c漢 ") for _ in range(r.randint(0, 300))) for _ in range(300)]
+    texts += [None, "", " \n", "a", "a b", "  A  B c\td\re  ", "\xa0 \x85", *(" ".join("w" * r.randint(1, 70) for _ in range(r.randint(1, 80))) for _ in range(100))]
+    want = [fp_by_hand(t) for t in texts]
+    assert simhash.fingerprint_batch(texts).tolist() == want and simhash.fingerprint_batch([]).tolist() == []
+    big = ["x y " * 40_000, "q" * (1 << 20) + " r", "k" * 70_000 + " b c d e", "a b c " * 3_000]
+    assert simhash.fingerprint_batch(big).tolist() == [simhash.fingerprint(t) for t in big]
+    for size, seed in ((1, 42), (9, 0), (4, (1 << 64) - 1)):
+        assert simhash.fingerprint_batch(texts, size, seed).tolist() == [simhash.fingerprint(t, size, seed) for t in texts]
+    monkeypatch.setattr(simhash, "PORTION", 200)
+    assert simhash.fingerprint_batch(texts).tolist() == want
+
+
 def test_near_duplicates_by_hand(spark, none):
     r = random.Random(2)
     base = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randint(0, 99)) for _ in range(300)) for _ in range(6)]

@@ -92,6 +92,17 @@ def test_counts_match_the_library_on_words(bytes_, spark):
     assert e._ranked(spec) is None and sstable.Encoder(public_tokenizers.path("word_bpe_49k.json"))._ranked(spec) is None
 
 
+def test_counts_with_and_without_neighbouring_blanks(bytes_):
+    e = sstable.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    blanks = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\x1c", "\x1f", "\xad"]
+    texts = [f"{a}{x}{b}{y}{c}" for x in blanks for y in ["", *blanks] for a in ("", "a", "7", "!", "'s") for b in ("", "é", "'ll") for c in ("", "zone", ".")]
+    assert e.count(texts) == [len(x.ids) for x in bytes_.encode_batch(texts, add_special_tokens=False)]
+    e.ranked[1] = None  # texts without two in a row don't need the pattern that looks ahead
+    assert e.count(["a b\nc\xa0d ", "é\x1c\x1f ñ", ""]) == [len(x.ids) for x in bytes_.encode_batch(["a b\nc\xa0d ", "é\x1c\x1f ñ", ""], add_special_tokens=False)]
+    with pytest.raises(AttributeError):
+        e.count(["a  b"])
+
+
 def test_shards_round_trip(odd, none, spark, bytes_, tmp_path):
     path = "file://" + str(tmp_path)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
