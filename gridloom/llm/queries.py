@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op6_decontamination
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .html_text import op9_html_text
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .media import op7_media_columns
@@ -13,6 +14,6 @@ from .sstable import op8_token_shards
 from .token_counts import op10_token_counts
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_quality_pu, op4_best_fit_packing, op5_line_dedup, op6_decontamination, op7_media_columns, op8_token_shards, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_quality_pu, op4_best_fit_packing, op5_line_dedup, op6_decontamination, op7_media_columns, op8_token_shards, op9_html_text, op10_token_counts, op11_fill_in_middle)}
 
-SQL = {"op5_line_dedup": OP5_SQL}
+SQL = {"op5_line_dedup": OP5_SQL, "op11_fill_in_middle": OP11_SQL}
