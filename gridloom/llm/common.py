@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,35 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def work(spark: SparkSession):
+    """A function like keep(), whose tables are removed at the end of the block: what is read from them has to be kept by then."""
+    made: list[str] = []
+
+    def put(df: DataFrame, what: str) -> DataFrame:
+        made.append(new_dir(spark, what))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    try:
+        yield put
+    finally:
+        for path in made:
+            drop_dir(spark, path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """At most n rows in an Arrow batch of the jobs that run inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
