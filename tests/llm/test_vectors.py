@@ -1,12 +1,13 @@
 """Exact operators on vectors: top-k by the threshold algorithm, whitening by digit-slice products."""
 
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 
-from gridloom.llm import top_k
+from gridloom.llm import top_k, whitening
 from gridloom.llm.top_k import OP12_SQL, Block, exact_top_k, op12_exact_top_k
 
 INF, NAN = float("inf"), float("nan")
@@ -97,3 +98,82 @@ def test_top_k_query(spark, sf, tmp_path):
     rows = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in ODD if v and all(c is not None and np.isfinite(c) for c in v)]
     asked = [n for n, (i, _) in enumerate(rows) if i is not None and i % 50 == 0]
     assert sorted((tuple(r) for r in op12_exact_top_k(spark, f"{tmp_path}/odd").collect()), key=str) == top_by_hand(rows, asked, 5)
+
+
+# whitening
+
+
+def whiten_by_hand(rows, components=4):
+    """rows: (id, whole numbers of one width): {(id, component): values}, in Fractions but for the eigenvectors."""
+    fit = sorted({tuple(x) for _, x in rows})
+    n, width = len(fit), len(fit[0])
+    s = [sum(x[j] for x in fit) for j in range(width)]
+    v = [[float(Fraction(sum((n * x[i] - s[i]) * (n * x[j] - s[j]) for x in fit), n**3)) for j in range(width)] for i in range(width)]
+    e, u = np.linalg.eigh(np.array(v))
+    e, u = e[::-1], u[:, ::-1]
+    out = []
+    for i, x in rows:
+        d = [n * a - b for a, b in zip(x, s, strict=True)]
+        for c in range(min(components, width)):
+            w = sum(float(Fraction(a, n)) * b for a, b in zip(d, u[:, c], strict=True)) / np.sqrt(e[c])
+            dev = sum(a * a for a in d)
+            out.append((i, c + 1, n, dev if dev < 1 << 63 else None, w, e[c] / sum(e)))
+    return out
+
+
+def whitened(spark, rows, **more):
+    df = spark.createDataFrame(rows, "vec_id long, x array<long>").repartition(3)
+    return [tuple(r) for r in whitening.whiten(df, **more).collect()]
+
+
+def same(got, want):
+    """Equal up to the sign of each component, which has to be one for all rows."""
+    key = lambda r: (str(r[0]), r[1], str(r[3]), abs(r[4]))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    for c in {w[1] for w in want}:
+        a, b = np.array([g[4] for g in got if g[1] == c]), np.array([w[4] for w in want if w[1] == c])
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-7
+    np.testing.assert_allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
+    assert len({g[6] for g in got}) == 1 and got[0][6] < 1e-6
+
+
+@pytest.mark.parametrize(("size", "mean"), [(1, 0), (100, 0), (100, 10**6), (10**4, 2**40), (2**61, 0)])
+def test_whitening_by_hand(spark, size, mean):
+    r = random.Random(size + mean)
+    rows = [(i, [mean + (j + 1) * r.randint(-size, size) for j in range(6 if size < 2**60 else 1)]) for i in range(60)]
+    rows += [rows[0], (7, rows[3][1]), (None, rows[5][1]), (100, rows[0][1])]
+    same(whitened(spark, rows), whiten_by_hand(rows))
+
+
+def test_products_are_exact():
+    r = random.Random(4)
+    for top in (1, 2**19, 2**20, 2**41, 2**63 - 1):
+        x = np.array([[r.choice((-top, top, r.randint(-top, top), -top - 1)) for _ in range(3)] for _ in range(50)], np.int64)
+        rows = x.astype(object)
+        assert (whitening.products(x) == rows.T @ rows).all()
+    many = np.full((3 * whitening.ROWS + 5, 2), 2**20 - 1, np.int64)
+    assert (whitening.products(many) == len(many) * (2**20 - 1) ** 2).all()
+    for v in (0, 1, -1, 2**32, -(2**32), 2**200 + 17, -(2**200) - 17):
+        d = whitening.digits(v)
+        assert sum(a << (32 * k) for k, a in enumerate(d)) == v and all(abs(a) <= 2**32 for a in d)
+
+
+def test_whitening_of_odd_tables(spark):
+    assert whitened(spark, [(1, [3, 4])] * 3) == [(1, c, 1, 0, None, None, None) for c in (1, 2)] * 3
+    got = whitened(spark, [(1, [0, 5]), (2, [2, 5]), (3, [4, 5]), (3, [4, 5])])
+    assert {r[1]: r[5] for r in got} == {1: 1.0, 2: 0.0} and all(r[4] is None for r in got if r[1] == 2)
+    assert sorted(round(abs(r[4]), 9) for r in got if r[1] == 1) == [0.0, *[round(1.5**0.5, 9)] * 3]
+    assert whitened(spark, [(1, []), (2, [])]) == []
+    ragged = [(1, [1]), (2, [1, 2]), (3, []), (4, [5, 1])]
+    full = [(i, x + [0] * (2 - len(x))) for i, x in ragged]
+    same(whitened(spark, ragged), whiten_by_hand(full))
+    assert spark.createDataFrame([], "vec_id long, x array<long>").count() == 0 == len(whitening.whiten(spark.createDataFrame([], "vec_id long, x array<long>")).collect())
+
+
+def test_whitening_query(spark, sf, tmp_path):
+    rows = [(r["vec_id"], [int(np.floor(256 * c)) for c in r["embedding"]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    same([tuple(r) for r in whitening.op13_embedding_whitening(spark, sf).collect()], whiten_by_hand(rows))
+    as_embeddings(spark, ODD).write.parquet(f"{tmp_path}/odd/embeddings.parquet")
+    kept = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in ODD if v and all(c is not None and np.isfinite(c) for c in v)]
+    same([tuple(r) for r in whitening.op13_embedding_whitening(spark, f"{tmp_path}/odd").collect()], whiten_by_hand(kept))
