@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import arrays, elementwise, extras, filters, geometry, more, morphology, resample, statistics, strings
+from .queries import arrays, displacement, elementwise, extras, filters, geometry, more, morphology, resample, statistics, strings
 
-MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more)
+MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more, displacement)
 
 
 def queries() -> dict:

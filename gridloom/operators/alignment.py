@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import AXES, Grid, from_arrays, to_arrays
+from ..layout import AXES, Grid
 from . import registration as R
+from .displacement import Search, search
+from .graph import saved
 from .histogram import normalize_otsu_median
 from .resample import compose_displacement, downsample_with_padding, resample_affine
 from .stats import pair_statistics
@@ -82,19 +84,11 @@ class Alignment:
         g = resample_affine(self.subject[k], self.template[k].shape, self.matrix, interpolation)
         return g if self.displacement is None else compose_displacement(g, self.displacement, interpolation)
 
-    def nonlinear(self, **options) -> None:
-        """Displacement of the first kind after the affine step; a pair of images is a task."""
-        moving, fixed = to_arrays(resample_affine(self.subject[0], self.template[0].shape, self.matrix)), to_arrays(self.template[0])
-        pairs = moving.select("img", F.col("data").alias("moving")).join(fixed.select("img", F.col("data").alias("fixed")), "img")
-        w, h, d = shape = self.template[0].shape
-        size = w * h * d
-        found = R.nonlinear(pairs, shape, **options)
-        parts = found.select("img", *[F.slice("data", k * size + 1, size).alias(f"d{a}") for k, a in enumerate("zyx")])
-        out = None
-        for a in AXES:
-            g = from_arrays(parts.select("img", F.col(f"d{a}").alias("data")), shape).df.select("img", *AXES, F.col("v").alias(f"d{a}"))
-            out = g if out is None else out.join(g, ["img", *AXES])
-        self.displacement = out
+    def nonlinear(self, options: Search | None = None) -> None:
+        """Displacement after the affine step, from all kinds together."""
+        moving = [resample_affine(s, t.shape, self.matrix) for s, t in zip(self.subject, self.template, strict=True)]
+        moving = [g.with_df(saved(g.df, "affine")) for g in moving]
+        self.displacement = search(self.template, moving, options)
 
     def correlations(self) -> list[float]:
         """Of each kind, over voxels where the template isn't 0."""

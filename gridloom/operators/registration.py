@@ -1,7 +1,6 @@
 """Registration: costs are aggregates over the resampled pair; the optimiser on the driver sees a number an evaluation.
 
-Affine search resamples by lookup joins. The displacement solver works on one pair of images at a time in numpy, a pair a
-task, as its hundreds of sweeps over neighbours would each be an exchange in a plan.
+Affine search resamples by lookup joins; displacement.py has the search for a displacement field.
 """
 
 from __future__ import annotations
@@ -212,112 +211,3 @@ def linear(fixed: Grid, moving: Grid, low, high, cost: str = "corr", rounds: int
     full = start.copy()
     full[free] = p
     return build(full), v
-
-
-#: The least share of its neighbours' mean that a displacement takes on in a round.
-SMOOTH_LEAST = 0.05
-
-
-def cdm(moving: np.ndarray, fixed: np.ndarray, rounds: int = 200, speed: float = 0.3, smooth: float = 0.5, start: np.ndarray | None = None) -> np.ndarray:
-    """Displacement [dim, ...] with moving(x + d) close to fixed(x): difference forces, a few Jacobi sweeps of Poisson's
-    equation, smoothing. When the cost stops falling, smoothing is halved, down to SMOOTH_LEAST, and then it ends. The
-    displacement of the least cost comes back."""
-    dim = fixed.ndim
-    grid = np.stack(np.meshgrid(*[np.arange(n) for n in fixed.shape], indexing="ij")).astype(float)
-    d, costs = np.zeros((dim, *fixed.shape)) if start is None else start, []
-    best, least = d, np.inf
-    for _ in range(rounds):
-        warped = sample_linear(moving, grid + d)
-        diff = warped - fixed
-        costs.append(float((diff * diff).mean()))
-        if costs[-1] < least:
-            best, least = d, costs[-1]
-        if len(costs) > 5 and np.polyfit(range(len(costs[-7:])), costs[-7:], 1)[0] > -1e-3 * costs[-1]:
-            if smooth <= SMOOTH_LEAST:
-                break
-            smooth, costs, d = max(SMOOTH_LEAST, smooth / 2), [], best
-            continue
-        force = np.stack([np.gradient(warped, axis=a) if n > 1 else np.zeros_like(warped) for a, n in enumerate(warped.shape)]) * -diff
-        u = poisson(force)
-        top = np.sqrt((u * u).sum(0)).max()
-        if top == 0:
-            break
-        d = smoothed(d + u * (speed / top), smooth)
-    return best
-
-
-def halved(x: np.ndarray) -> np.ndarray:
-    """Means of pairs along each axis, an odd end repeated; axes of one place stay."""
-    for a in range(x.ndim):
-        if x.shape[a] > 1:
-            if x.shape[a] % 2:
-                x = np.concatenate([x, np.take(x, [-1], a)], a)
-            x = (np.take(x, range(0, x.shape[a], 2), a) + np.take(x, range(1, x.shape[a], 2), a)) / 2
-    return x
-
-
-def cdm_levels(moving: np.ndarray, fixed: np.ndarray, rounds: int = 200, speed: float = 0.3, smooth: float = 0.5, least: int = 16) -> np.ndarray:
-    """cdm() from coarse to fine: images are halved while their longest axis has over 2 * least places, and each level starts
-    from the coarser one's displacement."""
-    levels = [(moving, fixed)]
-    while max(levels[-1][1].shape) > 2 * least:
-        levels.append(tuple(halved(x) for x in levels[-1]))
-    d = None
-    for k in range(len(levels) - 1, -1, -1):
-        m, f = levels[k]
-        if d is not None:
-            at = np.stack(np.meshgrid(*[np.arange(n) for n in f.shape], indexing="ij")).astype(float)
-            half = np.array([0.5 if n > 1 else 1.0 for n in f.shape]).reshape(-1, *[1] * f.ndim)
-            d = np.stack([sample_linear(c, at * half) for c in d]) / half
-        d = cdm(m, f, rounds, speed, smooth, d)
-    return d
-
-
-def poisson(force: np.ndarray, sweeps: int = 12) -> np.ndarray:
-    u = np.zeros_like(force)
-    for _ in range(sweeps):
-        u = (sum(np.roll(u, s, a) for a in range(1, u.ndim) for s in (1, -1)) + force) / (2 * (u.ndim - 1))
-    return u
-
-
-def smoothed(d: np.ndarray, s: float) -> np.ndarray:
-    """d * (1 - s) + s times the mean of the face neighbours, missing ones as 0."""
-    total = np.zeros_like(d)
-    for a in range(1, d.ndim):
-        n = d.shape[a]
-        if n > 1:
-            total += np.concatenate([np.take(d, range(1, n), a), np.zeros_like(np.take(d, [0], a))], a)
-            total += np.concatenate([np.zeros_like(np.take(d, [0], a)), np.take(d, range(n - 1), a)], a)
-    return d * (1 - s) + s / (2 * (d.ndim - 1)) * total
-
-
-def sample_linear(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Linear interpolation with the edge repeated."""
-    out = np.zeros(at.shape[1:])
-    base = np.floor(at).astype(int)
-    f = at - base
-    for k in range(1 << x.ndim):
-        w, pick = 1.0, []
-        for a in range(x.ndim):
-            b = k >> a & 1
-            w = w * (f[a] if b else 1 - f[a])
-            pick.append(np.clip(base[a] + b, 0, x.shape[a] - 1))
-        out += w * x[tuple(pick)]
-    return out
-
-
-def nonlinear(pairs: DataFrame, shape: tuple[int, int, int], **options) -> DataFrame:
-    """(img, data) displacement of each pair (img, moving ARRAY, fixed ARRAY), [dim, z, y, x] flattened."""
-    import pyarrow as pa
-
-    from .per_image import views
-
-    w, h, d = shape
-
-    def run(batches):
-        for b in batches:
-            for k, (m, f) in enumerate(zip(views(b.column(1)), views(b.column(2)), strict=True)):
-                out = cdm_levels(m.astype(float).reshape(d, h, w), f.astype(float).reshape(d, h, w), **options).ravel()
-                yield pa.record_batch([b.column(0).slice(k, 1), pa.array([out], pa.list_(pa.float64()))], ["img", "data"])
-
-    return pairs.select("img", "moving", "fixed").mapInArrow(run, "img long, data array<double>")

@@ -197,16 +197,6 @@ def test_shapes_and_small_matrices():
     assert np.linalg.eigvalsh(M.random_matrix(4, 1, True)).min() > 0 and np.abs(M.random_matrix(4, 1)).max() <= 1
 
 
-def test_displacement_by_levels():
-    y, x = np.mgrid[:48, :48].astype(float)
-    fixed, moving = (np.exp(-((x - a) ** 2 + (y - 24) ** 2) / 60)[None] for a in (20, 30))
-    d = R.cdm_levels(moving, fixed)
-    at = np.stack(np.meshgrid(*[np.arange(n) for n in fixed.shape], indexing="ij")).astype(float)
-    after = ((R.sample_linear(moving, at + d) - fixed) ** 2).mean()
-    assert after < 0.05 * ((moving - fixed) ** 2).mean() and np.abs(d[2]).max() > 8
-    assert R.halved(np.arange(5.0).reshape(1, 1, 5)).ravel().tolist() == [0.5, 2.5, 4.0]
-
-
 def test_points_between_spaces(spark, tmp_path):
     from gridloom.operators.alignment import Alignment
 

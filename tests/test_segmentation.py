@@ -10,6 +10,7 @@ from gridloom.operators import geometry as G
 from gridloom.operators import morphology as M
 from gridloom.operators import segmentation as S
 from gridloom.operators.alignment import Alignment, match_resolution
+from gridloom.operators.displacement import Search
 from gridloom.options import Options
 
 
@@ -68,7 +69,7 @@ def test_alignment(spark):
     cost = a.linear([0] * 6 + [1] * 3 + [0] * 3, [2, 0, 0, 0, 0, 0, 1, 1, 1, 0, 0, 0], rounds=1)
     # one column of the moved image comes from outside and is 0, so the cost stays above 0
     assert a.matrix[3] == pytest.approx(1.0) and cost < 1 - before**2 and a.correlations()[0] > before
-    a.nonlinear(rounds=3)
+    a.nonlinear(Search(rounds=3))
     assert a.moved().df.count() == fixed.size and a.correlations()[0] > before
     assert a.match_field_of_view()[0].df.where("v = 0").count() >= 14
     from dataclasses import replace
