@@ -44,41 +44,6 @@ def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool =
     return now.select("id", "label")
 
 
-def expectation_maximization(points: DataFrame, k: int, n: int, rounds: int = 100) -> DataFrame:
-    """(id, label): Gaussian mixture with full covariances. Contiguous blocks of id start as the clusters; ends when fewer than a twentieth move."""
-    total = points.count()
-    now = saved(dense_index(points, "id", "place").withColumn("label", F.least(F.floor(F.col("place") * k / F.lit(max(1, total))), F.lit(k - 1)).cast("int")).drop("place").withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double"))), "em")
-    for _ in range(rounds):
-        sums = [F.sum(F.get("r", j)).alias(f"n{j}") for j in range(k)]
-        sums += [F.sum(F.get("r", j) * F.get("f", i)).alias(f"s{j}_{i}") for j in range(k) for i in range(n)]
-        sums += [F.sum(F.get("r", j) * F.get("f", a) * F.get("f", b)).alias(f"c{j}_{a}_{b}") for j in range(k) for a in range(n) for b in range(a, n)]
-        s = now.agg(*sums).first()
-        prior, mean, cov = [], [], []
-        for j in range(k):
-            m = max(s[f"n{j}"] or 0.0, 1e-12)
-            mu = np.array([s[f"s{j}_{i}"] for i in range(n)]) / m
-            c = np.array([[s[f"c{j}_{min(a, b)}_{max(a, b)}"] for b in range(n)] for a in range(n)]) / m - np.outer(mu, mu)
-            prior.append(m / total)
-            mean.append(mu)
-            cov.append(c + np.eye(n) * 1e-9)
-
-        def step(batches, prior=prior, mean=mean, cov=cov):
-            inv = [np.linalg.inv(c) for c in cov]
-            logdet = [np.linalg.slogdet(c)[1] for c in cov]
-            for pdf in batches:
-                x = np.stack(pdf["f"].to_numpy()) if len(pdf) else np.zeros((0, n))
-                logp = np.stack([np.log(p) - 0.5 * (d + np.einsum("ij,jk,ik->i", x - m, v, x - m)) for p, m, v, d in zip(prior, mean, inv, logdet, strict=True)], 1)
-                e = np.exp(logp - logp.max(1, keepdims=True)) if len(x) else logp
-                yield pd.DataFrame({"id": pdf["id"], "f": pdf["f"], "old": pdf["label"], "label": (logp.argmax(1) if len(x) else []), "r": list(e / e.sum(1, keepdims=True)) if len(x) else []})
-
-        new = saved(now.select("id", "f", "label").mapInPandas(step, f"id {points.schema['id'].dataType.simpleString()}, f array<double>, old int, label int, r array<double>"), "em")
-        moved = new.where("old <> label").count()
-        now = new.drop("old").select("id", "f", "label", "r")
-        if moved <= total / 20:
-            break
-    return now.select("id", "label")
-
-
 def error_rate(rows: DataFrame, truth: str, predicted: str, continuous: bool = False) -> DataFrame:
     """Share of wrong labels, or the mean squared error."""
     e = (F.col(truth) - F.col(predicted)) * (F.col(truth) - F.col(predicted)) if continuous else (F.col(truth) != F.col(predicted)).cast("double")

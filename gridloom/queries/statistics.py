@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import PAIR_SQL, VOL_SQL, pair, table, vol
 from ..operators import histogram as H
-from ..operators import ml
+from ..operators import mixture, ml
 from ..operators import registration as R
 from ..operators import stats as S
 from ..plans.commands import command
@@ -244,7 +244,9 @@ def k_means(spark, sf_dir):
 
 @REG("ml_expectation_maximization")
 def em(spark, sf_dir):
-    return ml.expectation_maximization(_points(spark, sf_dir), 3, 4, rounds=6)
+    """Whole vectors, until the labels have settled."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    return mixture.expectation_maximization(rows, 3, 64)
 
 
 @REG("ml_error_rate", "SELECT avg(CASE WHEN quality <> toxic THEN 1.0::DOUBLE ELSE 0 END) AS error FROM labels")
