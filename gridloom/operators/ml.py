@@ -40,8 +40,8 @@ def k_means(points: DataFrame, k: int, n: int, rounds: int = 100, scaled: bool =
         moved = new.where("next <> label").count()
         now = new.drop("label").withColumnRenamed("next", "label").select(now.columns)
         if not moved:
-            break
-    return now.select("id", "label")
+            return now.select("id", "label")
+    raise RuntimeError(f"clusters didn't settle in {rounds} rounds")
 
 
 def error_rate(rows: DataFrame, truth: str, predicted: str, continuous: bool = False) -> DataFrame:
@@ -88,15 +88,17 @@ def learn_one_vs_rest(rows: DataFrame, learn, truth: str = "label") -> dict:
 
 
 def regress_one_vs_rest(rows: DataFrame, classes: list, score) -> DataFrame:
-    """value: the classes' mean, weighed by their score(class) columns; null where these add up to 0."""
-    total = sum((score(c) for c in classes[1:]), score(classes[0]))
-    return rows.withColumn("value", F.try_divide(sum((score(c) * float(c) for c in classes[1:]), score(classes[0]) * float(classes[0])), total))
+    """value: the classes weighed by their score(class) columns, over the sum of the classes; null where that is 0."""
+    weighed = sum((score(c) * float(c) for c in classes[1:]), score(classes[0]) * float(classes[0]))
+    return rows.withColumn("value", F.try_divide(weighed, F.lit(float(sum(classes)))))
 
 
 def one_vs_rest(rows: DataFrame, classes: list, score) -> DataFrame:
-    """predicted: the class whose score(class) column is largest, the first of equals."""
-    s = [F.struct(score(c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(classes)]
-    return rows.withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in classes]), 1 - F.greatest(*s)["i"]))
+    """predicted: the class whose score(class) column is largest, the first of equals; where no score is above 0 it is 0 (null if
+    classes aren't numbers)."""
+    s = [F.struct(F.coalesce(score(c), F.lit(0.0)).cast("double").alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(classes)]
+    best = F.element_at(F.array(*[F.lit(c) for c in classes]), 1 - F.greatest(*s)["i"])
+    return rows.withColumn("predicted", F.when(F.greatest(*s)["s"] > 0, best).otherwise(F.lit(0 if isinstance(classes[0], int | float) else None)))
 
 
 def refine_label(labels: Grid, ref: Grid, rounds: int = 5, weight: float = 12.0) -> Grid:

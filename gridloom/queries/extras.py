@@ -115,6 +115,22 @@ for _kind in ("nifti", "nrrd", "mat4"):
     REG.add(f"src_{_kind}", _written(_kind), f"WITH {VOL_SQL} SELECT img, idx, v FROM vol")
 
 
+@REG("src_overwrite", f"WITH {VOL_SQL} SELECT img, idx, v FROM vol")
+def overwrite(spark, sf_dir):
+    """Other values, then volumes 0 and 1 in their place, then the rest beside them."""
+    images.register(spark)
+    path = shared_path(spark, "images-overwrite")
+    g = vol(spark, sf_dir)
+    numbers = lambda c: c.cast("double")
+    fixed = [F.array(*[F.lit(n) for n in g.shape]).alias("shape"), F.array(*[F.lit(1.0)] * 3).alias("vs"), F.array(*[F.lit(x) for x in images.EYE]).alias("affine")]
+    rows = to_arrays(g).select(F.lit(None).cast("string").alias("path"), F.concat(F.lit("v"), "img").alias("name"), F.col("img").cast("int").alias("volume"), *fixed, F.transform("data", numbers).alias("data"))
+    rows.withColumn("data", F.transform("data", lambda c: c + 1)).write.format("nifti").mode("append").save(path)
+    rows.where("volume < 2").write.format("nifti").mode("overwrite").save(path)
+    rows.where("volume >= 2").write.format("nifti").mode("append").save(path)
+    back = spark.read.format("nifti").load(path).select(F.regexp_extract("path", r"v(\d)-", 1).cast("long").alias("img"), "data")
+    return from_arrays(back, g.shape).df.select("img", "idx", F.col("v").cast("long").alias("v"))
+
+
 @REG("src_bmp", f"WITH {IMG_SQL} SELECT idx, v FROM pic")
 def bmp(spark, sf_dir):
     images.register(spark)

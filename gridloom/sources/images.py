@@ -6,6 +6,8 @@ opens whatever Spark opens. Both decode a file a row in the executors; columns t
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -63,8 +65,8 @@ def read_images(spark: SparkSession, kind: str, path: str, names: list[str] | No
 
 
 @dataclass
-class File(InputPartition):
-    path: str
+class Files(InputPartition):
+    paths: tuple
 
 
 @dataclass
@@ -72,10 +74,48 @@ class Written(WriterCommitMessage):
     files: list = field(default_factory=list)
 
 
+#: Bytes of files that one task reads, and what opening a file counts as.
+TASK_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
+#: Files that a job has written carry its name; they count once a manifest of that job names them.
+OWN = re.compile(r"-job[0-9a-f]{12}-[0-9a-f]{8}\.\w+$")
+MANIFEST = "_images-"
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+@dataclass
+class Folder:
+    """What counts of a folder of images.
+
+    Each job ends with a manifest: the files that it wrote and, if it overwrites, those that count no longer. A file counts if
+    a manifest names it, or if no job wrote it (files put there by hand), and if no manifest takes it out. So a job's files
+    appear at once, an overwrite that fails before its manifest leaves the old files as they are, and what a failed or
+    repeated task leaves behind never counts.
+    """
+
+    manifests: list[str]
+    all: dict[str, int]  # file and size
+    counts: list[str]
+
+    @classmethod
+    def of(cls, fs: pafs.FileSystem, root: str) -> Folder:
+        info = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+        found = {x.path: x.size for x in sorted(info, key=lambda x: x.path) if x.type == pafs.FileType.File}
+        name = lambda p: p.rsplit("/", 1)[1]
+        manifests = [p for p in found if name(p).startswith(MANIFEST)]
+        wrote, gone = set(), set()
+        for p in manifests:
+            with fs.open_input_stream(p, compression=None) as f:
+                m = json.loads(f.read())
+            wrote.update(m["files"])
+            gone.update(m["removed"])
+        images = {p: n for p, n in found.items() if not name(p).startswith(("_", "."))}
+        inner = lambda p: p[len(root.rstrip("/")) + 1 :]
+        return cls(manifests, images, [p for p in images if inner(p) not in gone and (inner(p) in wrote or not OWN.search(p))])
+
+
 class Reader(DataSourceReader):
     def __init__(self, kind: str, path: str):
         self.kind, self.path, self.names, self.volume = kind, path, None, None
@@ -91,26 +131,61 @@ class Reader(DataSourceReader):
                 self.volume = f.value
             yield f
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
+        """Files dealt into tasks by their bytes, in the order of their names."""
         fs, p = _open(self.path)
-        info = fs.get_file_info(p)
-        if info.type == pafs.FileType.File:
-            return [File(p)]
-        return [File(x.path) for x in sorted(fs.get_file_info(pafs.FileSelector(p, recursive=True)), key=lambda x: x.path) if x.type == pafs.FileType.File and not x.base_name.startswith(("_", "."))]
-
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+        if fs.get_file_info(p).type == pafs.FileType.File:
+            return [Files((p,))]
+        folder = Folder.of(fs, p)
+        out, held, size = [], [], 0
+        for f in folder.counts:
+            if held and size + folder.all[f] > TASK_BYTES:
+                out.append(Files(tuple(held)))
+                held, size = [], 0
+            held.append(f)
+            size += folder.all[f] + OPEN_BYTES
+        return [*out, Files(tuple(held))]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
-        with fs.open_input_stream(partition.path, compression=None) as f:
-            rows = decode(self.kind, partition.path, f.read(), self.names, self.volume)
-        if rows:
-            yield batch(rows)
+        for path in partition.paths:
+            with fs.open_input_stream(path, compression=None) as f:
+                rows = decode(self.kind, path, f.read(), self.names, self.volume)
+            if rows:
+                yield batch(rows)
+
+
+def encode(kind: str, r: dict) -> tuple[bytes, str]:
+    """A row of SCHEMA as a file: its bytes and ending."""
+    data, shape = np.asarray(r["data"], float), r["shape"]
+    if kind == "nifti":
+        return formats.write_nifti(data, shape, r["vs"], r["affine"]), "nii"
+    if kind == "nrrd":
+        return formats.write_nrrd(data, shape, affine=r["affine"]), "nrrd"
+    if kind == "bmp":
+        return formats.write_bmp(data, shape[0], shape[1]), "bmp"
+    if kind == "mat4":
+        return formats.write_mat4([{"name": r["name"] or "image", "rows": shape[0], "cols": shape[1] * shape[2], "data": data}]), "mat"
+    if kind == "dicom":
+        axes = np.array(r["affine"], float).reshape(4, 4)
+        text = lambda v: "\\".join(f"{x:.9g}" for x in v)
+        unit = axes[:3, :2] / np.maximum(np.linalg.norm(axes[:3, :2], axis=0), 1e-12)
+        tags = {
+            0x00200013: ("IS", str(r["volume"])),
+            0x00280030: ("DS", text([r["vs"][1], r["vs"][0]])),
+            0x00180050: ("DS", text([r["vs"][2]])),
+            0x00200032: ("DS", text(axes[:3, 3])),
+            0x00200037: ("DS", text(unit.T.ravel())),
+        }
+        return formats.write_dicom(data, shape[0], shape[1], tags), "dcm"
+    raise ValueError(f"{kind} can't be written")
 
 
 class Writer(DataSourceArrowWriter):
-    """A file a row; files get their final names when the job commits."""
+    """A file a row. Files don't count before the job's manifest is there; see Folder."""
 
-    def __init__(self, kind: str, path: str):
-        self.kind, self.path = kind, path
+    def __init__(self, kind: str, path: str, overwrite: bool = False):
+        self.kind, self.path, self.overwrite, self.job = kind, path, overwrite, uuid.uuid4().hex[:12]
 
     def write(self, iterator) -> Written:
         fs, root = _open(self.path)
@@ -118,42 +193,36 @@ class Writer(DataSourceArrowWriter):
         done = Written()
         for b in iterator:
             for r in b.to_pylist():
-                data, shape = np.asarray(r["data"], float), r["shape"]
-                if self.kind == "nifti":
-                    raw, ext = formats.write_nifti(data, shape, r["vs"], r["affine"]), "nii"
-                elif self.kind == "nrrd":
-                    raw, ext = formats.write_nrrd(data, shape, affine=r["affine"]), "nrrd"
-                elif self.kind == "bmp":
-                    raw, ext = formats.write_bmp(data, shape[0], shape[1]), "bmp"
-                elif self.kind == "dicom":
-                    axes = np.array(r["affine"], float).reshape(4, 4)
-                    text = lambda v: "\\".join(f"{x:.9g}" for x in v)
-                    unit = axes[:3, :2] / np.maximum(np.linalg.norm(axes[:3, :2], axis=0), 1e-12)
-                    tags = {0x00200013: ("IS", str(r["volume"])), 0x00280030: ("DS", text([r["vs"][1], r["vs"][0]])), 0x00180050: ("DS", text([r["vs"][2]])), 0x00200032: ("DS", text(axes[:3, 3])), 0x00200037: ("DS", text(unit.T.ravel()))}
-                    raw, ext = formats.write_dicom(data, shape[0], shape[1], tags), "dcm"
-                elif self.kind == "mat4":
-                    raw, ext = formats.write_mat4([{"name": r["name"] or "image", "rows": shape[0], "cols": shape[1] * shape[2], "data": data}]), "mat"
-                else:
-                    raise ValueError(f"{self.kind} can't be written")
-                stem = f"{r['name'] or 'image'}-{r['volume']}-{uuid.uuid4().hex[:8]}"
-                with fs.open_output_stream(f"{root}/.{stem}.tmp", compression=None) as f:
+                raw, ending = encode(self.kind, r)
+                name = f"{r['name'] or 'image'}-{r['volume']}-job{self.job}-{uuid.uuid4().hex[:8]}.{ending}"
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                     f.write(raw)
-                done.files.append(f"{stem}.{ext}")
+                done.files.append(name)
         return done
 
-    def _each(self, messages):
-        fs, root = _open(self.path)
-        for m in messages:
-            for name in m.files if m else ():
-                yield fs, f"{root}/.{name.rsplit('.', 1)[0]}.tmp", f"{root}/{name}"
+    def _own(self, folder: Folder) -> list[str]:
+        return [p for p in folder.all if f"-job{self.job}-" in p]
 
     def commit(self, messages) -> None:
-        for fs, old, new in self._each(messages):
-            fs.move(old, new)
+        """The manifest, then what it has made useless: files taken out, older manifests, files of failed attempts."""
+        fs, root = _open(self.path)
+        fs.create_dir(root)
+        folder, base = Folder.of(fs, root), root.rstrip("/")
+        files = sorted(name for m in messages if m for name in m.files)
+        removed = folder.counts if self.overwrite else []
+        manifest = {"files": files, "removed": [p[len(base) + 1 :] for p in removed]}
+        draft = f"{base}/.{self.job}.tmp"
+        with fs.open_output_stream(draft, compression=None) as f:
+            f.write(json.dumps(manifest).encode())
+        fs.move(draft, f"{base}/{MANIFEST}{self.job}.json")
+        kept = {f"{base}/{name}" for name in files}
+        for p in [*removed, *(p for p in self._own(folder) if p not in kept), *(folder.manifests if self.overwrite else [])]:
+            fs.delete_file(p)
 
     def abort(self, messages) -> None:
-        for fs, old, _ in self._each(messages):
-            fs.delete_file(old)
+        fs, root = _open(self.path)
+        for p in self._own(Folder.of(fs, root)):
+            fs.delete_file(p)
 
 
 class ImageSource(DataSource):
@@ -170,7 +239,7 @@ class ImageSource(DataSource):
         return Reader(self.KIND, self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.KIND, self.options["path"])
+        return Writer(self.KIND, self.options["path"], overwrite)
 
 
 class Nifti(ImageSource):

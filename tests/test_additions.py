@@ -184,8 +184,11 @@ def test_learners(spark):
     models = ml.learn_one_vs_rest(rows, learn)
     score = lambda c: 1.0 / (1.0 + F.abs(F.col("x") - models[c]))
     assert ml.one_vs_rest(rows, [0, 1, 2], score).where("predicted = label").count() == 90
-    mean = ml.regress_one_vs_rest(rows.where("id = 2"), [0, 1, 2], score).first()["value"]
-    assert 1.0 < mean < 2.0
+    x = 2.0 + 0.02
+    weighed = ml.regress_one_vs_rest(rows.where("id = 2"), [0, 1, 2], score).first()["value"]
+    assert np.isclose(weighed, sum(c / (1 + abs(x - models[c])) for c in (1, 2)) / 3)
+    assert ml.regress_one_vs_rest(rows, [0], score).first()["value"] is None
+    assert {r["predicted"] for r in ml.one_vs_rest(rows, [1, 2], lambda c: -F.col("x")).collect()} == {0}
     nearest = lambda model, r: r.withColumn("predicted", (F.abs(F.col("x") - model) < 0.5).cast("int"))
     assert ml.repeated_validation(rows.withColumn("label", (F.col("label") == 1).cast("int")), learn, nearest, runs=2) == 1.0
 
