@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,14 +12,14 @@ from ..fixtures import IMG_SQL, VOL_SQL, pic, table, vol
 from ..functions import color, dicom
 from ..functions import matrix as M
 from ..functions import vectors as V
-from ..layout import from_arrays
+from ..layout import from_arrays, to_arrays
 from ..operators import morphology as O
 from ..operators import resample as R
 from ..operators import segmentation as S
 from ..operators import stats, views
 from ..operators import stencil as W
-from ..operators.graph import shared_path
-from ..sources import formats, images
+from ..operators.graph import saved, shared_path
+from ..sources import formats, gzip_ranges, images
 from .arrays import E_SQL, _parts
 from .morphology import CC_SQL, waves_sql
 from .registry import Registry
@@ -415,8 +417,26 @@ def save(spark, sf_dir):
     path = shared_path(spark, "images-saved")
     g = run(vol(spark, sf_dir), f"flip_x+save:{path}+flip_x")
     back = spark.read.format("nifti").load(path).select(F.regexp_extract("path", r"image-(\d+)-", 1).cast("long").alias("img"), "data")
-    saved = from_arrays(back, g.shape).df.select("img", ((F.col("z") * 12 + F.col("y")) * 16 + (15 - F.col("x"))).cast("long").alias("idx"), F.col("v").cast("long").alias("v"))
-    return saved.join(g.df.select("img", "idx", F.col("v").alias("kept")), ["img", "idx"]).where("v = kept").select("img", "idx", "v")
+    kept = from_arrays(back, g.shape).df.select("img", ((F.col("z") * 12 + F.col("y")) * 16 + (15 - F.col("x"))).cast("long").alias("idx"), F.col("v").cast("long").alias("v"))
+    return kept.join(g.df.select("img", "idx", F.col("v").alias("kept")), ["img", "idx"]).where("v = kept").select("img", "idx", "v")
+
+
+@REG("src_gzip_planes", f"WITH {VOL_SQL} SELECT img, z, CAST(sum(v * (1 + x + 16 * y)) AS BIGINT) AS total FROM vol WHERE z BETWEEN 2 AND 5 GROUP BY img, z")
+def gzip_planes(spark, sf_dir):
+    """Volumes as gzipped files, an access point each 2 KB, and four planes of each read by these."""
+    path = shared_path(spark, "gzip-planes")
+    rows = to_arrays(vol(spark, sf_dir)).select("img", F.transform("data", lambda v: v.cast("double")).alias("data"))
+
+    def run(batches):
+        for b in batches:
+            for img, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                images.put(f"{path}/v{img}.nii.gz", gzip.compress(formats.write_nifti(np.array(data), (16, 12, 7))))
+                yield pa.RecordBatch.from_pydict({"img": pa.array([img], pa.int64())})
+
+    saved(rows.mapInArrow(run, "img long"), "gzip-written")
+    index = saved(gzip_ranges.gzip_index(spark, path, 2048), "gzip-index")
+    planes = gzip_ranges.read_planes(index, z=(2, 6)).select(F.regexp_extract("path", r"v(\d+)\.nii", 1).cast("long").alias("img"), F.col("z"), F.posexplode("data").alias("i", "v"))
+    return planes.groupBy("img", "z").agg(F.sum(F.col("v").cast("long") * (1 + F.col("i"))).alias("total"))
 
 
 @REG("src_read_text_file", "SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS pos, p_name AS line FROM part")

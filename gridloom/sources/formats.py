@@ -31,9 +31,8 @@ def quaternion_affine(b: float, c: float, d: float, q: list[float], pix: list[fl
     return [*r[0], q[0], *r[1], q[1], *r[2], q[2], 0.0, 0.0, 0.0, 1.0]
 
 
-def read_nifti(raw: bytes, volume: int | None = None) -> list[dict]:
-    """One dict for each 3D volume (or the one asked for), values scaled by scl_slope and scl_inter."""
-    raw = _gunzip(raw)
+def nifti_header(raw: bytes) -> dict:
+    """What the first 540 bytes of a NIfTI-1 or NIfTI-2 file say (352 of the former will do)."""
     for end in "<>":
         size = struct.unpack_from(end + "i", raw)[0]
         if size in (348, 540):
@@ -68,14 +67,36 @@ def read_nifti(raw: bytes, volume: int | None = None) -> list[dict]:
         affine = quaternion_affine(*quat[:3], list(quat[3:]), list(pix[1:4]), pix[0])
     else:
         affine = [pix[1] or 1, 0, 0, 0, 0, pix[2] or 1, 0, 0, 0, 0, pix[3] or 1, 0, 0, 0, 0, 1]
-    n = shape[0] * shape[1] * shape[2]
-    dtype = np.dtype(end + NIFTI_TYPES[kind])
+    return {
+        "shape": shape[:3],
+        "volumes": shape[3],
+        "vs": [float(p) for p in pix[1:4]],
+        "affine": [float(a) for a in affine],
+        "is_mni": sform == 4,
+        "dtype": NIFTI_TYPES[kind],
+        "endian": end,
+        "offset": int(offset or (352 if size == 348 else 544)),
+        "slope": float(slope),
+        "inter": float(inter),
+        "descrip": descrip.split(b"\0")[0].decode("latin-1"),
+    }
+
+
+def scaled(v: np.ndarray, slope: float, inter: float) -> np.ndarray:
+    """Stored values as doubles by scl_slope and scl_inter; a slope of 0 means none."""
+    v = v.astype(float)
+    return v * slope + inter if slope not in (0, 1) or (slope == 1 and inter != 0) else v
+
+
+def read_nifti(raw: bytes, volume: int | None = None) -> list[dict]:
+    """One dict for each 3D volume (or the one asked for), values scaled by scl_slope and scl_inter."""
+    raw = _gunzip(raw)
+    h = nifti_header(raw)
+    n, dtype = h["shape"][0] * h["shape"][1] * h["shape"][2], np.dtype(h["endian"] + h["dtype"])
     out = []
-    for k in range(shape[3]) if volume is None else [volume]:
-        v = np.frombuffer(raw, dtype, n, int(offset or (352 if size == 348 else 544)) + k * n * dtype.itemsize).astype(float)
-        if slope not in (0, 1) or (slope == 1 and inter != 0):
-            v = v * slope + inter
-        out.append({"volume": k, "shape": shape[:3], "vs": [float(p) for p in pix[1:4]], "affine": [float(a) for a in affine], "is_mni": sform == 4, "dtype": NIFTI_TYPES[kind], "descrip": descrip.split(b"\0")[0].decode("latin-1"), "data": v})
+    for k in range(h["volumes"]) if volume is None else [volume]:
+        v = np.frombuffer(raw, dtype, n, h["offset"] + k * n * dtype.itemsize)
+        out.append({"volume": k, **{c: h[c] for c in ("shape", "vs", "affine", "is_mni", "dtype", "descrip")}, "data": scaled(v, h["slope"], h["inter"])})
     return out
 
 

@@ -85,6 +85,16 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def put(path: str, raw: bytes) -> None:
+    """A file written whole, under its name only when all of it is there."""
+    fs, p = _open(path)
+    fs.create_dir(p.rsplit("/", 1)[0])
+    draft = f"{p.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(draft, compression=None) as f:
+        f.write(raw)
+    fs.move(draft, p)
+
+
 @dataclass
 class Folder:
     """What counts of a folder of images.
