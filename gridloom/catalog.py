@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import arrays, displacement, elementwise, extras, filters, geometry, mesh, more, morphology, resample, statistics, strings
+from .queries import affine_search, arrays, displacement, elementwise, extras, filters, geometry, mesh, more, morphology, resample, statistics, strings
 
-MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more, displacement, mesh)
+MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more, displacement, mesh, affine_search)
 
 
 def queries() -> dict:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..layout import AXES, Grid
 from . import registration as R
+from .affine_search import AffineSearch, moment_start
+from .affine_search import matrix as affine_matrix
+from .affine_search import search as affine_search
 from .displacement import Search, search
 from .graph import saved
 from .histogram import normalize_otsu_median
@@ -45,9 +48,11 @@ class Alignment:
         self.matrix, value = R.linear(self.template[0], self.subject[0], low, high, cost, rounds)
         return value
 
-    def linear_by_levels(self, kind: str = "affine", **options) -> float:
-        """Affine search stage by stage with L-BFGS over halved images first, on the first kind; the cost reached."""
-        self.matrix, _, value = R.multi_resolution(self.template[0], self.subject[0], kind, **options)
+    def linear_by_levels(self, options: AffineSearch | None = None, from_moments: bool = False) -> float:
+        """Affine search in voxel sizes, stage by stage over halved images first, of all kinds together; the cost reached."""
+        start = moment_start(self.template[0], self.subject[0]) if from_moments else None
+        p, value = affine_search(self.template, self.subject, options, start)
+        self.matrix = affine_matrix(p, self.template[0], self.subject[0])
         return value
 
     def to_template(self, points: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registration: costs are aggregates over the resampled pair; the optimiser on the driver sees a number an evaluation.
 
-Affine search resamples by lookup joins; displacement.py has the search for a displacement field.
+A plain affine search resamples by lookup joins; affine_search.py has the one in voxel sizes by stages and levels, and
+displacement.py that for a displacement field.
 """
 
 from __future__ import annotations
@@ -77,81 +78,6 @@ def correlation_costs(fixed: Grid, moving: Grid, matrices: list[list[float]]) ->
     return out
 
 
-#: The parameters that each stage of a search lets go: shift 0-2, angles 3-5, scaling 6-8, shear 9-11.
-PARTS = {"translocation": (0,), "rotation": (3,), "scaling": (6,), "rigid": (0, 3), "translocation_scaling": (0, 6), "rigid_scaling": (0, 3, 6), "affine": (0, 3, 6, 9)}
-STAGES = {"translocation": ["translocation"], "rotation": ["rotation"], "scaling": ["scaling"], "rigid": ["translocation", "rigid"], "rigid_scaling": ["translocation", "translocation_scaling", "rigid_scaling"], "affine": ["translocation", "translocation_scaling", "rigid_scaling", "affine"]}
-#: Bounds by default: shifts as a share of half the extent, angles of a quarter turn, factors of scale, shear.
-BOUNDS = {"shift": 1.0, "angle": 0.25, "scale": (0.5, 2.0), "shear": 0.15}
-START = [0, 0, 0, 0, 0, 0, 1, 1, 1, 0, 0, 0]
-#: Voxels an axis above which a search first runs on halved images, and above which it ends there.
-HALVED_FROM, ENOUGH_FROM = 96, 256
-
-
-def parameter_bounds(fixed: Grid, moving: Grid, start: list[float], kind: str = "affine", bounds: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high) of the twelve parameters around start for a kind of transform; the others have no range."""
-    b = BOUNDS | (bounds or {})
-    low, high = np.array(start, float), np.array(start, float)
-    dim = fixed.dim
-    for first in PARTS[kind]:
-        for k in range(3 if dim == 3 or first in (0, 6) else 1):
-            if k >= dim and first in (0, 6):
-                continue
-            i = first + (k if dim == 3 or first in (0, 6, 9) else 2)  # in a plane only the last angle turns
-            if first == 0:
-                reach = max(f * fv for f, fv in ((fixed.shape[k], 1.0), (moving.shape[k], 1.0))) * 0.5 * b["shift"]
-                low[i], high[i] = low[i] - reach, high[i] + reach
-            elif first == 3:
-                low[i], high[i] = low[i] - np.pi / 2 * b["angle"], high[i] + np.pi / 2 * b["angle"]
-            elif first == 6:
-                low[i], high[i] = low[i] * b["scale"][0], high[i] * b["scale"][1]
-            else:
-                low[i], high[i] = low[i] - b["shear"], high[i] + b["shear"]
-    return low, high
-
-
-def current_bounds(now: np.ndarray, low: np.ndarray, high: np.ndarray, stage: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bounds in a stage: parameters that it doesn't let go stay where they are."""
-    go = np.zeros(12, bool)
-    for first in PARTS[stage]:
-        go[first : first + 3] = True
-    return np.where(go, low, now), np.where(go, high, now)
-
-
-def centred(p: np.ndarray, fixed: Grid, moving: Grid) -> list[float]:
-    """3x4 matrix from fixed voxels to moving voxels: the transform turns about the images' centres."""
-    m = np.asarray(affine(p[:3], p[3:6], p[6:9], p[9:12]))
-    to, back = np.array(fixed.shape) / 2 - 0.5, np.array(moving.shape) / 2 - 0.5
-    return np.hstack([m[:, :3], (m[:, 3] + back - m[:, :3] @ to)[:, None]]).ravel().tolist()
-
-
-def multi_resolution(fixed: Grid, moving: Grid, kind: str = "rigid", bounds: dict | None = None, start: list[float] | None = None, precision: float = 0.002, rounds: int = 30, halved_from: int = HALVED_FROM, enough_from: int = ENOUGH_FROM) -> tuple[list[float], list[float], float]:
-    """(matrix, twelve parameters, cost): stage by stage with L-BFGS, images of over halved_from voxels an axis halved first.
-
-    Grids of each level are written out, so a cost never runs the plan of a pyramid again.
-    """
-    from .graph import saved
-    from .optimize import lbfgs
-    from .resample import downsample_with_padding
-
-    dim, p = fixed.dim, np.array(start or START, float)
-    low, high = parameter_bounds(fixed, moving, list(p), kind, bounds)
-    levels = [(fixed, moving)]
-    while levels[-1][0].size > halved_from**dim and min(levels[-1][0].shape[:dim]) > 3:
-        halves = [downsample_with_padding(g) for g in levels[-1]]
-        levels.append(tuple(g.with_df(saved(g.df, "level"), g.shape) for g in halves))
-    value = 1.0
-    for level in range(len(levels) - 1, -1, -1):
-        f, m = levels[level]
-        if level < len(levels) - 1 and f.size > enough_from**dim:
-            break
-        scale = np.array([0.5**level] * 3 + [1.0] * 9)
-        costs = lambda ps, f=f, m=m, scale=scale: correlation_costs(f, m, [centred(q * scale, f, m) for q in ps])
-        for stage in STAGES[kind] if level == len(levels) - 1 else STAGES[kind][-1:]:
-            lo, hi = current_bounds(p, low, high, stage)
-            p, value = lbfgs(costs, p, lo, hi, precision, rounds)
-    return centred(p, fixed, moving), p.tolist(), value
-
-
 def gradient_of(cost: Callable[[np.ndarray], float], x: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Forward differences."""
     f = cost(x)

@@ -67,14 +67,14 @@ def test_costs_of_many_matrices_in_one_job(spark):
 
 
 def test_registration_by_levels(spark):
+    from gridloom.operators.affine_search import AffineSearch
+    from gridloom.operators.alignment import Alignment
+
     fixed, moving = grid(spark, blob((20, 24), (12, 10))), grid(spark, blob((20, 24), (14.4, 8.5), 0.3))
-    low, high = R.parameter_bounds(fixed, moving, R.START, "rigid")
-    assert low[0] == -12 and high[1] == 10 and high[2] == 0 and high[5] > 0 == high[3] and (low[6:] == high[6:]).all()
-    lo, hi = R.current_bounds(np.array(R.START, float), low, high, "translocation")
-    assert hi[0] == 12 and hi[5] == 0
-    start = R.correlation_costs(fixed, moving, [R.centred(np.array(R.START, float), fixed, moving)])[0]
-    matrix, p, cost = R.multi_resolution(fixed, moving, "rigid", {"shift": 0.5}, rounds=12, halved_from=15)
-    assert cost < 0.02 < start and len(matrix) == 12 and abs(p[5]) > 0.1
+    a = Alignment([moving], [fixed])
+    start = a.correlations()[0]
+    cost = a.linear_by_levels(AffineSearch("rigid", "correlation", samples=9, rounds=12, halved_from=15))
+    assert cost < 0.02 and a.correlations()[0] > 0.98 > start and len(a.matrix) == 12 and abs(a.matrix[1]) > 0.1
 
 
 def test_fields_of_view(spark):
