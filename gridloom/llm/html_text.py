@@ -7,7 +7,12 @@ least as many lines as the window, as its markup does on a real page. Weights ar
 A surge point is where the window's sum leaves zero, a dive point where it comes back to zero; the text between them is
 kept if at least half of it stands outside links. A container without article text that stands between lines of one
 container doesn't part them. Article and main elements outside such containers raise the weight of their lines: what is
-inside counts RAISED times, and text outside them is kept only if it has a share of all that is inside.
+inside counts RAISED times. Text outside of them is judged like any other, whatever its size.
+
+Containers without article text are told by element, role, and the words of class and id. A word that says what a container
+has or allows rather than what it is (has-sidebar, no-nav, comments-open) tells nothing, nor does one whose last part names
+article text (legal-news). Attributes of other names (data-class) aren't looked at. Work is linear in the page, however
+deep elements are open.
 
 Defined results: a null or empty html gives an empty text and 0; pages without article text give an empty text; rows
 that repeat a page_id each get a row; an empty table gives an empty table. Cut-off markup at the end of a page is
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +32,11 @@ from pyspark.sql import functions as F
 from .common import tune
 
 WINDOW = 3
-#: On pages with an article or main element, text outside of them stays if a span has at least this share of their raised text.
-SHARE = 0.1
 #: Text inside article or main counts so many times.
 RAISED = 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]+|=)*+)(?:>|\Z)|[^<]+|<""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml".split())
 #: Of these, what <name ... /> closes at once, as in markup of other namespaces.
@@ -54,9 +58,15 @@ BOILER_WORDS = (
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|"
     r"pagination|pager|copyright|legal|disclaimer|search|contentinfo|complementary|hidden|skip-?link)"
 )
-BOILER = re.compile(rf"(?:^|[\s_-]){BOILER_WORDS}(?:$|[\s_-])", re.I)
+BOILER = re.compile(rf"(?:^|[_-]){BOILER_WORDS}(?:$|[_-])", re.I)
 #: On paragraphs and headings, whose ids and classes often name their subject, only a whole class or role counts.
-BOILER_CLASS = re.compile(rf"(?:^|\s){BOILER_WORDS}(?:$|\s)", re.I)
+BOILER_CLASS = re.compile(BOILER_WORDS, re.I)
+#: Words that say what a container has or allows.
+STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|hides|shows)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|allowed|active|inactive|visible|collapsed|expanded|left|right)", re.I)
+#: Of these, states of what stands elsewhere: a side by itself names a container (sidebar-left).
+SIDE = re.compile(r"[^_-]+[_-](?:left|right)", re.I)
+#: Subjects of articles that are also names of containers, before a word for article text.
+SUBJECT = re.compile(r"(?:legal|social|search|alert|copyright|sharing|advert\w*|promo\w*)[_-](?:news|story|stories|article|report|feature|affairs|coverage|blog|guide|column|essay)", re.I)
 #: Elements that an opening block closes, as in the HTML standard.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -69,13 +79,21 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            if BOILER_CLASS.search(value) and name != "id" if tag in LINE else BOILER.search(value):
-                return True
+            for word in value.split():
+                if BOILER_CLASS.fullmatch(word) and name != "id" if tag in LINE else _names_boiler(word):
+                    return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
     return False
 
 
+def _names_boiler(word: str) -> bool:
+    """Whether a class, id or role names a container without article text."""
+    if not BOILER.search(word) or SUBJECT.fullmatch(word):
+        return False
+    return SIDE.fullmatch(word) is not None or STATE.fullmatch(word) is None
+
+
 def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
     """Lines (text, weight, whether inside an article or main element, number of the container) of a page.
 
@@ -85,10 +103,12 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
     text: list[str] = []
     weight = links = boiler = article = opened = 0
     open_tags: list[tuple[str, bool, int]] = []  # (name, starts a container without article text, number)
+    names: Counter[str] = Counter()  # how many of each name are open
+    blocks, containers = [""], [0]  # names of open blocks; numbers of those that hold lines
     pos, raw_until = 0, None
 
     def container() -> int:
-        return next((k for name, _, k in reversed(open_tags) if name in BLOCK and name not in INNER), 0)
+        return containers[-1]
 
     def gap(number: int | None) -> None:
         lines.extend([("", 0, False, number)] * WINDOW)
@@ -98,8 +118,7 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                own = next((name for name, _, _ in reversed(open_tags) if name in BLOCK), "")
-                lines.append((line, 0 if boiler else max(weight, 1) if article or own in LINE else weight, article > 0, container()))
+                lines.append((line, 0 if boiler else max(weight, 1) if article or blocks[-1] in LINE else weight, article > 0, container()))
             text.clear()
         weight = 0
 
@@ -107,6 +126,11 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
         nonlocal links, boiler, article
         while len(open_tags) > i:
             name, bad, _ = open_tags.pop()
+            names[name] -= 1
+            if name in BLOCK:
+                blocks.pop()
+                if name not in INNER:
+                    containers.pop()
             if name == "a":
                 links -= 1
             elif name in ("article", "main") and not boiler:
@@ -138,15 +162,15 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
             break  # cut off inside a tag
         tag = tag.lower()
         if m[1]:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    if tag in BLOCK or open_tags[i][1]:
-                        flush()
-                    close(i)
-                    break
-            else:
-                if tag == "p":
+            if names[tag]:
+                i = len(open_tags) - 1
+                while open_tags[i][0] != tag:  # what is passed is closed, so all end tags together pass each element once
+                    i -= 1
+                if tag in BLOCK or open_tags[i][1]:
                     flush()
+                close(i)
+            elif tag == "p":
+                flush()
             continue
         if tag in VOID:
             if tag == "br":
@@ -160,7 +184,7 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
         bad = _boiler(tag, m[3], article > 0)
         if tag in BLOCK or bad:
             flush()
-            while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "span", "font", "u", "small", "a") and any(t[0] == "p" for t in open_tags):
+            while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "span", "font", "u", "small", "a") and names["p"]:
                 close(len(open_tags) - 1)  # a block ends an open paragraph
             if tag in CLOSES:
                 while open_tags and open_tags[-1][0] in CLOSES[tag]:
@@ -182,6 +206,11 @@ def strip_lines(page: str) -> list[tuple[str, int, bool, int | None]]:
                 article += 1
         opened += 1
         open_tags.append((tag, bad, opened))
+        names[tag] += 1
+        if tag in BLOCK:
+            blocks.append(tag)
+            if tag not in INNER:
+                containers.append(opened)
     flush()
     return lines
 
@@ -204,13 +233,12 @@ def _joined(lines: list[tuple[str, int, bool, int | None]]) -> list[tuple[str, i
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """The page's main text, blocks joined by an empty line."""
     if not page:
         return ""
     lines = _joined(strip_lines(page))
     weights = [w for _, w, _, _ in lines]
-    named = RAISED * sum(w for _, w, inside, _ in lines if inside)
     if not any(weights):
         return ""
     n = len(weights)
@@ -229,9 +257,8 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
         while i < n and sums[i]:
             i += 1
         span = lines[next(k for k in range(surge, n) if weights[k]) : i]
-        inside = any(x[2] for x in span)
-        plain = sum(w for _, w, _, _ in span) * (RAISED if inside else 1)
-        if 2 * plain >= sum(len(t) for t, _, _, _ in span) and (inside or plain >= share * named):
+        plain = sum(w for _, w, _, _ in span) * (RAISED if any(x[2] for x in span) else 1)
+        if 2 * plain >= sum(len(t) for t, _, _, _ in span):
             out += [t for t, _, _, _ in span if t]
     return "\n\n".join(out)
 

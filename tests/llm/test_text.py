@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -289,6 +290,32 @@ def test_html_markup_that_names_a_subject_or_stands_in_a_sentence():
             assert html_text.main_text(f"<body><{tag}>{start}{rest}</{tag}></body>") == "\n\n".join([*want, *STORY]), start
 
 
+STATES = ['div class="content-area has-sidebar"', 'div class="wrap no-sidebar"', 'div class="hentry comments-open"', 'section class="legal-news"', 'div data-class="promo"', 'div data-hidden="x"', 'div title="hidden class=promo"', 'div class="menu-open post"']
+NAMES = ['div class="sidebar-left"', 'div class="main-nav"', 'div class="x comment-list y"', 'div id="cookie_banner"', 'div class="legal"', 'div class=promo', "div class='related-posts'", 'div hidden', 'div class="share-buttons no-print"']
+
+
+@pytest.mark.parametrize("start", STATES + NAMES)
+def test_html_states_and_names(start):
+    """What a container has or allows, or what other attributes say, doesn't take its text away; what it is called does."""
+    story = "".join(f"<p>{s}</p>" for s in STORY)
+    tag = start.split()[0]
+    want = "\n\n".join(STORY) if start in STATES else ""
+    assert html_text.main_text(f"<body><{start}>{story}</{tag}></body>") == want
+
+
+def test_html_text_beside_an_article_stays_whatever_its_size():
+    story = "".join(f"<p>{s}</p>" for s in STORY * 20)
+    page = f"<body><article>{story}</article><div><p>A short note of the editor after all of it.</p></div></body>"
+    assert html_text.main_text(page).endswith("\n\nA short note of the editor after all of it.")
+
+
+def test_html_work_is_linear():
+    for page in ("<span>" * 80_000 + "</b>" * 80_000 + "end", "<div>" * 40_000 + "<p>x</p>" * 40_000, "<b><p>x" * 40_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 1.5
+
+
 def test_html_odd_pages(spark):
     for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<nav><a>x</a></nav>", ""), ("<p>cut off <b>here", "cut off here"), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p>x</p><script>never closed <p>no</p>", "x"), ("<p>a</p><p attr='>'>b</p><p att", "a\n\nb"), ("<article></article>", ""), ("<p>1 < 2 &lt; 3 &#8364; &notanentity;</p>", html.unescape("1 < 2 &lt; 3 &#8364; &notanentity;"))):
         assert html_text.main_text(page) == want
