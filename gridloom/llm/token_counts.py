@@ -18,13 +18,13 @@ an empty table gives an empty table. Columns besides the two named ones are igno
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import tune
 
@@ -32,6 +32,8 @@ from .common import tune
 CHUNK = 65_536
 #: Words and states that a worker keeps; beyond it they are forgotten and made again.
 MAX_WORDS, MAX_STATES = 400_000, 200_000
+#: Of words: the longest that is kept, and characters of all.
+MAX_WORD_CHARS, MAX_HELD_CHARS = 512, 16 << 20
 
 
 @cache
@@ -160,7 +162,9 @@ class Counter:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.byte = byte_symbols()
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.words: dict[str, int] = {}
+        self.held = 0  # characters of these
 
     def _matches(self, piece: str) -> int:
         n = 0
@@ -171,17 +175,20 @@ class Counter:
         return n
 
     def _normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        """Lower case in composed form, by the library itself where the tables of Python's Unicode version might differ."""
+        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
 
     def piece(self, run: str) -> int:
         """Tokens of a run without white space; matches never cross white space."""
         n = self.words.get(run)
         if n is None:
-            if len(self.words) > MAX_WORDS:
-                self.words.clear()
-            n = self.words[run] = self._matches(run)
+            n = self._matches(run)
+            if len(run) <= MAX_WORD_CHARS:  # text without white space is a run as long as itself
+                if len(self.words) > MAX_WORDS or self.held > MAX_HELD_CHARS:
+                    self.words.clear()
+                    self.held = 0
+                self.words[run] = n
+                self.held += len(run)
         return n
 
     def chunk_map(self, text: str) -> tuple[str, int | None, str]:

@@ -234,6 +234,27 @@ def test_members_are_retried_on_their_own(tmp_path, monkeypatch):
     assert len(rows) == 4 and sum(x["error"] is not None for x in rows) == 1
 
 
+def test_token_counts_of_letters_newer_than_pythons_tables():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    c, library = token_counts.Counter(path), Tokenizer.from_file(path)
+    for k in [0xA7CB, 0xA7DC, 0x130, 0x3A3, 0x1E9E, 0x1F88, 0x10A0, 0x13A0, 0x1C89, 0x10570, *range(0x370, 0x400), *range(0xA7C0, 0xA800)]:
+        text = f"a {chr(k)}b1{chr(k)}1 É{chr(k)}"
+        assert c.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(k)
+
+
+def test_token_counts_keep_words_by_size():
+    """Texts without white space aren't kept; others are, up to a number of characters."""
+    c = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(3):
+        c.count(f"{k}x" * 200_000)
+    assert sum(map(len, c.words)) == c.held == 0
+    c.held = token_counts.MAX_HELD_CHARS + 1
+    c.count("some words")
+    assert c.held == sum(map(len, c.words)) <= 9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><div class="logo">Site name</div><nav><a href=1>Home</a> <a href=2>News</a></nav></header>
 <div id="cookie-banner"><p>We use cookies to make this site better for everybody who reads it.</p></div>
