@@ -18,6 +18,8 @@ an empty table gives an empty table. Columns besides the two named ones are igno
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import cache
 
 import pyarrow as pa
@@ -47,6 +49,18 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@cache
+def newer() -> re.Pattern:
+    """Code points that Python's Unicode tables may not know: those without a category, and all beyond the first plane."""
+    unknown = [c for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    ranges, start = [], 0
+    for k, c in enumerate(unknown):
+        if k + 1 == len(unknown) or unknown[k + 1] != c + 1:
+            ranges.append(f"\\u{unknown[start]:04x}-\\u{c:04x}")
+            start = k + 1
+    return re.compile(f"[{''.join(ranges)}\\U00010000-\\U0010ffff]")  # one table and one range: as fast for any number of them
+
+
 class Transducer:
     """Counts the BPE tokens of a word. end is the mark of a word's last symbol."""
 
@@ -175,8 +189,12 @@ class Counter:
         return n
 
     def _normal(self, text: str) -> str:
-        """Lower case in composed form, by the library itself where the tables of Python's Unicode version might differ."""
-        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        """Lower case in composed form; by the library itself where a text holds letters newer than Python's Unicode tables."""
+        if not text.isascii():
+            if newer().search(text):
+                return self.normalizer.normalize_str(text)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
 
     def piece(self, run: str) -> int:
         """Tokens of a run without white space; matches never cross white space."""
