@@ -177,6 +177,26 @@ def doubled(dis: DataFrame, coarse: Grid, fine: Grid) -> DataFrame:
     return at.join(hit, ["img", *AXES], "left").select("img", *AXES, "idx", *[F.coalesce(d, F.lit(0.0)).alias(d) for d in D])
 
 
+def to_space(dis: DataFrame, grid: Grid, shape: tuple[int, int, int], affine) -> DataFrame:
+    """A field of a grid's space on another shape and affine, sampled linearly, 0 where a place has no full cell.
+
+    Vectors are in voxels, so they change with the voxels' size and axes: by the old axes in the new ones. Where both spaces
+    have the same axes and cubic voxels that is the ratio of the voxel sizes.
+    """
+    old, new = (np.array(m, float).reshape(4, 4) for m in (grid.affine, affine))
+    place, turn = np.linalg.inv(old) @ new, np.linalg.inv(new[:3, :3]) @ old[:3, :3]
+    at = empty_grid(dis.sparkSession, dis, shape)
+    along = lambda row, cols: sum((F.col(c) * float(v) for c, v in zip(cols, row, strict=False)), F.lit(0.0))
+    t = at.withColumns({f"p{a}": along(place[k], AXES) + float(place[k, 3]) for k, a in enumerate(AXES)})
+    # a place on a voxel, up to the rounding of the matrix, is on it
+    t = t.withColumns({f"p{a}": F.when(F.abs(F.col(f"p{a}") - F.round(f"p{a}")) < 1e-9, F.round(f"p{a}")).otherwise(F.col(f"p{a}")) for a in AXES})
+    taps = _corners(_inside(t, grid, 1), grid, range(2), lambda f, k: f if k else 1.0 - f, False)
+    hit = taps.join(dis.select("img", *AXES, *D), ["img", *AXES]).groupBy("img", "tx", "ty", "tz").agg(*[F.sum(F.col("w") * F.col(d)).alias(d) for d in D])
+    hit = hit.withColumnsRenamed({f"t{a}": a for a in AXES})
+    rows = at.join(hit, ["img", *AXES], "left")
+    return rows.select("img", *AXES, "idx", *[F.coalesce(along(turn[k], D), F.lit(0.0)).alias(d) for k, d in enumerate(D)])
+
+
 @dataclass
 class Progress:
     """What the driver keeps of one image's search."""

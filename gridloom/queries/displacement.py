@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import VOL_SQL, vol
@@ -140,3 +143,36 @@ def follow(spark, sf_dir):
     now = _field(g)
     new = now.select("img", *AXES, "idx", (F.col("dx") / 4).alias("dx"), (F.col("dy") / 8).alias("dy"), (F.col("dz") / 2).alias("dz"))
     return _out(D.follow(new, now, g), 6)
+
+
+OLD = [1.0, 0, 0, 0, 0, 1.5, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 1.0]
+#: Other voxel sizes, x and y exchanged and one of them turned round.
+NEW = [0.0, -1.2, 0, 12.3, 1.5, 0, 0, 0.4, 0, 0, 1.6, 0.3, 0, 0, 0, 1.0]
+NEW_SHAPE = (10, 11, 7)
+
+
+def _sums(rows, cols) -> list[str]:
+    return [" + ".join(f"({float(v)!r}::DOUBLE) * {c}" for v, c in zip(r, cols, strict=True)) for r in rows]
+
+
+def _space_sql() -> str:
+    old, new = (np.array(m).reshape(4, 4) for m in (OLD, NEW))
+    px, py, pz = _sums((np.linalg.inv(old) @ new)[:3], ("x", "y", "z", "1"))
+    d = _sums(np.linalg.inv(new[:3, :3]) @ old[:3, :3], ("hx", "hy", "hz"))
+    w, h, n = NEW_SHAPE
+    return f"""WITH {FIELD_SQL}, t AS (SELECT i.i AS img, CAST(n.n % {w} AS INT) AS x, CAST((n.n // {w}) % {h} AS INT) AS y, CAST(n.n // {w * h} AS INT) AS z
+    FROM range(4) i(i), range({w * h * n}) n(n)),
+q AS (SELECT *, {px} AS px, {py} AS py, {pz} AS pz FROM t),
+c AS (SELECT q.*, floor(px) + a.a AS cx, floor(py) + b.b AS cy, floor(pz) + c.c AS cz,
+    abs(1 - a.a - (px - floor(px))) * abs(1 - b.b - (py - floor(py))) * abs(1 - c.c - (pz - floor(pz))) AS w
+    FROM q, range(2) a(a), range(2) b(b), range(2) c(c)
+    WHERE floor(px) BETWEEN 0 AND 14 AND floor(py) BETWEEN 0 AND 10 AND floor(pz) BETWEEN 0 AND 5),
+h AS (SELECT c.img, c.x, c.y, c.z, {', '.join(_shifted(a) for a in AXES)} FROM c JOIN f ON f.img = c.img AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL)
+SELECT t.img, t.x, t.y, t.z, {', '.join(f'round(coalesce({e}, 0), 6) + 0.0 AS d{a}' for a, e in zip(AXES, d, strict=True))}
+FROM t LEFT JOIN h ON h.img = t.img AND h.x = t.x AND h.y = t.y AND h.z = t.z"""
+
+
+@REG("res_displacement_to_space", _space_sql())
+def to_space(spark, sf_dir):
+    g = replace(vol(spark, sf_dir), affine=tuple(OLD))
+    return _out(D.to_space(_field(g), g, NEW_SHAPE, NEW), 6)

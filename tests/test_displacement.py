@@ -198,3 +198,36 @@ def test_levels(spark):
     fine = D.search(f, m, D.Search(min_dimension=8, rounds=4, resolution=1.0))
     np.testing.assert_allclose(field_of(fine, 0, shape), search_by_hand([fixed], [moving], "r", 4, now=up), atol=1e-9)
     assert set(fine.columns) == {"img", *AXES, "idx", *D.D}
+
+
+def test_fields_between_spaces(spark):
+    """An affine field there and back, over other voxel sizes and axes; and the plain ratio of sizes where axes agree."""
+    from dataclasses import replace
+
+    old = np.array([[1.0, 0, 0, 0], [0, 1.5, 0, 0], [0, 0, 2, 0], [0, 0, 0, 1]])
+    new = np.array([[0.0, -1.2, 0, 10.4], [1.5, 0, 0, 1.7], [0, 0, 1.6, 1.3], [0, 0, 0, 1]])
+    g = replace(grid(spark, [np.zeros((8, 10, 13))]), affine=tuple(old.ravel()))
+    a, b = np.array([[0.1, -0.2, 0.05], [0.3, 0.1, -0.1], [0.02, 0.04, 0.2]]), np.array([1.0, -2.0, 0.5])
+    at = {d: sum((F.col(c) * float(a[k, j]) for j, c in enumerate(AXES)), F.lit(float(b[k]))) for k, d in enumerate(D.D)}
+    dis = g.df.select("img", *AXES, "idx", *[c.alias(d) for d, c in at.items()])
+    h = replace(grid(spark, [np.zeros((7, 8, 7))]), affine=tuple(new.ravel()))
+    there = D.to_space(dis, g, h.shape, new.ravel())
+    f = field_of(there, 0, (7, 8, 7))
+    inside = 0
+    for z, y, x in places((7, 8, 7)):
+        p = (np.linalg.inv(old) @ new @ [x, y, z, 1])[:3]
+        if all(0 <= np.floor(v) and np.floor(v) + 1 < n for v, n in zip(p, g.shape, strict=True)):
+            inside += 1
+            assert np.allclose(new[:3, :3] @ f[z, y, x], old[:3, :3] @ (a @ p + b), atol=1e-9)
+    assert inside > 100
+    back, want = field_of(D.to_space(there, h, g.shape, old.ravel()), 0, (8, 10, 13)), field_of(dis, 0, (8, 10, 13))
+    met = 0
+    for z, y, x in places((8, 10, 13)):
+        p = (np.linalg.inv(new) @ old @ [x, y, z, 1])[:3]
+        cell = [int(np.floor(v)) for v in p]
+        if all(0 <= c and c + 1 < n for c, n in zip(cell, h.shape, strict=True)) and all(f[cell[2] + k, cell[1] + j, cell[0] + i].any() for i, j, k in itertools.product((0, 1), repeat=3)):
+            met += 1
+            assert np.allclose(back[z, y, x], want[z, y, x], atol=1e-6)
+    assert met > 50
+    cubes = D.to_space(dis, replace(g, affine=tuple(np.eye(4).ravel())), (6, 5, 4), np.diag([2.0, 2, 2, 1]).ravel())
+    np.testing.assert_allclose(field_of(cubes, 0, (4, 5, 6))[1, 1, 1], (a @ [2, 2, 2] + b) / 2)
