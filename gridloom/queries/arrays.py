@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import VOL_SQL, table, vol
 from ..functions import matrix as M
 from ..layout import from_arrays, to_arrays
-from ..operators import network, per_image
+from ..operators import network, per_image, spectrum
 from .registry import Registry
 
 REG = Registry()
@@ -96,6 +96,20 @@ def fft(spark, sf_dir):
     return f.select("img", F.col("k").cast("long").alias("k"), near(F.col("c.re")).alias("re"), near(F.col("c.im")).alias("im"))
 
 
+@REG("fft_real", f"WITH {VOL_SQL} SELECT img, CAST(k.k AS BIGINT) AS k, round(sum(v * cos({_ANGLE})), 2) + 0.0 AS re, round(sum(v * sin({_ANGLE})), 2) + 0.0 AS im FROM vol, range(1344) k(k) GROUP BY ALL")
+def fft_real(spark, sf_dir):
+    """By lines along one axis after the other; the half that isn't computed by symmetry."""
+    g = vol(spark, sf_dir)
+    f = spectrum.full(spectrum.forward(g), g.shape)
+    return f.select("img", F.col("idx").alias("k"), *[(F.round(c, 2) + 0.0).alias(c) for c in ("re", "im")])
+
+
+@REG("fft_real_back", f"WITH {VOL_SQL} SELECT img, idx, v::DOUBLE AS v FROM vol")
+def fft_real_back(spark, sf_dir):
+    g = vol(spark, sf_dir)
+    return spectrum.back(spectrum.forward(g), g.shape).df.select("img", "idx", (F.round("v", 6) + 0.0).alias("v"))
+
+
 @REG("fft_round_trip", f"WITH {VOL_SQL} SELECT img, idx, v::DOUBLE AS v FROM vol")
 def fft_round_trip(spark, sf_dir):
     g = vol(spark, sf_dir)
