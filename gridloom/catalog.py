@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import affine_search, arrays, displacement, elementwise, extras, filters, geometry, mesh, more, morphology, pixels, resample, statistics, strings
+from .queries import affine_search, arrays, displacement, elementwise, extras, filters, geometry, mesh, more, morphology, pixels, resample, statistics, streams, strings
 
-MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more, displacement, mesh, affine_search, pixels)
+MODULES = (elementwise, filters, statistics, geometry, resample, morphology, arrays, strings, extras, more, displacement, mesh, affine_search, pixels, streams)
 
 
 def queries() -> dict:
