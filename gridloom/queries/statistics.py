@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..fixtures import PAIR_SQL, VOL_SQL, pair, table, vol
 from ..operators import histogram as H
-from ..operators import mixture, ml
+from ..operators import learners, mixture, ml
 from ..operators import registration as R
 from ..operators import stats as S
+from ..operators.graph import shared_path
 from ..plans.commands import command
 from ..streaming import running
 from .registry import Registry
@@ -264,3 +265,41 @@ def squared_error(spark, sf_dir):
 def running_statistics(spark, sf_dir):
     r = running.running_statistics(table(spark, sf_dir, "events"), "event_type", "value")
     return r.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+_WIDTH = range(1, 65)
+_LABELLED = "p AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings WHERE label IS NOT NULL)"
+_FAR = " + ".join(f"(f[{i}] - m{i}) * (f[{i}] - m{i})" for i in _WIDTH)
+_ONE_VS_REST = f"""
+WITH {_LABELLED}, m AS (SELECT label AS c, {", ".join(f"avg(f[{i}]) AS m{i}" for i in _WIDTH)} FROM p GROUP BY label),
+s AS (SELECT id, c, 1 / (1 + {_FAR}) AS s FROM p, m)
+SELECT id, arg_max(c, (s, -c)) AS prediction, round(sum(s * c) / sum(c), 9) AS value FROM s GROUP BY id
+"""
+_LEAVE_OUT = f"""
+WITH {_LABELLED}, q AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 10 AS block FROM p),
+b AS (SELECT block, label AS c, count(*) AS k, {", ".join(f"sum(f[{i}]) AS b{i}" for i in _WIDTH)} FROM q GROUP BY ALL),
+t AS (SELECT c, sum(k) AS tk, {", ".join(f"sum(b{i}) AS t{i}" for i in _WIDTH)} FROM b GROUP BY c),
+g AS (SELECT block FROM q GROUP BY block HAVING count(*) = 10),
+m AS (SELECT g.block, t.c, {", ".join(f"(t{i} - coalesce(b{i}, 0)) / (tk - coalesce(k, 0)) AS m{i}" for i in _WIDTH)}
+      FROM g CROSS JOIN t LEFT JOIN b ON b.block = g.block AND b.c = t.c WHERE tk > coalesce(k, 0)),
+r AS (SELECT q.block, q.id, q.label, arg_min(m.c, (round({_FAR}, 12), m.c)) AS best FROM q JOIN m USING (block) GROUP BY ALL)
+SELECT block, avg(CASE WHEN best <> label THEN 1.0::DOUBLE ELSE 0 END) AS error FROM r GROUP BY block
+"""
+
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
+
+
+@REG("ml_one_vs_rest", _ONE_VS_REST)
+def one_vs_rest(spark, sf_dir):
+    """A model a label from whole vectors, saved, loaded and applied to every row."""
+    rows, path = _labelled(spark, sf_dir), shared_path(spark, "model")
+    learners.OneVsRest(learners.MeanScore()).fit(rows).save(path)
+    return learners.OneVsRestModel.load(path).transform(rows).select("id", "prediction", F.round("value", 9).alias("value"))
+
+
+@REG("ml_leave_n_out", _LEAVE_OUT)
+def leave_n_out(spark, sf_dir):
+    """Blocks of ten rows, each tried by the means of all other rows."""
+    return learners.leave_n_out(_labelled(spark, sf_dir), 10, 64)
