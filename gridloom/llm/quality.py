@@ -1,12 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are the labelled training rows of quality 1; the unlabelled are any training documents, whose labels
+Trusted positives are the labelled training rows of quality 1; the unlabelled are all training documents, whose labels
 are not looked at. A first model tells the two apart; the class prior comes from its scores of all training documents, counted in
 bins, against those of the positives. Then the non-negative unbiased risk is minimised over measures of the whole text
 (repetition, symbols, case, lengths, lines).
 
-The fits use bounded samples (per_class rows each, the first by hash of doc_id); the prior and the scores cover every document
-and whole texts.
+Labelled positives are a bounded sample (per_class rows, the first by hash of doc_id). Risks of the unlabelled, the scale of measures,
+the prior and the scores cover every document and whole texts: a step of a fit is one job that adds up the risk and its derivatives
+where the measures lie, so the driver gets at most a few hundred numbers a step.
 
 Defined results: a null or empty text is scored like any other, its measures are zero; a row without doc_id is never held
 out nor a training row; rows that repeat a doc_id each get a row; without positives every score is high; an empty table
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, keep, label_sample, tune
-from .logistic import Linear, binned_prior, fit_logistic, fit_nnpu
+from .common import arrow_rows, held_out, keep, label_sample, tune
+from .logistic import Linear, binned_prior, constant, curvature, fit_non_negative, fit_two, slopes, standard
 
 PER_CLASS, THRESHOLD = 8_000, 0.3
 RUN = re.compile(r"([^\w\s])\1+")
@@ -97,19 +98,38 @@ def counted(rows: DataFrame, model: Linear) -> tuple[np.ndarray, np.ndarray]:
     return (np.arange(-BINS, BINS + 1)) * BIN, counts
 
 
+def added_up(rows: DataFrame, numbers) -> np.ndarray:
+    """numbers(matrix) of every batch of rows (x), added up: by task, then by place in the shuffle."""
+
+    def run(batches):
+        total = 0.0
+        for b in batches:
+            total = total + numbers(_matrix(b, 0))
+        if np.ndim(total):
+            yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "value"])
+
+    with arrow_rows(rows.sparkSession, 8192):
+        got = rows.select("x").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    return np.array([r["value"] for r in sorted(got, key=lambda r: r["at"])])
+
+
 def fit_quality(rows: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: float | None = None) -> tuple[Linear, float]:
-    """(model, class prior) for measured rows (doc_id, x). Of rows that repeat an id the fits take the one with the least measures."""
+    """(model, class prior) for measured rows (doc_id, x). Of positives that repeat an id the fits take the one with the least measures."""
     train = rows.where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    pos = label_sample(labels.where("quality = 1"), "quality", per_class).select("doc_id", F.lit(1).alias("y"))
-    unl = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_class).select("doc_id", F.lit(0).alias("y"))
-    chosen = F.broadcast(pos.unionByName(unl).groupBy("doc_id").agg(F.max("y").alias("p"), F.min("y").alias("u")))  # at most 2 * per_class rows
-    got = train.join(chosen, "doc_id").groupBy("doc_id", "p", "u").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
-    x = np.array([r["x"] for r in got], float).reshape(len(got), N_MEASURES)
-    p, u = np.array([r["p"] == 1 for r in got], bool), np.array([r["u"] == 0 for r in got], bool)
-    if prior is None and p.any() and u.any():
-        first = fit_logistic(np.vstack([x[p], x[u]]), np.r_[np.ones(p.sum()), np.zeros(u.sum())])
-        prior = binned_prior(first.margin(x[p]), *counted(train, first))
-    return fit_nnpu(x[p], x[u], prior)
+    chosen = F.broadcast(label_sample(labels.where("quality = 1"), "quality", per_class).select("doc_id"))  # at most per_class rows
+    got = train.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    if not got:
+        return constant(N_MEASURES, 2.0), 1.0
+    pos = np.array([r["x"] for r in got], float)
+    s = added_up(train, lambda x: np.r_[len(x), x.sum(0), (x * x).sum(0)])
+    mean = s[1 : N_MEASURES + 1] / s[0]
+    scale = np.sqrt(np.maximum(s[N_MEASURES + 1 :] / s[0] - mean * mean, 0))
+    scale[scale < 1e-6] = 1.0
+    over = lambda numbers: lambda w: added_up(train, lambda x: numbers(standard(x, mean, scale), w))
+    if prior is None:
+        first = fit_two(over(curvature), mean, scale, pos)
+        prior = binned_prior(first.margin(pos), *counted(train, first))
+    return fit_non_negative(over(slopes), mean, scale, pos, prior), prior
 
 
 def scored(rows: DataFrame, model: Linear) -> DataFrame:
