@@ -102,7 +102,8 @@ def joined_probe(keys: DataFrame, filters: DataFrame, n_shards: int, shard_lines
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, kept, *extra): text as given, kept the text without its repeated lines, extra columns of docs.
+    """(doc_id, text, n_lines, n_dropped, kept, *extra): text as given, kept the text without its repeated lines, extra columns of docs
+    (but those named like one of the first five, which stand for themselves).
 
     The filters keep lines without a partner out of the join with the exact table. Their false positives end in that
     join, so the result never depends on them.
@@ -117,12 +118,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe = probe(keys, filters, n_shards) if n_keys else keys
     drops = maybe.join(refs.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id <> keeper")
     drops = drops.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"), *extra)
+    names = {c: f"extra_{i}" for i, c in enumerate(extra) if c not in ("doc_id", "text", "n_lines", "n_dropped", "kept")}
+    carried, back = [F.col(f"`{c}`").alias(n) for c, n in names.items()], [F.col(n).alias(c) for c, n in names.items()]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"), *carried)
     rows = rows.join(drops.hint("shuffle_hash"), ["doc_id", "row"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = rows.select("doc_id", "text", *extra, lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rows = rows.select("doc_id", "text", *names.values(), lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
-    return rows.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") > 0, F.array_join(stay, "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept"), *extra)
+    return rows.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") > 0, F.array_join(stay, "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept"), *back)
 
 
 class LineDedupState:

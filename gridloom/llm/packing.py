@@ -9,7 +9,7 @@ one a new bin is opened. Pieces come in descending order of size, then by id and
 
 Documents are dealt into packs by hash of their id and what is known of them, as many packs as the token total asks for,
 and each pack is packed on its own: a third of all rows in one cluster or source is spread over all packs, and a pack's
-memory is bounded by pack_tokens, whatever the input. Rows without id are dealt by their place in the table, so equal ones
+memory is bounded by pack_tokens, whatever the input. Rows without id are dealt by a number among those equal to them, so equal ones
 don't meet in one pack. Within a pack the packing is exact best-fit.
 
 pack_tokenized() sizes documents by a tokenizer, so pieces start at token offsets and no bin holds more than its capacity;
@@ -37,6 +37,8 @@ from .simhash import fingerprint_batch, fingerprint_links
 from .sstable import encoder
 
 CAPACITY, PER_SOURCE, PACK_TOKENS = 2048, 4, 2_000_000
+#: Equal rows without id that one row stands for while they are counted out.
+BLOCK = 10_000
 SCHEMA = "bin long, place int, doc_id {}, piece int, start long, n_tokens int, fill int"
 
 
@@ -96,6 +98,13 @@ class Packer:
         return b
 
 
+def counted_out(rows: DataFrame) -> DataFrame:
+    """Rows without doc_id, told apart by a number from 0 among those that are equal: the same numbers whenever a task runs again."""
+    equal = rows.groupBy("doc_id", "n", "source", "cluster").agg(F.count("*").alias("k"))
+    blocks = equal.select("*", F.explode(F.expr(f"sequence(0L, (k - 1) div {BLOCK})")).alias("b"))
+    return blocks.select("doc_id", "n", "source", "cluster", F.explode(F.expr(f"sequence(b * {BLOCK}, least(k, (b + 1) * {BLOCK}) - 1)")).alias("copy"))
+
+
 def pack(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """(bin, place, doc_id, piece, start, n_tokens, fill) of every piece: place in its bin, start in its document, fill of the bin.
 
@@ -104,10 +113,12 @@ def pack(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str | N
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     none = F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), (F.col(source_col).cast("string") if source_col else none).alias("source"), (F.col(cluster_col).cast("string") if cluster_col else none).alias("cluster"))
-    total = rows.agg(F.sum("n"), F.count("*")).first()
+    total = rows.agg(F.sum("n"), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     n_packs = max(1, -(-(total[0] or 0) // pack_tokens), -(-total[1] // 20_000))
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster", place), F.lit(n_packs)))
+    placed = rows.withColumn("copy", F.lit(None).cast("long"))
+    if total[2]:
+        placed = placed.where("doc_id IS NOT NULL").unionByName(counted_out(rows.where("doc_id IS NULL")))
+    rows = placed.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster", "copy"), F.lit(n_packs))).drop("copy")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:

@@ -232,15 +232,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, radius: int = RADIUS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, component_id) and the extra columns of docs: component_id is the smallest doc_id reachable over links of radius bits or less."""
-    fps = keep(fingerprints(docs, id_col, text_col, size, seed, extra), "fps")
+    """(doc_id, fp, component_id) and the extra columns of docs (but those with one of these three names, which stand for themselves):
+    component_id is the smallest doc_id reachable over links of radius bits or less."""
+    names = {c: f"extra_{i}" for i, c in enumerate(extra) if c not in ("doc_id", "fp", "component_id")}
+    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    fps = keep(fingerprints(told, "doc_id", "text", size, seed, tuple(names.values())), "fps")
     least = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-first")
     links = fingerprint_links(least, radius)
     named = links.join(least.select(F.col("fp").alias("a"), F.col("first").alias("da")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("db")), "b")
     found = components(named.select(F.col("da").alias("a"), F.col("db").alias("b")))
     roots = least.join(found.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     out = fps.join(roots, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *extra)
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

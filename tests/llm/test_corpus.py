@@ -395,6 +395,28 @@ def test_packing_deals_equal_rows_without_id_apart(spark):
     assert len(got) == 9 and max(r["count"] for r in got) < 600 and sum(r["count"] for r in got) == 3_000
 
 
+def test_rows_without_id_are_numbered_alike_when_a_task_runs_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    rows = [(None, n, s, c) for n, s, c, k in ((5, "a", "x", 16), (5, None, "x", 7), (0, None, None, 1)) for _ in range(k)]
+    table = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string")
+    got = sorted(map(tuple, packing.counted_out(table.repartition(5)).collect()), key=str)
+    assert got == sorted(((None, n, s, c, i) for n, s, c, k in ((5, "a", "x", 16), (5, None, "x", 7), (0, None, None, 1)) for i in range(k)), key=str)
+    assert got == sorted(map(tuple, packing.counted_out(table.repartition(3, "source")).collect()), key=str)
+    assert packing.counted_out(table.limit(0)).count() == 0
+
+
+def test_extra_columns_may_have_any_name(spark):
+    line = "a line that both documents hold"
+    names = ["lines", "gone", "row", "fp", "component_id", "kept", "n_lines", "text", "root", "first", "a.b"]
+    rows = spark.createDataFrame([(1, line, *[f"{c}1" for c in names if c != "text"]), (2, line + "\nand one more", *[f"{c}2" for c in names if c != "text"])], ["doc_id", "text", *[c for c in names if c != "text"]])
+    got = {r["doc_id"]: r.asDict() for r in line_dedup.dedup_lines(rows, extra=tuple(names)).collect()}
+    assert got[2]["kept"] == "and one more" and got[2]["n_lines"] == 2 and got[2]["text"] == line + "\nand one more"
+    assert all(got[i][c] == f"{c}{i}" for i in (1, 2) for c in ("lines", "gone", "row", "fp", "component_id", "root", "first", "a.b"))
+    got = {r["doc_id"]: r.asDict() for r in simhash.near_duplicates(rows, extra=tuple(names)).collect()}
+    assert got[1]["component_id"] == 1 and isinstance(got[2]["fp"], int) and all(got[i][c] == f"{c}{i}" for i in (1, 2) for c in ("lines", "gone", "row", "kept", "n_lines", "root", "first", "a.b"))
+    assert got[1]["text"] == line
+
+
 # pipeline
 
 
