@@ -93,10 +93,10 @@ def curvature(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.r_[slopes(z, w), h[np.triu_indices(len(w))]]
 
 
-def fit_two(sums, mean: np.ndarray, scale: np.ndarray, pos: np.ndarray, ridge: float = 1e-4, steps: int = 40) -> Linear:
+def fit_two(sums, mean: np.ndarray, scale: np.ndarray, pos: np.ndarray, steps: int = 40) -> Linear:
     """Logistic regression of positives against all unlabelled, both with the same weight, by Newton steps that are halved until the loss falls.
     sums(w) adds curvature() up over the unlabelled, wherever they are: one call a trial."""
-    zp = standard(pos, mean, scale)
+    zp, ridge = standard(pos, mean, scale), 0.5 / len(pos)  # as fit_logistic()'s ridge of 1 on sums
     k = zp.shape[1]
     upper, pen = np.triu_indices(k), np.r_[np.full(k - 1, 2 * ridge), 1e-9]
 
