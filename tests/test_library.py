@@ -259,6 +259,24 @@ def test_clusters_that_settle_late(spark):
     assert ml.k_means(df.where("false"), k, 1, scaled=False).collect() == []
 
 
+@pytest.mark.parametrize("values", [[0, 1, 65_535], [-3, 0, 7], [0, 65_536, 436_800], [-70_000, 5, 6], [0, 2**40, 1], [-(2**40), 2**33, 1], [0.5, -1.25, 3e9], [float("inf"), 1.0, 2.0]])
+def test_dicom_pixels_beyond_16_bits(values):
+    raw = FM.write_dicom(np.array(values), 3, 1)
+    back = FM.read_dicom(raw)
+    assert back["data"].tolist() == values and back["shape"] == [3, 1, 1]
+    assert FM.read_dicom_header(raw)["pixel_bytes"] == 3 * int(back["tags"][0x00280100]) // 8
+
+
+def test_dicom_planes_of_large_sums(spark, sf, tmp_path):
+    """The query's table with quantities so large that voxels exceed 16 bits."""
+    from gridloom import catalog, fixtures
+
+    fixtures.table(spark, sf, "lineitem").withColumn("l_quantity", F.col("l_quantity") * 5000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(r["img"], r["idx"]): r["v"] for r in fixtures.vol(spark, str(tmp_path)).df.collect()}
+    got = {(r["img"], r["idx"]): r["v"] for r in catalog.queries()["src_dicom"](spark, str(tmp_path)).collect()}
+    assert max(want.values()) > 65_535 and got == want
+
+
 def test_match_strings():
     assert S.match_strings("sub01_t1", "sub01_mask", "sub02_t1") == "sub02_mask"
     assert S.match_strings("a.nii", "a.txt", "b.nii") == "b.txt"
