@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Small rows with much work each, dealt by a key to as many tasks as a shuffle has: a compact file, which few tasks read,
+    would leave the work to those. The number is given, so that small partitions aren't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def vol(spark: SparkSession, sf_dir: str) -> Grid:
     """Four volumes of 16 x 12 x 7: quantities of line items."""
     t = table(spark, sf_dir, "lineitem")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..fixtures import IMG_SQL, VOL_SQL, pic, table, vol
+from ..fixtures import IMG_SQL, VOL_SQL, pic, spread, table, vol
 from ..functions import color, dicom
 from ..functions import matrix as M
 from ..functions import vectors as V
@@ -309,7 +309,7 @@ def residual(spark, sf_dir):
 
 def _header_files(spark, sf_dir):
     """A header a customer: its fields as tags of several kinds, some missing."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_custkey")
 
     def run(batches):
         for b in batches:

@@ -277,6 +277,16 @@ def test_dicom_planes_of_large_sums(spark, sf, tmp_path):
     assert max(want.values()) > 65_535 and got == want
 
 
+def test_headers_and_tags_use_many_tasks(spark, sf):
+    """A customer's or part's file takes far longer to make and read than its row, so one file's rows are dealt out."""
+    from gridloom.queries import more
+
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(more._header_files(spark, sf)) == 3
+    for query in (more.dicom_headers, more.dicom_report):
+        assert tasks(query(spark, sf)) == 3
+
+
 def test_match_strings():
     assert S.match_strings("sub01_t1", "sub01_mask", "sub02_t1") == "sub02_mask"
     assert S.match_strings("a.nii", "a.txt", "b.nii") == "b.txt"
