@@ -406,7 +406,7 @@ def tiff_tags(spark, sf_dir):
             if out:
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["path", "content"])
 
-    files = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").mapInArrow(run, "path string, content binary")
+    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").mapInArrow(run, "path string, content binary")
     return images.tiff_tags(files).select(F.col("path").cast("long").alias("k"), "tag", "value")
 
 

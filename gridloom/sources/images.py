@@ -319,15 +319,30 @@ def read_text_file(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
 
 
+#: Rows and characters of values after which fields go on to Spark; a batch a file would cost more than reading it.
+ROWS, TEXT = 10_000, 16 << 20
+
+
 def tiff_tags(files: DataFrame) -> DataFrame:
     """(path, directory, tag, value): the fields of TIFF files (path, content), values as text."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "directory", "tag", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(p, k, tag, " ".join(map(str, v))) for k, fields in enumerate(formats.read_tiff_tags(raw)) for tag, v in sorted(fields.items())]
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "directory", "tag", "value"])
+            rows, size = [], 0
+            for p, raw in zip(b.column(0), b.column(1), strict=True):
+                p = p.as_py()
+                for k, fields in enumerate(formats.read_tiff_tags(raw.as_py())):
+                    for tag, v in sorted(fields.items()):
+                        rows.append((p, k, tag, " ".join(map(str, v))))
+                        size += len(rows[-1][3])
+                        if len(rows) >= ROWS or size >= TEXT:
+                            yield table(rows)
+                            rows, size = [], 0
+            if rows:
+                yield table(rows)
 
     return files.select("path", "content").mapInArrow(run, "path string, directory int, tag int, value string")
 

@@ -283,10 +283,18 @@ def test_headers_and_tags_use_many_tasks(spark, sf):
 
     tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks(more._header_files(spark, sf)) == 3
-    for query in (more.dicom_headers, more.dicom_report):
+    for query in (more.dicom_headers, more.dicom_report, more.tiff_tags):
         assert tasks(query(spark, sf)) == 3
 
 
+def test_tiff_fields_of_many_files(spark):
+    """Fields of one batch of files come together, none twice and none left behind."""
+    raw = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHIHH", 256, 3, 1, 7, 0) + struct.pack("<I", 0)
+    files = spark.createDataFrame([(str(k), raw) for k in range(300)], "path string, content binary").coalesce(1)
+    got = images.tiff_tags(files)
+    assert [tuple(r) for r in got.orderBy(F.col("path").cast("int")).collect()] == [(str(k), 0, 256, "7") for k in range(300)]
+
+
 def test_match_strings():
     assert S.match_strings("sub01_t1", "sub01_mask", "sub02_t1") == "sub02_mask"
     assert S.match_strings("a.nii", "a.txt", "b.nii") == "b.txt"
